@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, jaccard, language, mixing, quality, sharding
+from tickloom.llm import decontaminate, embeddings, jaccard, language, mixing, quality, sharding
 from tickloom.llm.common import table
 
 
+def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_embeddings": op1_near_embeddings,
         "op2_jaccard_join": op2_jaccard_join,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
