@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, embeddings, jaccard, language, mixing, quality, sharding
-from tickloom.llm.common import table
+from tickloom.llm import decontaminate, embeddings, jaccard, language, lm, mixing, quality, sharding
+from tickloom.llm.common import shared_dir, table
+from tickloom.llm.tokens import TokenRollup, with_tokens
 
 
 def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(table(spark, sf_dir, "documents"))
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4) + 0.0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +33,21 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str, ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", version: str = "byte_bpe_50k") -> DataFrame:
+    """All documents come in; then the toxic ones go and the low-quality ones are revised to single spaces, committed twice."""
+    from public_tokenizers import PATTERN
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit(version).alias("version"))
+    labels = table(spark, sf_dir, "labels")
+    changed = docs.join(labels.where("toxic = 1 OR quality = 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    changed = changed.withColumn("op", F.when(F.col("toxic") == 1, "delete").otherwise("revise")).withColumn("text", F.when(F.col("op") == "revise", F.regexp_replace("text", r"\s+", " "))).drop("toxic")
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit(1, with_tokens(docs.withColumn("op", F.lit("insert")), ranks, PATTERN).drop("text"))
+    for _ in range(2):
+        rollup.commit(2, with_tokens(changed, ranks, PATTERN).drop("text"))
+    return rollup.totals()
+
+
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,8 +64,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_embeddings": op1_near_embeddings,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_stupid_backoff": op3_stupid_backoff,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
+        "op7_token_rollup": op7_token_rollup,
         "op8_quality_pu": op8_quality_pu,
         "op9_language_id": op9_language_id,
         "op10_kd_shards": op10_kd_shards,
@@ -52,5 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_stupid_backoff": lm.ORACLE,
         "op5_mix_sources": mixing.ORACLE,
     }
