@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, embeddings, jaccard, language, lm, mixing, quality, sharding
+from tickloom.llm import decontaminate, embeddings, jaccard, language, lm, mixing, quality, sharding, suffixes
 from tickloom.llm.common import shared_dir, table
 from tickloom.llm.tokens import TokenRollup, with_tokens
 
@@ -33,6 +33,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str, ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", version: str = "byte_bpe_50k") -> DataFrame:
     """All documents come in; then the toxic ones go and the low-quality ones are revised to single spaces, committed twice."""
     from public_tokenizers import PATTERN
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_stupid_backoff": op3_stupid_backoff,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_token_rollup": op7_token_rollup,
         "op8_quality_pu": op8_quality_pu,
         "op9_language_id": op9_language_id,
