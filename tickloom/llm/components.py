@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut
 
+#: Edges that one task reduces to a forest.
+EDGES_A_TASK = 500_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node reachable) for every node of the edges but the smallest of each component.
@@ -35,20 +38,31 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as forests of at most about EDGES_A_TASK edges each."""
+    u = v = np.zeros(0, np.int64)
     for batch in batches:
-        u, v = forest(*(np.asarray(c).astype(np.int64) for c in batch.columns))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        u, v = (np.concatenate([x, np.asarray(c)]) for x, c in zip((u, v), batch.columns, strict=True))
+        if len(u) > 2 * EDGES_A_TASK:
+            u, v = forest(u, v)
+            if len(u) > EDGES_A_TASK:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                u = v = np.zeros(0, np.int64)
+    u, v = forest(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b), longs: component is the smallest node reachable.
 
-    Batches of edges are first reduced to forests. Then each node's neighbours move to the smallest of them (large star:
-    those above the node; small star: those below), until no edge moves; the edges then are stars.
+    Partitions of edges are first reduced to forests, twice, the second time dealt to tasks of EDGES_A_TASK edges. Unless
+    one such task held all that was left, each node's neighbours then move to the smallest of them (large star: those
+    above the node; small star: those below), until no edge moves; the edges then are stars.
     """
-    edges = cut(edges.toDF("a", "b").where("a <> b").mapInArrow(_thin, "u long, v long").distinct())
+    edges = cut(edges.toDF("u", "v").where("u <> v").mapInArrow(_thin, "u long, v long"))
+    tasks = max(1, -(-edges.count() // EDGES_A_TASK))
+    edges = cut(edges.repartition(tasks).mapInArrow(_thin, "u long, v long"))
     seen = None
-    while True:
+    while tasks > 1:
         both = edges.unionAll(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

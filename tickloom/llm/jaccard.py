@@ -182,9 +182,9 @@ def candidate_groups(classes: DataFrame, threshold: float = THRESHOLD) -> DataFr
         stars = large.join(heads, "path").where("node <> pivot").select("node", "pivot", "sketch", "head")
         found = lists.mapInArrow(_leaves(least), "a long, b long").unionAll(stars.mapInArrow(_pivots(least), "a long, b long"))
         edges = written((found if edges is None else edges.unionAll(found)).distinct(), "edges")
-        labels = cut(components(edges))
         rows = large.select("node", "path", "sketch")
         if depth < DEPTH:
+            labels = cut(components(edges))
             rows = rows.mapInArrow(_next_level(0, threshold), "path long, node long").distinct()
     # What is still large and of several groups after the last split is compared in full, block by block.
     rows = rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -254,7 +254,7 @@ def _compare(threshold: float):
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: (doc_id, class_id, copy_id, n_links, kept).
+    """One row for each document: (doc_id, text_hash, class_id, copy_id, n_links, kept).
 
     Words are runs of anything but ASCII white space; a text of fewer than five words has one shingle, all its words.
     copy_id is the smallest doc_id with the same set of shingles, n_links the number of other documents with a
@@ -286,6 +286,18 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     least = parts.join(classes.select("node", F.struct("copy_id", "node").alias("one")), "node").groupBy("component").agg(F.min("one").alias("one"))
     member = classes.join(number, "node", "left").join(parts.join(least, "component").select("node", F.col("one.copy_id").alias("class_id"), F.col("one.node").alias("head")), "node", "left")
     member = member.select("key1", "key2", "node", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("head").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "node").alias("head"))
-    out = some.select("doc_id", "row", "key1", "key2").join(member, ["key1", "key2"]).select("doc_id", "class_id", "copy_id", "n_links", (F.col("row") == F.col("head")).alias("kept"), "row")
-    alone = sketched.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "row")
+    out = some.select("doc_id", "text_hash", "row", "key1", "key2").join(member, ["key1", "key2"]).select("doc_id", "text_hash", "class_id", "copy_id", "n_links", (F.col("row") == F.col("head")).alias("kept"), "row")
+    alone = sketched.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "row")
     return out.unionAll(alone).drop("row")
+
+
+def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates (the smallest doc_id), columns as they were."""
+    found = links(docs, threshold, doc_id, text).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("keeps"))
+    # Rows that are alike in id and text can only be told apart by leaving out the surplus; all others go or stay whole.
+    told = written(found.where("keeps < n").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("keeps") > 0).alias("__some")), "told")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text].cast("binary")))
+    same = hashed[doc_id].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    rest = hashed.join(told, same, "left_anti")
+    some = hashed.join(told.where("__some"), same, "left_semi").dropDuplicates([doc_id, "__text_hash"])
+    return rest.unionByName(some).drop("__text_hash")

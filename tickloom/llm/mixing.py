@@ -62,6 +62,24 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     return edge.select(F.col("of").alias("source"), (F.col("prefix") + (F.col("need") * 2 > F.col("words")).cast("long")).alias("threshold"))
 
 
+#: A plan of so many sources is small enough to broadcast (about 100 bytes each).
+BROADCAST_SOURCES = 20_000
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The documents' (doc_id, source, size, h), and for each source (of, source_size, target, passes, threshold)."""
+    rows = cut(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash60(doc_id, text).alias("h")))
+    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    by_source = by_source.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+    by_source = cut(by_source.withColumn("need", F.col("target") - F.col("passes") * F.col("source_size")))
+    ends = thresholds(rows.select("source", "size", "h"), by_source.select("source", "need"))
+    return rows, cut(by_source.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").select(F.col("s.source").alias("of"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold")))
+
+
+def _small(by_source: DataFrame) -> DataFrame:
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How often the mix takes each document.
 
@@ -71,14 +89,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     source's hash threshold. Empty texts have size 0 and follow the same rule. Rows with equal ids have equal hashes
     and are taken alike; null sources are one source; an empty table gives no rows.
     """
-    rows = cut(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash60(doc_id, text).alias("h")))
-    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    by_source = by_source.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    by_source = cut(by_source.withColumn("need", F.col("target") - F.col("passes") * F.col("source_size")))
-    ends = thresholds(rows.select("source", "size", "h"), by_source.select("source", "need"))
-    plan = by_source.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left").select(F.col("s.source").alias("of"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    rows, by_source = plan(docs, weights, cap, doc_id, text, source)
     copies = F.col("passes") + (F.col("h") < F.col("threshold")).cast("long")
-    return rows.join(cut(plan), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.join(_small(by_source), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed documents: every row of ``docs`` as often as ``mix`` takes it, with its columns as they were."""
+    _, by_source = plan(docs, weights, cap, doc_id, text, source)
+    named = _small(by_source.toDF("__of", "__source_size", "__target", "__passes", "__threshold"))
+    copies = F.col("__passes") + (hash60(doc_id, text) < F.col("__threshold")).cast("long")
+    taken = docs.join(named, docs[source].eqNullSafe(F.col("__of"))).withColumn("__copies", copies).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -18,7 +18,7 @@ def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.links(table(spark, sf_dir, "documents"))
+    return jaccard.links(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_embeddings": op1_near_embeddings,
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_pu": op8_quality_pu,
         "op9_language_id": op9_language_id,
         "op10_kd_shards": op10_kd_shards,
+        "pipeline": pipeline,
     }
 
 
