@@ -49,4 +49,5 @@ def normalize_asof(c: Column) -> Column:
 def recency(as_of: Column, today: Column, days: float = 365.0) -> Column:
     """exp(-age / days): 1 for today and later, 0 for a date that isn't yyyy-MM-dd."""
     date = F.when(as_of.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), as_of.try_cast("date"))
-    return F.coalesce(F.exp(-F.greatest(F.lit(0), F.date_diff(today.cast("date"), date)) / F.lit(days)), F.lit(0.0))
+    age = F.greatest(F.lit(0), F.date_diff(today.cast("date"), date))  # greatest() skips nulls
+    return F.when(date.isNotNull(), F.exp(-age / F.lit(days))).otherwise(F.lit(0.0))

@@ -18,12 +18,15 @@ def line_counts(spark: SparkSession, path: str) -> DataFrame:
 def snapshot(spark: SparkSession, path: str, previous: DataFrame | None = None) -> DataFrame:
     """(path, size, mtime, sha256, rows) of every file under ``path``; paths are relative to it, hidden files left out.
 
-    An empty file's hash is ``""``; rows are counted for ``*.jsonl`` only. A file as old as in ``previous`` keeps its
+    An empty file's hash is ``""`` and its mtime null; rows are counted for ``*.jsonl`` only. A file as old as in ``previous`` keeps its
     hash: content is read only for the others (the file listing is read without the content column).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     relative = lambda c: F.regexp_replace(F.substring_index(c, path.rstrip("/") + "/", -1), "^/+", "")
-    listed = files.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    read = files.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    # a scan passes over empty files; the file index, which Spark keeps on the driver anyway, has them too
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(relative(F.col("path")).alias("path"))
+    listed = names.join(read, "path", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
     hashed = files.where("length > 0").select(relative(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
     if previous is not None:
         same = previous.select("path", "mtime", F.col("sha256"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -30,5 +31,5 @@ def recall_each(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     A query set is compared with all vectors; each task first cuts its pairs to the best ``k`` of a query.
     """
     pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).where("score IS NOT NULL")
-    best = pairs.groupBy("query_id").agg(F.max_by(F.struct("vec_id", "score"), F.struct("score", -F.col("vec_id")), k).alias("best"))
-    return best.select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("place", place).where(F.col("place") <= k).drop("place")

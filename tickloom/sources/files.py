@@ -8,15 +8,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TEXT_SUFFIXES = ("txt", "md", "markdown", "text", "log", "csv", "tsv", "json")
 
-TOKEN_LOG = T.StructType.fromDDL(
+TOKEN_LOG = (
     "ts string, date string, requested_model string, chosen_model string, tier_reason string, tools_present boolean, "
     "n_messages long, input_tokens long, output_tokens long, latency_ms long, soft_warn boolean"
 )
-PROPOSAL = T.StructType.fromDDL(
+PROPOSAL = (
     "id string, thesis string, direction string, horizon string, universe array<string>, created_at string, "
     "trigger struct<match: struct<tickers: array<string>, entityAny: array<string>, keywordAny: array<string>>>"
 )
@@ -27,8 +26,8 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with ``schema``; lines that aren't JSON objects of it are skipped."""
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with ``schema`` (DDL); lines that aren't JSON objects of it are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
@@ -41,7 +40,7 @@ def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str] = TEXT_SU
 
 def read_proposals(spark: SparkSession, path: str) -> DataFrame:
     """A folder of proposals, one JSON document a file; unreadable ones are skipped, hidden files never read."""
-    read = spark.read.schema(T.StructType([*PROPOSAL.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "[!.]*.json").json(path)
+    read = spark.read.schema(f"{PROPOSAL}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "[!.]*.json").json(path)
     return read.where("id IS NOT NULL").drop("_bad")
 
 
