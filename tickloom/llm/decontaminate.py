@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, unused
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the shingles of question and answer.
@@ -252,10 +252,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     """``docs`` without the rows that hold a test item, all columns as they were."""
     found = indexes(benchmark, item_id, item_text)
 
+    own = unused(docs, "text_to_search")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = np.ones(batch.num_rows, bool)
-            kept[[h[0] for h in _hits(batch.column(batch.schema.names.index("__text")), found, threshold, overlap)]] = False
-            yield batch.drop_columns(["__text"]).filter(pa.array(kept))
+            kept[[h[0] for h in _hits(batch.column(batch.schema.names.index(own)), found, threshold, overlap)]] = False
+            yield batch.drop_columns([own]).filter(pa.array(kept))
 
-    return docs.withColumn("__text", docs[text]).mapInArrow(keep, docs.schema)
+    return docs.withColumn(own, docs[text]).mapInArrow(keep, docs.schema)

@@ -295,9 +295,9 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: st
     """``docs`` with one row of each class of near-duplicates (the smallest doc_id), columns as they were."""
     found = links(docs, threshold, doc_id, text).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("keeps"))
     # Rows that are alike in id and text can only be told apart by leaving out the surplus; all others go or stay whole.
-    told = written(found.where("keeps < n").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("keeps") > 0).alias("__some")), "told")
-    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text].cast("binary")))
-    same = hashed[doc_id].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    told = written(found.where("keeps < n").select("doc_id", "text_hash", (F.col("keeps") > 0).alias("some")), "told")
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), docs[doc_id].alias("id"), F.xxhash64(docs[text].cast("binary")).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     rest = hashed.join(told, same, "left_anti")
-    some = hashed.join(told.where("__some"), same, "left_semi").dropDuplicates([doc_id, "__text_hash"])
-    return rest.unionByName(some).drop("__text_hash")
+    some = hashed.join(told.where("some"), same, "left_semi").dropDuplicates(["id", "hash"])
+    return rest.unionByName(some).select("row.*")

@@ -97,10 +97,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
 def take(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as ``mix`` takes it, with its columns as they were."""
     _, by_source = plan(docs, weights, cap, doc_id, text, source)
-    named = _small(by_source.toDF("__of", "__source_size", "__target", "__passes", "__threshold"))
-    copies = F.col("__passes") + (hash60(doc_id, text) < F.col("__threshold")).cast("long")
-    taken = docs.join(named, docs[source].eqNullSafe(F.col("__of"))).withColumn("__copies", copies).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    # a struct keeps the rows' own columns apart from the plan's
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[source].alias("source"), hash60(doc_id, text).alias("h"))
+    taken = rows.join(_small(by_source), F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", F.col("passes") + (F.col("h") < F.col("threshold")).cast("long")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import fold
+from tickloom.llm.common import fold, unused
 
 #: Bounds of the fitted sample: positives, unlabelled documents.
 POSITIVES, UNLABELLED = 10_000, 20_000
@@ -142,16 +142,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the column ``into``: how likely label 1 is for the whole text. Null texts score as empty ones."""
 
+    own = unused(docs, "text_to_score")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.names.index("__text"))
-            rest = batch.drop_columns(["__text"])
+            column = batch.column(batch.schema.names.index(own))
+            rest = batch.drop_columns([own])
             for row, end, data, offsets in tb.slices(column):
                 part = rest.slice(row, end - row)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(data, offsets)))], [*rest.schema.names, into])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.withColumn("__text", docs[text]).mapInArrow(score, schema)
+    return docs.withColumn(own, docs[text]).mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -166,4 +168,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score below ``threshold``, columns as they were; fold 2 of 4 stays out of the fit."""
-    return scored(docs, train(docs, labels, doc_id, text, label), text, "__score").where(F.col("__score") >= threshold).drop("__score")
+    score = unused(docs, "score")
+    return scored(docs, train(docs, labels, doc_id, text, label), text, score).where(F.col(score) >= threshold).drop(score)
