@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, embeddings, jaccard, language, lm, mixing, quality, sharding, suffixes
-from tickloom.llm.common import shared_dir, table
+from tickloom.llm.common import shared_dir, table, written
 from tickloom.llm.tokens import TokenRollup, with_tokens
 
 
@@ -43,13 +43,16 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str, ranks: str = "/opt/tokeni
     from public_tokenizers import PATTERN
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit(version).alias("version"))
-    labels = table(spark, sf_dir, "labels")
-    changed = docs.join(labels.where("toxic = 1 OR quality = 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    changed = changed.withColumn("op", F.when(F.col("toxic") == 1, "delete").otherwise("revise")).withColumn("text", F.when(F.col("op") == "revise", F.regexp_replace("text", r"\s+", " "))).drop("toxic")
+    spaced = F.regexp_replace("text", r"\s+", " ")
+    # counted once, both as it is and as revised; texts are neither joined nor shuffled
+    counted = with_tokens(docs.withColumn("spaced", F.when(spaced != F.col("text"), spaced)).withColumn("same", F.col("spaced").isNull()), ranks, PATTERN, {"tokens": "text", "revised": "spaced"}, keep=False)
+    counted = written(counted.withColumn("revised", F.when(F.col("same"), F.col("tokens")).otherwise(F.col("revised"))).drop("same"), "tokens")
+    labels = table(spark, sf_dir, "labels").where("toxic = 1 OR quality = 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    changed = counted.join(labels, "doc_id").withColumn("op", F.when(F.col("toxic") == 1, "delete").otherwise("revise")).withColumn("tokens", F.col("revised"))
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.commit(1, with_tokens(docs.withColumn("op", F.lit("insert")), ranks, PATTERN).drop("text"))
+    rollup.commit(1, counted.withColumn("op", F.lit("insert")))
     for _ in range(2):
-        rollup.commit(2, with_tokens(changed, ranks, PATTERN).drop("text"))
+        rollup.commit(2, changed)
     return rollup.totals()
 
 

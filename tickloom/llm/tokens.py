@@ -9,10 +9,9 @@ only earlier batches: committing a batch again changes nothing.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,23 +30,26 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "tokens") -> DataFrame:
-    """``docs`` with the number of byte-pair tokens of the whole text (null: 0) in the column ``into``.
+def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, texts: Mapping[str, str] | None = None, keep: bool = True) -> DataFrame:
+    """``docs`` with the number of byte-pair tokens of whole texts (null: 0).
 
-    The vocabulary file is read on the driver and broadcast; it is a few MB whatever the corpus.
+    ``texts`` names the new columns and the text column of each, by default ``tokens`` of ``text``; with ``keep=False``
+    the text columns are left out. The vocabulary file is read on the driver and broadcast; it is a few MB whatever the corpus.
     """
+    texts = dict(texts or {"tokens": "text"})
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    rest = [docs[c] for c in docs.columns if keep or c not in texts.values()]
+    n = len(rest)  # columns can't go to the tasks
+    given = docs.select(*rest, *[docs[c].alias(f"__text{k}") for k, c in enumerate(texts.values())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(shared.value, pattern).encode_ordinary
         for batch in batches:
-            column = batch.column(batch.schema.names.index("__text"))
-            tokens = np.fromiter((len(encode(t.as_py())) if t.is_valid else 0 for t in column), np.int64, len(column))
-            rest = batch.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(tokens)], [*rest.schema.names, into])
+            tokens = [pa.array([len(encode(t.as_py())) if t.is_valid else 0 for t in column], pa.int64()) for column in batch.columns[n:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *tokens], [*batch.schema.names[:n], *texts])
 
-    return docs.withColumn("__text", docs[text]).mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())]))
+    return given.mapInArrow(count, T.StructType([*given.schema.fields[:n], *(T.StructField(c, T.LongType()) for c in texts)]))
 
 
 class TokenRollup:
