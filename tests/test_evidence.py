@@ -6,7 +6,7 @@ import statistics
 import pytest
 
 from tickloom.operators import evidence
-from tickloom.operators.ranks import ordinal_rank
+from tickloom.operators.ranks import ordinal_ranks
 from tickloom.plans.backtest import backtest, guard
 
 
@@ -55,8 +55,9 @@ def test_ordinal_rank_over_ranges(spark):
 
     rng = random.Random(1)
     values = [(n, rng.choice([0.5, rng.random()])) for n in range(500)]
-    got = {r["k"]: r["place"] for r in ordinal_rank(spark.createDataFrame(values, "k int, v double"), "v", ["k"], "place", ranges=8).collect()}
-    assert got == {k: n for n, (k, _) in enumerate(sorted(values, key=lambda kv: (kv[1], kv[0])))}
+    got = ordinal_ranks(spark.createDataFrame(values, "k int, v double"), {"place": "v", "same": "k"}, ["k"], ranges=8).collect()
+    assert {r["k"]: r["place"] for r in got} == {k: n for n, (k, _) in enumerate(sorted(values, key=lambda kv: (kv[1], kv[0])))}
+    assert all(r["same"] == r["k"] for r in got)
 
 
 def test_guard():

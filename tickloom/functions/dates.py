@@ -21,11 +21,10 @@ _NUMBERS = (
 
 
 def _month(name: Column) -> Column:
-    """The number of a month written in digits, in full or as three letters."""
-    out = name.try_cast("int")
-    for number, month in enumerate(MONTHS, 1):
-        out = F.when(F.lower(name).isin(month.lower(), month[:3].lower()), F.lit(number)).otherwise(out)
-    return out
+    """The number of a month written in full or as three letters; 0 for anything else."""
+    names = F.array(*[F.lit(m.lower()) for m in MONTHS], *[F.lit(m[:3].lower()) for m in MONTHS])
+    place = F.array_position(names, F.lower(name))
+    return F.when(place > len(MONTHS), place - len(MONTHS)).otherwise(place).cast("int")
 
 
 def normalize_asof(c: Column) -> Column:
@@ -38,7 +37,8 @@ def normalize_asof(c: Column) -> Column:
 
     def parsed(pattern: str, groups: tuple[int, ...]) -> Column:
         part = [F.nullif(F.regexp_extract(s, pattern, g), F.lit("")) for g in groups]
-        year, month, day = part[0].try_cast("int"), _month(part[1]), part[2].try_cast("int")
+        month = _month(part[1]) if "A-Z" in pattern else part[1].try_cast("int")
+        year, day = part[0].try_cast("int"), part[2].try_cast("int")
         time = [p.try_cast("int") for p in part[3:]] or [F.lit(0)] * 3
         return F.date_format(F.try_make_timestamp_ntz(year, month, day, time[0], time[1], time[2].cast("decimal(8,6)")), "yyyy-MM-dd")
 

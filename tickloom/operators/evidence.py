@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ranks import ordinal_rank, running_product
+from tickloom.operators.ranks import ordinal_ranks, running_product
 
 SIGN = {"long": 1.0, "short": -1.0}
 
@@ -42,7 +42,7 @@ def information_coefficient(rows: DataFrame, ties: tuple[str, ...] = ("as_of", "
     Equal values are ranked in the order of ``ties``. The direction plays no part.
     """
     pairs = rows.where("score IS NOT NULL AND fwd IS NOT NULL").select("score", "fwd", *ties)
-    ranked = ordinal_rank(ordinal_rank(pairs, "score", list(ties), "s"), "fwd", list(ties), "f")
+    ranked = ordinal_ranks(pairs, {"s": "score", "f": "fwd"}, list(ties))
     x, y = F.col("s").cast("double"), F.col("f").cast("double")
     # sums instead of corr(), which fails on a constant column
     sums = ranked.agg(F.count("*").alias("n_pairs"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))

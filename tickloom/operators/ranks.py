@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def ordinal_rank(df: DataFrame, column: str, ties: list[str], into: str, ranges: int = 256) -> DataFrame:
-    """``df`` with the place of each row, from 0, in the order of ``column``, then ``ties``. ``column`` must be numeric.
+def ordinal_ranks(df: DataFrame, columns: Mapping[str, str], ties: list[str], ranges: int = 256) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of each of ``columns`` (new column: numeric column), then ``ties``.
 
-    Rows are dealt to value ranges cut at approximate percentiles, counted, and numbered within their range; the running
-    sum of the counts (``ranges`` rows) gives each range its first number.
+    Rows are dealt to value ranges cut at approximate percentiles, counted, and numbered within their range; running sums
+    of the counts give each range its first number. Percentiles and counts of all columns take one pass each, and come
+    back as one row of at most ``ranges`` numbers a column.
     """
-    cuts = df.agg(F.percentile_approx(column, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10_000).alias("__cuts"))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(column)))).drop("__cuts")  # one row of 255 numbers
-    first = placed.groupBy("__range").agg(F.count("*").alias("__n"))
-    first = first.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__first"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(column, *ties)) - 1
-    return placed.withColumn("__own", own).join(F.broadcast(first), "__range").withColumn(into, F.col("__first") + F.col("__own")).drop("__range", "__own", "__first")
+    below = lambda c: lambda cut: cut < F.col(c)
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"__cuts_{k}") for k, c in enumerate(columns.values())])
+    placed = df.crossJoin(F.broadcast(cuts))  # one row of ranges - 1 numbers a column
+    for k, c in enumerate(columns.values()):
+        placed = placed.withColumn(f"__range_{k}", F.size(F.filter(f"__cuts_{k}", below(c))) + k * ranges).drop(f"__cuts_{k}")
+    counts = placed.select(F.explode(F.array(*[f"__range_{k}" for k in range(len(columns))])).alias("r")).groupBy("r").count()
+    before = F.sum("count").over(Window.partitionBy(F.floor(F.col("r") / ranges)).orderBy("r")) - F.col("count")
+    first = counts.select("r", before.alias("first")).agg(F.map_from_entries(F.collect_list(F.struct("r", "first"))).alias("__first"))
+    out = placed.crossJoin(F.broadcast(first))  # one row of at most ranges entries a column
+    for k, (into, c) in enumerate(columns.items()):
+        own = F.row_number().over(Window.partitionBy(f"__range_{k}").orderBy(c, *ties)) - 1
+        out = out.withColumn(into, F.element_at("__first", F.col(f"__range_{k}")) + own)
+    return out.drop("__first", *[f"__range_{k}" for k in range(len(columns))])
 
 
 def running_product(df: DataFrame, value: str, order: str, ties: list[str], into: str) -> DataFrame:
