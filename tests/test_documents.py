@@ -175,6 +175,8 @@ def test_inventory(spark, tmp_path):
     now = inventory.snapshot(spark, str(tmp_path), before)
     found = {r["path"]: (r["anomaly"], r["drift"]) for r in inventory.compare(now, before).collect()}
     assert found == {"data.jsonl": ("ROW-DRIFT", 100.0), "data.parquet": (None, None), "empty.txt": ("ZERO-BYTE", None)}
-    assert tuple(inventory.anomalies(inventory.compare(now, before)).first()) == (3, 1, 1)
+    counted = inventory.anomalies(inventory.compare(now, before))
+    assert tuple(counted.first()) == (3, 1, 1) and inventory.exit_code(counted).first()[0] == 1
+    assert inventory.exit_code(inventory.anomalies(inventory.compare(now.limit(0), before))).first()[0] == 2
 
 

@@ -34,6 +34,35 @@ def proposal_slug(c: Column, length: int = 24) -> Column:
     return _or(F.substring(F.btrim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-")), 1, length), "signal")
 
 
+def proposal_id(seed: Column, at: Column) -> Column:
+    """``sig_``, the second of ``at``, and the slug of the seed."""
+    return F.concat(F.lit("sig_"), F.unix_timestamp(at.cast("timestamp")).cast("string"), F.lit("_"), proposal_slug(seed))
+
+
+def iso_utc(at: Column) -> Column:
+    """A time as ISO text to the second, in the session's zone, which should be UTC."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def merged(defaults: Column, over: Column) -> Column:
+    """Both maps as one; where both have a key, ``over`` has the say. A null map counts as empty."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    over = F.coalesce(over, empty)
+    return F.map_concat(F.map_filter(F.coalesce(defaults, empty), lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
+def nearest_name(c: Column, names: Sequence[str], most: int = 2) -> Column:
+    """The one of ``names`` (a config's list) with the fewest edits from the value, whatever the case; null beyond ``most``.
+
+    Of equally near ones the first in the alphabet is taken.
+    """
+    if not names:
+        return F.lit(None).cast("string")
+    near = F.array(*[F.struct(F.levenshtein(F.lower(c), F.lit(n.lower())).alias("edits"), F.lit(n).alias("name")) for n in names])
+    best = F.array_min(near)
+    return F.when(best["edits"] <= most, best["name"])
+
+
 def file_name(c: Column) -> Column:
     """An uploaded file's name with only letters, digits, dot, dash and underscore; ``file`` where there is none."""
     return F.regexp_replace(_or(c, "file"), r"[^A-Za-z0-9._-]", "_")

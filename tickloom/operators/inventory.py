@@ -46,6 +46,11 @@ def compare(current: DataFrame, previous: DataFrame, percent: float = DRIFT_PERC
     return joined.withColumn("drift", drift).withColumn("anomaly", F.when(F.col("size") == 0, "ZERO-BYTE").when(F.col("drift") > percent, "ROW-DRIFT"))
 
 
+def exit_code(counted: DataFrame) -> DataFrame:
+    """One row (code) over that of anomalies(): 0 clean, 1 with anomalies, 2 without any file."""
+    return counted.select(F.when(F.col("files") == 0, 2).when(F.col("zero_bytes") + F.col("drifts") > 0, 1).otherwise(0).alias("code"))
+
+
 def anomalies(compared: DataFrame) -> DataFrame:
     """One row (files, zero_bytes, drifts). An empty file that also drifted counts in both."""
     return compared.agg(F.count("*").alias("files"), F.count_if(F.col("size") == 0).alias("zero_bytes"), F.count_if(F.coalesce(F.col("drift") > DRIFT_PERCENT, F.lit(False))).alias("drifts"))

@@ -13,6 +13,11 @@ SOFT, HARD = 50_000, 100_000
 BUDGET_REPLY = "Daily token budget exhausted. Resuming at 00:00 UTC. Queuing scheduled work for the next cycle."
 
 
+def calls_of(calls: DataFrame, key: str | None) -> DataFrame:
+    """The calls of one key; without a key none, as a project without one has no ledger."""
+    return calls.where(F.col("alias") == key) if key else calls.limit(0)
+
+
 def model_key(group: Column, model: Column) -> Column:
     """The model's group, else the last part of its path, else a dash."""
     return F.coalesce(F.nullif(group, F.lit("")), F.nullif(last_segment(model), F.lit("")), F.lit("—"))

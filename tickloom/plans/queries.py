@@ -389,6 +389,24 @@ def ontology_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ontology_triples(entities, relations)
 
 
+def ids_and_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = t.table(spark, sf_dir, "orders")
+    pairs = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    roles = text.merged(pairs("reader", "small", "writer", "big"), F.when(F.col("o_orderkey") % 3 == 0, pairs("writer", "huge", "judge", "mid")))
+    shown = F.concat_ws(",", F.transform(F.array_sort(F.map_entries(roles)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return orders.select("o_orderkey", text.proposal_id(F.col("o_orderpriority"), F.col("o_orderdate")).alias("id"), text.iso_utc(F.col("o_orderdate")).alias("at"), shown.alias("roles"))
+
+
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = t.table(spark, sf_dir, "part").select("p_type").distinct()
+    types = ["Economical", "Standard", "PROMOS", "smal", "medium", "largest"]
+    return part.select("p_type", text.nearest_name(F.col("p_type"), types).alias("name"), text.nearest_name(F.col("p_type"), types, 9).alias("any_name"))
+
+
+def calls_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.totals(ledger.calls_of(t.calls(spark, sf_dir), "key-2"))
+
+
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t.table(spark, sf_dir, "events")
     return events.select("event_id", proposals.first_json(F.concat(F.lit("so { we have "), F.col("props"), F.lit(" and } {}"))).alias("found"))
@@ -403,7 +421,7 @@ NAMES = (
     "store_round_trip returns raw_return_mode price_features label_from_value registry_compute asof_close events_two_hop trigger_filter sweep_rank sweep_top chunk_lookup benchmark_map "
     "link_tickers normalized_dates provenance_tags route_documents bucket_tokens gates_and_labels feature_step pipeline_fold tier_router spend_by_model ledger_recent "
     "ledger_totals daily_tokens budget_gate overview overview_totals recent_20_per_key graph_counts graph_labels graph_preview graph_preview_nodes signal_upsert signal_edges "
-    "validate_proposals horizons missing_models allow_list slugs inventory_drift inventory_anomalies vector_topk message_previews log_tails role_models ontology_triples json_extract synthetic_bars"
+    "validate_proposals horizons missing_models allow_list slugs inventory_drift inventory_anomalies vector_topk message_previews log_tails role_models ontology_triples ids_and_maps fuzzy_names calls_of_key json_extract synthetic_bars"
 ).split()
 
 
