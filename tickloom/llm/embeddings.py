@@ -25,8 +25,9 @@ THRESHOLD = 0.9
 CODES, SUBSPACES, LIST, LISTS = 256, 8, 256, 4096
 #: The fitted sample: so many vectors for each list, and so many floats in all, at most.
 PER_LIST, SAMPLE_FLOATS = 64, 8_000_000
-#: A list is read if its border is nearer than so many deviations of a near vector's step towards it.
-REACH = 4.0
+#: A list is read if its border is nearer than so many deviations of a near vector's step towards it. Either of a pair may
+#: find the other, and the borders of both add up to the step: a pair is missed only by a step of twice as many.
+REACH = 2.0
 #: Rows of one side of a block.
 BLOCK = 2048
 
@@ -77,7 +78,8 @@ class Quantiser:
         """(row, list) of all lists to read for each vector.
 
         A vector within ``radius`` lies in another list only beyond the plane half way between the centres. A step of that
-        length in no special direction goes radius / sqrt(dimension) towards the plane, as a standard deviation.
+        length in no special direction goes radius / sqrt(dimension) towards the plane, as a standard deviation. Every
+        vector asks, so it is enough to reach half of the step: of two vectors on either side one is that near the plane.
         """
         rows, lists = [], []
         apart = np.sqrt(_squares(self.centres, self.centres))
