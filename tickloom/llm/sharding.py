@@ -31,8 +31,12 @@ def _points(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
     utf8 = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     number = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
     rows = cut(docs.select(docs[doc_id].cast("long").alias("doc_id"), (F.octet_length(utf8) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"), number(docs[lang]).alias("lang"), number(docs[source]).alias("source")).withColumn("row_no", F.monotonically_increasing_id()))
-    groups = rows.groupBy("text_crc32", "size").agg(F.min("source").alias("d_source"), F.min("lang").alias("d_lang"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("d_doc"))
-    return cut(rows.join(groups, ["text_crc32", "size"]).select("doc_id", "size", "text_crc32", "row_no", "d_source", "d_lang", "d_doc", F.col("size").alias("d_bytes")).fillna(-1, ["doc_id"]).withColumn("had_id", F.col("doc_id") != -1))
+    own = {"d_source": F.col("source"), "d_lang": F.col("lang"), "d_doc": F.coalesce("doc_id", F.lit(-1))}
+    # Only texts that occur again are joined, and from a table of their own: Spark can then split a group that is most of all rows.
+    groups = cut(rows.groupBy("text_crc32", "size").agg(F.count("*").alias("n"), *[F.min(c).alias(f"least_{k}") for k, c in own.items()]).where("n > 1").drop("n"))
+    joined = rows.join(groups, ["text_crc32", "size"], "left")
+    shared = [F.coalesce(f"least_{k}", c).alias(k) for k, c in own.items()]
+    return cut(joined.select("doc_id", "size", "text_crc32", "row_no", *shared, F.col("size").alias("d_bytes")).fillna(-1, ["doc_id"]).withColumn("had_id", F.col("doc_id") != -1))
 
 
 def _below(keys: list[str], at: list[int]) -> Column:
