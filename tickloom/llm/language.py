@@ -25,6 +25,8 @@ from tickloom.llm.common import fold
 SAMPLE_DOCS, SAMPLE_LETTERS = 24, 40_000
 #: Phrases end at segment ends: documents are parsed in segments of so many letters.
 SEGMENT = 1024
+#: Bytes of text whose segments advance together.
+PARSED = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], doc_id: st
         for batch in batches:
             column = batch.column(1)
             lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))
-            for row, end, data, offsets in tb.slices(pc.utf8_lower(column)):
+            for row, end, data, offsets in tb.slices(pc.utf8_lower(column), PARSED):
                 found = lettered[row:end] & bool(names)
                 pred, score = np.full(end - row, "und", object), np.zeros(end - row)
                 if found.any():
