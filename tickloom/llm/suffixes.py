@@ -155,8 +155,10 @@ class Block:
             hit = some[((mask >> np.uint32(back)) & np.uint32(1)).astype(bool)]
             start = self.at[hit] - back
             begins[start[(start >= self.first[hit]) & (start <= self.last[hit])]] = 1
-        so_far = np.cumsum(begins[:-1])
-        return so_far - np.concatenate([np.zeros(min(SPAN, len(so_far)), so_far.dtype), so_far[:-SPAN]]) > 0
+        so_far = np.cumsum(begins[:-1], dtype=np.int32)
+        gone = so_far > 0
+        gone[SPAN:] = so_far[SPAN:] > so_far[:-SPAN]
+        return gone
 
 
 class Run:
@@ -249,6 +251,13 @@ def _windows(group: list[tuple[int, bytes, bytes, int, int]], out: list[list[int
             out[run][number] = sum(1 << back for back in range(SPAN - len(right), len(left) + 1) if least[left[:back][::-1] + right[: SPAN - back]] < doc)
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place; a block has fewer than 2 ** 31 bytes."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:], dtype=np.int32)
+    return out
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every document, kept being its remaining bytes.
 
@@ -306,15 +315,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         block, told = Block(table, n_blocks), answers.to_pylist()
         gone = block.covered([r for r in told if r["mask"] is not None], [r for r in told if r["windows"] is not None])
         offsets = block.offsets
-        before = np.concatenate([[0], np.cumsum(gone)])
+        before = _running(gone)
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
         edge = offsets[:-1][offsets[:-1] < len(gone)]
         starts[edge] = gone[edge]
-        spans = np.concatenate([[0], np.cumsum(starts)])
+        spans = _running(starts)
         kept_offsets = offsets - before[offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(kept_offsets.astype(np.int64).tobytes()), pa.py_buffer(block.data[~gone].tobytes())]).cast(pa.binary())
-        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(offsets)), pa.array(np.diff(before[offsets])), pa.array(np.diff(spans[offsets])), kept], schema=out_schema)
+        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(offsets)), *(pa.array(np.diff(x[offsets]).astype(np.int64)) for x in (before, spans)), kept], schema=out_schema)
 
     shared = dealt.groupBy("block").applyInArrow(send_anchors, _ANCHORS).groupBy("bucket").applyInArrow(find_shared, _SHARED)
     runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_runs, _RUN)
