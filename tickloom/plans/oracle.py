@@ -135,6 +135,7 @@ SQL = {
     "vector_topk": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {[((k * 37) % 11 - 5) / 5 for k in range(64)]}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {[((k * 37) % 11 - 5) / 5 for k in range(64)]}::DOUBLE[]) DESC, vec_id LIMIT 10",
     "message_previews": f"WITH {MESSAGES} SELECT conv_id, left(text, 300) AS preview, greatest(1, length(text) // 4)::BIGINT AS tokens FROM messages",
     "log_tails": "SELECT doc_id, right(array_to_string(list_filter(string_split('red line' || chr(10) || chr(10) || left(coalesce(text, ''), 200), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(\\d{4}-\\d\\d-\\d\\dT|$)')), chr(10)), 80) AS tail FROM documents WHERE lang = 'en'",
+    "log_tails_whole": "SELECT doc_id, right(array_to_string(list_filter(string_split(regexp_replace('red line' || chr(10) || chr(10) || coalesce(text, ''), chr(27) || '\\[[0-9;]*m', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(\\d{4}-\\d\\d-\\d\\dT|$)')), chr(10)), 6000) AS tail FROM documents",
     "role_models": f"WITH m AS (SELECT DISTINCT p_brand, CASE p_brand WHEN 'Brand#1' THEN 'vendor/One' WHEN 'Brand#2' THEN 'vendor/Two.1' ELSE p_brand END AS model FROM part) SELECT p_brand, model, 'or--' || {slug('lower(model)', 'a-z0-9', '-', 'model')} AS gateway FROM m",
     "ids_and_maps": f"SELECT o_orderkey, 'sig_' || epoch(o_orderdate)::BIGINT || '_' || left({slug('lower(o_orderpriority)', 'a-z0-9', '-', 'signal')}, 24) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at, CASE WHEN o_orderkey % 3 = 0 THEN 'judge=mid,reader=small,writer=huge' ELSE 'reader=small,writer=big' END AS roles FROM orders",
     "fuzzy_names": "WITH n AS (SELECT unnest(['Economical', 'Standard', 'PROMOS', 'smal', 'medium', 'largest']) AS name), d AS (SELECT DISTINCT p_type FROM part), e AS (SELECT p_type, name, levenshtein(lower(p_type), lower(name)) AS edits FROM d, n), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY edits, name) = 1) SELECT p_type, CASE WHEN edits <= 2 THEN name END AS name, CASE WHEN edits <= 9 THEN name END AS any_name FROM b",

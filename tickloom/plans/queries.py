@@ -377,6 +377,12 @@ def log_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.log_tail(raw, 80).alias("tail"))
 
 
+def log_tails_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tails of all documents' whole texts, with the operator's own length."""
+    raw = F.concat(F.lit("\x1b[31mred\x1b[0m line\n2024-01-01T00:00:00 noise\n\n"), F.coalesce("text", F.lit("")))
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.log_tail(raw).alias("tail"))
+
+
 def role_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = F.create_map(F.lit("Brand#1"), F.lit("vendor/One"), F.lit("Brand#2"), F.lit(""))
     model = text.resolve_role(F.col("p_brand"), roles, {"Brand#2": "vendor/Two.1"})
@@ -421,7 +427,7 @@ NAMES = (
     "store_round_trip returns raw_return_mode price_features label_from_value registry_compute asof_close events_two_hop trigger_filter sweep_rank sweep_top chunk_lookup benchmark_map "
     "link_tickers normalized_dates provenance_tags route_documents bucket_tokens gates_and_labels feature_step pipeline_fold tier_router spend_by_model ledger_recent "
     "ledger_totals daily_tokens budget_gate overview overview_totals recent_20_per_key graph_counts graph_labels graph_preview graph_preview_nodes signal_upsert signal_edges "
-    "validate_proposals horizons missing_models allow_list slugs inventory_drift inventory_anomalies vector_topk message_previews log_tails role_models ontology_triples ids_and_maps fuzzy_names calls_of_key json_extract synthetic_bars"
+    "validate_proposals horizons missing_models allow_list slugs inventory_drift inventory_anomalies vector_topk message_previews log_tails log_tails_whole role_models ontology_triples ids_and_maps fuzzy_names calls_of_key json_extract synthetic_bars"
 ).split()
 
 
