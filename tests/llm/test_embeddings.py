@@ -66,3 +66,27 @@ def test_threshold_is_inclusive(spark, cosine):
     a, b = [1.0, 0.0], [cosine + (1e-12 if cosine == 0.9 else 0), math.sqrt(1 - cosine**2)]
     table = spark.createDataFrame([(1, a), (2, b)], "vec_id long, embedding array<double>")
     assert [r["n_links"] for r in embeddings.near_duplicates(table).collect()] == [int(cosine == 0.9)] * 2
+
+
+@pytest.mark.parametrize(("dimension", "real", "cosine"), [(64, 64, 0.9), (64, 8, 0.9), (256, 24, 0.9), (768, 24, 0.92)])
+def test_recall_of_correlated_vectors_with_many_lists(dimension, real, cosine):
+    """Planted pairs at and above a cosine; the exact distance bound of the search loses none of those that are probed."""
+    rng = np.random.default_rng(11)
+    low = lambda n: rng.normal(size=(n, real))
+    one = low(1000)
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    step = low(1000)
+    step -= (step * one).sum(1, keepdims=True) * one
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    c = rng.uniform(cosine, cosine + 0.03, size=(1000, 1))
+    x = np.concatenate([low(28_000), one, c * one + np.sqrt(1 - c**2) * step]) @ np.linalg.qr(rng.normal(size=(dimension, real)))[0].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ((x[-2000:-1000] * x[-1000:]).sum(1) >= cosine - 1e-9).all()
+    lists = len(x) // embeddings.LIST
+    q = embeddings.Quantiser.fit(x[:: max(1, len(x) // min(lists * embeddings.PER_LIST, embeddings.SAMPLE_FLOATS // dimension))], lists)
+    own = q.encode(x[-2000:])[0]
+    row, at = q.probes(x[-2000:], math.sqrt(0.2))
+    asked = set(zip(row.tolist(), at.tolist(), strict=True))
+    recall = np.mean([(n, own[n + 1000]) in asked or (n + 1000, own[n]) in asked for n in range(1000)])
+    print(f"{dimension}-d, {real} real, {lists} lists: recall {recall:.3f}, {len(row) / 2000:.1f} lists a vector")
+    assert lists > 100 and recall >= 0.98

@@ -25,7 +25,8 @@ THRESHOLD = 0.9
 CODES, SUBSPACES, LIST, LISTS = 256, 8, 256, 4096
 #: The fitted sample: so many vectors for each list, and so many floats in all, at most.
 PER_LIST, SAMPLE_FLOATS = 64, 8_000_000
-#: A list is read if its border is nearer than so many deviations of a near vector's step towards it. Either of a pair may
+#: A list is read if its border is nearer than so many deviations of a near vector's step towards it, the spread of steps
+#: over directions being that of the fitted sample about its centres. Either of a pair may
 #: find the other, and the borders of both add up to the step: a pair is missed only by a step of twice as many.
 REACH = 2.0
 #: Rows of one side of a block.
@@ -52,11 +53,25 @@ def _nearest(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray
     return np.concatenate([_squares(x[i : i + rows], centres).argmin(1) for i in range(0, len(x), rows)] or [np.zeros(0, np.int64)])
 
 
+def _spread(left: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The share of a step that goes from one centre towards another, as a standard deviation.
+
+    Steps are spread over directions as ``left`` is; in no direction less than evenly over its effective dimension.
+    """
+    shape = left.T @ left / max(float((left**2).sum()), 1e-300)  # trace 1
+    least = max(float((shape**2).sum()), 1 / left.shape[1])  # 1 / effective dimension
+    across = centres @ shape @ centres.T
+    own = across.diagonal()
+    towards = (own[:, None] + own - 2 * across) / np.maximum(_squares(centres, centres), 1e-12)
+    return np.sqrt(np.clip(towards, least, 1.0))
+
+
 @dataclass
 class Quantiser:
     centres: np.ndarray
     books: list[np.ndarray]
     columns: list[np.ndarray]
+    spread: np.ndarray
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int) -> Quantiser:
@@ -64,7 +79,7 @@ class Quantiser:
         centres = _means(sample, lists)
         left = sample - centres[_nearest(sample, centres)]
         columns = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        return cls(centres, [_means(left[:, c], CODES) for c in columns], columns)
+        return cls(centres, [_means(left[:, c], CODES) for c in columns], columns, _spread(left, centres))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes, and the distance between each vector and what its codes say."""
@@ -78,8 +93,9 @@ class Quantiser:
         """(row, list) of all lists to read for each vector.
 
         A vector within ``radius`` lies in another list only beyond the plane half way between the centres. A step of that
-        length in no special direction goes radius / sqrt(dimension) towards the plane, as a standard deviation. Every
-        vector asks, so it is enough to reach half of the step: of two vectors on either side one is that near the plane.
+        length goes radius * ``spread`` towards the plane, as a standard deviation: 1 / sqrt(dimension) of vectors that fill
+        their space evenly, more of correlated ones. Every vector asks, so it is enough to reach half of the step: of two
+        vectors on either side one is that near the plane.
         """
         rows, lists = [], []
         apart = np.sqrt(_squares(self.centres, self.centres))
@@ -87,7 +103,7 @@ class Quantiser:
             d = _squares(x[i : i + 1024], self.centres)
             own = d.argmin(1)
             border = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * apart[own], 1e-12)
-            r, c = np.nonzero(border <= REACH * radius / np.sqrt(x.shape[1]))
+            r, c = np.nonzero(border <= REACH * radius * self.spread[own])
             rows.append(r + i)
             lists.append(c)
         return np.concatenate(rows), np.concatenate(lists)
