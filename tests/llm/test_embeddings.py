@@ -90,3 +90,20 @@ def test_recall_of_correlated_vectors_with_many_lists(dimension, real, cosine):
     recall = np.mean([(n, own[n + 1000]) in asked or (n + 1000, own[n]) in asked for n in range(1000)])
     print(f"{dimension}-d, {real} real, {lists} lists: recall {recall:.3f}, {len(row) / 2000:.1f} lists a vector")
     assert lists > 100 and recall >= 0.98
+
+
+def test_every_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    sets = {}
+    for size, n in ((8, 300), (5, 100), (3, 20), (2, 1)):
+        base = rng.normal(size=(n, size))
+        sets[size] = np.concatenate([base, base[: n // 2] + rng.normal(size=(n // 2, size)) * 0.05, base[:2]]).tolist()
+    mixed = [v for k in range(500) for s in sets.values() for v in s[k : k + 1]]
+    rows = list(enumerate(mixed))
+    want = []
+    for size in sets:
+        mine = [(n, v) for n, v in rows if len(v) == size]
+        want += brute(mine)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted(want) and {len(mixed[i]) for i, n, _ in got if n} == {8, 5, 3, 2}

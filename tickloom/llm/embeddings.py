@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -198,13 +199,39 @@ def _count(threshold: float):
     return count
 
 
+def _own(blocks: str):
+    """The block of a node among so many."""
+    return F.pmod(F.xxhash64("node", F.lit(7)), F.col(blocks))
+
+
+def _every(blocks: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+
+
+def _linked(classes: DataFrame, n: int, dimension: int, threshold: float, radius: float) -> DataFrame:
+    """(a, b): spanning edges of the near pairs among n vectors of one length, found by way of lists."""
+    classes = classes.where(F.size("embedding") == dimension)
+    blobs = classes.select("node", "embedding").mapInArrow(_blobs, "node long, vector binary")
+    lists = int(np.clip(n // LIST, 1, LISTS))
+    size = max(1, min(lists * PER_LIST, SAMPLE_FLOATS // dimension))
+    sample = blobs.join(F.broadcast(classes.select("node", "embedding").orderBy(F.xxhash64("embedding"), "node").limit(size).select("node")), "node").select("vector").toArrow().column(0).to_pylist()
+    if not sample:
+        sample = [np.ones(dimension).tobytes()]
+    shared = classes.sparkSession.sparkContext.broadcast(Quantiser.fit(_unit(sample), lists))  # LISTS centres at most
+    dealt = written(blobs.mapInArrow(_index(shared, radius), "node long, vector binary, list long, asks boolean, codes binary, error double"), "lists")
+    # Cells: a list's index in blocks, its queries in blocks.
+    number = dealt.groupBy("list").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK), F.lit(1)).cast("long").alias(k) for k, c in (("kept_blocks", ~F.col("asks")), ("ask_blocks", F.col("asks")))])
+    cells = dealt.join(number, "list").withColumn("i", F.explode(F.when(F.col("asks"), _every("kept_blocks")).otherwise(F.array(_own("kept_blocks"))))).withColumn("j", F.explode(F.when(F.col("asks"), F.array(_own("ask_blocks"))).otherwise(_every("ask_blocks")))).drop("kept_blocks", "ask_blocks")
+    return cells.groupBy("list", "i", "j").applyInPandas(_search(shared, threshold, radius), "a long, b long")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row for each vector: (vec_id, n_links, component_id, kept).
 
     n_links counts the other vectors with a cosine of ``threshold`` or more in double precision, component_id is the
     smallest vec_id that links lead to, kept is vec_id = component_id. Vectors that are null, empty, zero or hold null or
-    non-finite components, and those without the most common dimension, link with nothing; equal vectors are one class
-    and link with each other. The quantiser is fitted on a bounded sample (PER_LIST, SAMPLE_FLOATS); all vectors are
+    non-finite components link with nothing, and vectors link within their length only; equal vectors are one class
+    and link with each other. The quantiser of a length is fitted on a bounded sample (PER_LIST, SAMPLE_FLOATS); all vectors are
     indexed and all are queries. Null ids sort first.
     """
     spark = vectors.sparkSession
@@ -212,29 +239,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     rows = written(vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast("array<double>").alias("embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     good = rows.where(F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0), F.lit(False)))
-    usual = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = usual["d"] if usual else 1
-    good = good.where(F.size("embedding") == dimension)
     classes = written(good.groupBy("embedding").agg(F.min(F.struct("vec_id", "row")).alias("least"), F.count("*").alias("copies")).select(F.col("least.row").alias("node"), F.col("least.vec_id").alias("copy_id"), "copies", "embedding"), "classes")
-    n = classes.count()
-    lists = int(np.clip(n // LIST, 1, LISTS))
-    size = max(1, min(lists * PER_LIST, SAMPLE_FLOATS // dimension))
     blobs = classes.select("node", "embedding").mapInArrow(_blobs, "node long, vector binary")
-    sample = blobs.join(F.broadcast(classes.select("node", "embedding").orderBy(F.xxhash64("embedding"), "node").limit(size).select("node")), "node").select("vector").toArrow().column(0).to_pylist()
-    if not sample:
-        sample = [np.ones(dimension).tobytes()]
-    shared = spark.sparkContext.broadcast(Quantiser.fit(_unit(sample), lists))  # LISTS centres at most
-    dealt = written(blobs.mapInArrow(_index(shared, radius), "node long, vector binary, list long, asks boolean, codes binary, error double"), "lists")
-    # Cells: a list's index in blocks, its queries in blocks.
-    number = dealt.groupBy("list").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK), F.lit(1)).cast("long").alias(k) for k, c in (("kept_blocks", ~F.col("asks")), ("ask_blocks", F.col("asks")))])
-    own = lambda k: F.pmod(F.xxhash64("node", F.lit(7)), F.col(k))
-    every = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
-    cells = dealt.join(number, "list").withColumn("i", F.explode(F.when(F.col("asks"), every("kept_blocks")).otherwise(F.array(own("kept_blocks"))))).withColumn("j", F.explode(F.when(F.col("asks"), F.array(own("ask_blocks"))).otherwise(every("ask_blocks")))).drop("kept_blocks", "ask_blocks")
-    edges = cells.groupBy("list", "i", "j").applyInPandas(_search(shared, threshold, radius), "a long, b long")
-    groups = cut(components(edges))
+    # Vectors link within a length only: the most common one and all of more than a block have lists, others are one group.
+    lengths = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d")
+    usual = lengths.first()
+    listed = sorted({(r["d"], r["n"]) for r in [*([usual] if usual else []), *lengths.where(F.col("n") > BLOCK).collect()]}) or [(1, 0)]
+    edges = reduce(DataFrame.unionAll, [_linked(classes, n, d, threshold, radius) for d, n in listed])
+    others = classes.where(~F.size("embedding").isin([d for d, _ in listed])).select("node", (-F.size("embedding")).cast("long").alias("component"))
+    groups = cut(components(edges).select("node", "component").unionAll(others))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     member = groups.join(blocks, "component").join(classes.select("node", "copies"), "node").join(blobs, "node")
-    paired = member.withColumn("block", own("blocks")).withColumn("other", F.explode(every("blocks"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    paired = member.withColumn("block", _own("blocks")).withColumn("other", F.explode(_every("blocks"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     few = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(F.xxhash64("component", "one", "two").bitwiseOR(F.lit(1 << 40)))
     exact = written(paired.select(cell.alias("cell"), "component", "node", "copies", "vector", "block", "one", "two").groupBy("cell").applyInPandas(_count(threshold), "node long, other long, links long"), "links")
