@@ -79,3 +79,13 @@ def test_search_in_several_indexes(spark, monkeypatch):
     monkeypatch.setattr(d, "INDEX_POSTINGS", 300)
     parts = sorted(map(tuple, d.leaks(docs, bench).collect()))
     assert [x[:2] for x in parts] == [x[:2] for x in whole] and [x[2] for x in parts] == pytest.approx([x[2] for x in whole])
+
+
+def test_damaged_short_answer(spark):
+    question = "Which river runs through the old city of Ambria and its seven quarters, past the mill, the tannery and the long stone bridge of the weavers?"
+    item = question + " The green Tessel."
+    docs = spark.createDataFrame([(1, item), (2, question), (3, question + " The green Tassel."), (4, " ".join(question.split()[:17])), (5, " ".join(question.split()[:17]) + " The green Tessel.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "Other question entirely, about bees? Honey is made by them.")], "item_id long, text string")
+    found = {r["doc_id"]: (r["question_overlap"], r["answer_overlap"]) for r in d.leaks(docs, bench).collect()}
+    assert found.keys() == {1, 2, 3, 5} and found[2] == found[3] == (1.0, 0.0)
+    assert [r["doc_id"] for r in d.clean(docs, bench).collect()] == [4]

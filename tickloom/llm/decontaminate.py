@@ -3,7 +3,7 @@
 Impacts are BM25 contributions divided by the item's score against itself, so a threshold is the share of an item that a
 passage must hold. Passages whose best possible score stays below the threshold have no pivot and are passed over for a
 whole batch at once; the rest run the document-at-a-time search. Items found are verified: the document must hold
-enough of the word shingles of the item's question and of its answer.
+enough of the word shingles of the item's question and of its answer, or nearly all of the whole item's.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from tickloom.llm.common import cut, unused
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the shingles of question and answer.
 THRESHOLD, OVERLAP = 0.5, 0.5
+#: Share of all shingles of an item that is enough by itself: an answer of few shingles may be damaged then.
+WHOLE = 0.8
 #: Words of a verified shingle; postings of a block; the shortest passage.
 SHINGLE, BLOCK, PASSAGE = 3, 4, 128
 #: Passages whose block bounds are summed at once.
@@ -56,14 +58,14 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, row, n_words, term, tf, question, answer): a row for each term, shingles on the item's first row only."""
+    """(item, row, n_words, term, tf, question, answer, whole): a row for each term, shingles on the item's first row only."""
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         halves = [question_answer(t) for t in texts]
         shingles = []
-        for side in (0, 1):
+        for side in ([q for q, _ in halves], [a for _, a in halves], texts):
             got = []
-            for _, _, h, first in words(pa.array([x[side] for x in halves], pa.string())):
+            for _, _, h, first in words(pa.array(side, pa.string())):
                 g, begin = tb.grams(h, first, SHINGLE)
                 got += [np.unique(g[begin[i] : begin[i + 1]]).view(np.int64).tolist() for i in range(len(begin) - 1)]
             shingles.append(got)
@@ -72,8 +74,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(row, end):
                 terms, tf = np.unique(h[first[i - row] : first[i - row + 1]], return_counts=True)
                 n = int(tf.sum())
-                out += [{"item": batch.column(0)[i].as_py(), "row": batch.column(2)[i].as_py(), "n_words": n, "term": t, "tf": c, "question": q, "answer": a} for t, c, q, a in zip(terms.view(np.int64).tolist(), tf.tolist(), [shingles[0][i], *[None] * len(terms)], [shingles[1][i], *[None] * len(terms)])]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("item", batch.schema.types[0]), ("row", pa.int64()), ("n_words", pa.int64()), ("term", pa.int64()), ("tf", pa.int64()), ("question", pa.list_(pa.int64())), ("answer", pa.list_(pa.int64()))]))
+                out += [{"item": batch.column(0)[i].as_py(), "row": batch.column(2)[i].as_py(), "n_words": n, "term": t, "tf": c, "question": q, "answer": a, "whole": s} for t, c, q, a, s in zip(terms.view(np.int64).tolist(), tf.tolist(), *([x[i], *[None] * len(terms)] for x in shingles))]
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("item", batch.schema.types[0]), ("row", pa.int64()), ("n_words", pa.int64()), ("term", pa.int64()), ("tf", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("question", "answer", "whole"))]))
 
 
 class Index:
@@ -88,7 +90,7 @@ class Index:
         for k, (_, terms) in enumerate(sorted(items.items())):
             head = next(r for r in terms if r["question"] is not None)
             self.ids.append(head["item"])
-            self.sides.append(tuple(np.array(head[s], np.int64).view(np.uint64) for s in ("question", "answer")))
+            self.sides.append(tuple(np.array(head[s], np.int64).view(np.uint64) for s in ("question", "answer", "whole")))
             weigh = [math.log(1 + (n_items - r["df"] + 0.5) / (r["df"] + 0.5)) * r["tf"] * (K1 + 1) / (r["tf"] + K1 * (1 - B + B * r["n_words"] / mean_words)) for r in terms]
             own = sum(weigh)
             for r, w in zip(terms, weigh, strict=True):
@@ -202,7 +204,7 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     """Broadcast indexes that together hold all items, none with more than about INDEX_POSTINGS postings."""
     rows = benchmark.select(benchmark[item_id].alias("item"), benchmark[text].alias("text"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    kind = T.StructType([rows.schema["item"], rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_words", "term", "tf")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("question", "answer"))])
+    kind = T.StructType([rows.schema["item"], rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_words", "term", "tf")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("question", "answer", "whole"))])
     terms = cut(rows.mapInArrow(_item_rows, kind))
     whole = terms.agg(F.count("*").alias("postings"), F.sum(F.col("question").isNotNull().cast("long")).alias("items"), F.sum("tf").alias("words")).first()
     if not whole["postings"]:
@@ -222,8 +224,8 @@ def _hits(column: pa.Array, found: list, threshold: float, overlap: float) -> It
             for text, items in index.candidates(hashes, first, passage, threshold).items():
                 grams = np.unique(tb.grams(hashes[first[text] : first[text + 1]], np.array([0, first[text + 1] - first[text]]), SHINGLE)[0])
                 for item, score in sorted(items.items()):
-                    q, a = (float(np.isin(side, grams, assume_unique=True).mean()) if len(side) else 1.0 for side in index.sides[item])
-                    if q >= overlap and a >= overlap:
+                    q, a, whole = (float(np.isin(side, grams, assume_unique=True).mean()) if len(side) else 1.0 for side in index.sides[item])
+                    if (q >= overlap and a >= overlap) or whole >= WHOLE:
                         yield row + text, index.ids[item], score, q, a
 
 
@@ -231,7 +233,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each test item found in each document.
 
     Whole texts are searched, in passages of at least twice the longest item that begin every half passage, so an item
-    that a document holds in one piece lies in one passage. Null and empty texts and items find nothing; repeated rows each have
+    that a document holds in one piece lies in one passage. An item counts if the document holds ``overlap`` of the shingles
+    of its question and of its answer, or WHOLE of all its shingles. Null and empty texts and items find nothing; repeated rows each have
     their rows; an empty benchmark finds nothing.
     """
     found = indexes(benchmark, item_id, item_text)
