@@ -65,3 +65,15 @@ def test_awkward_documents(spark, learned):
 def test_nothing_learned_and_no_rows(spark, learned):
     assert {r["lang_pred"] for r in language.language_id(awkward(spark).drop("lang").selectExpr("*", "cast(null AS string) AS lang")).collect()} == {"und"}
     assert language.language_id(nothing(spark)).count() == 0 and language.identify(nothing(spark), learned).count() == 0
+
+
+def test_phrases_are_normalised_by_the_length_of_the_sample(spark):
+    rng = random.Random(8)
+    make = lambda n, weights: "".join(rng.choices("abcd", weights, k=n))
+    much, little = (1, 1, 1, 1), (12, 4, 3, 1)
+    samples = (("little", make(300, little).encode()), ("much", make(30_000, much).encode()))
+    rows = [(n, make(400, little if n % 2 else much)) for n in range(60)]
+    out = language.identify(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()
+    right = sum(r["lang_pred"] == ("little" if r["doc_id"] % 2 else "much") for r in out)
+    print(f"{right} of 60 right")
+    assert right == 60 and all(0.5 <= r["score"] <= 1 for r in out)

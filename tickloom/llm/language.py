@@ -1,7 +1,8 @@
 """Language identification by cross-parsing: the language whose text explains a document in the fewest phrases.
 
 A suffix automaton of labelled text for each language gives the longest match from any place; a document is parsed
-greedily into such matches, and phrases are counted for each language. Documents are parsed in columns: all segments of
+greedily into such matches, and phrases are counted for each language, weighed by the logarithm of the length of its
+text, as a short text has short matches. Documents are parsed in columns: all segments of
 a slice advance one letter at a time through one table of transitions.
 """
 
@@ -144,11 +145,14 @@ def learn(docs: DataFrame, test_fold: int | None = 0, folds: int = 5, doc_id: st
 def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every document.
 
-    The language with the fewest phrases wins, the first by name on a tie; score weighs every phrase more than the
+    A language's phrases are normalised to those of the longest sample: times log2 of its own letters, by log2 of the most.
+    The language with the fewest wins, the first by name on a tie; score weighs every phrase more than the
     winner's by a half: 1 / sum(2 ** -(phrases - fewest)). Texts that are null or have no letter are ``und`` with score 0,
     and so are all texts if no language was learned.
     """
     names = [name for name, _ in samples]
+    weight = np.log2([max(len(sample), 2) for _, sample in samples])
+    weight = weight / weight.max() if names else weight
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_LETTERS bytes a language
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +163,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], doc_id: st
                 found = lettered[row:end] & bool(names)
                 pred, score = np.full(end - row, "und", object), np.zeros(end - row)
                 if found.any():
-                    count = phrases(*letters(data, offsets), shared.value)
+                    count = phrases(*letters(data, offsets), shared.value) * weight
                     best = count.argmin(1)
-                    sure = 1 / np.exp2(-(count - count.min(1)[:, None]).astype(float)).sum(1)
+                    sure = 1 / np.exp2(-(count - count.min(1)[:, None])).sum(1)
                     pred[found], score[found] = np.array(names, object)[best][found], sure[found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
