@@ -71,3 +71,17 @@ def test_loser_tree_merges_in_order():
     assert [w for _, w in out] == sorted(w for words in rows for w in words)
     common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
     assert [s for s, _ in out][1:] == [common(a, b) for (_, a), (_, b) in zip(out, out[1:], strict=False)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_negative_ids(spark, seed):
+    rng = random.Random(seed)
+    parts = ["".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(5)]
+    ids = [-1, -(2**62), -300, 0, 1, 2, 7, 200, None]
+    rows = [(i, "".join(rng.choice(parts)[rng.randrange(0, 20) :] for _ in range(3))) for i in ids]
+    assert got(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_small_numbers_read_back():
+    for values in ([], [0, 255], [-1], [-1, 3], [-(2**63), 2**63 - 1], [70_000, 2]):
+        assert suffixes.unsmall(suffixes.small(suffixes.np.array(values, suffixes.np.int64))).tolist() == values

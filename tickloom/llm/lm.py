@@ -43,8 +43,8 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def small(values: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type that holds them; the first byte says which."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << (8 * w))
+    """Numbers in the narrowest unsigned type that holds them, any negative ones in 8 bytes; the first byte says which."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or (int(values.min()) >= 0 and int(values.max()) < 1 << (8 * w)))
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 

@@ -85,7 +85,7 @@ class Block:
     def anchors(self, block: int) -> list[dict]:
         """Distinct anchor hashes by bucket, and which of them several documents of the block have."""
         distinct, place = np.unique(self.hash, return_inverse=True)
-        low, high = np.full(len(distinct), _NO_ID), np.full(len(distinct), -1)
+        low, high = np.full(len(distinct), _NO_ID), np.full(len(distinct), -_NO_ID - 1)
         np.minimum.at(low, place, self.ids[self.doc])
         np.maximum.at(high, place, self.ids[self.doc])
         bucket = ((distinct >> np.uint64(24)) * np.uint64(self.buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
