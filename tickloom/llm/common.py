@@ -17,16 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of a batch that goes to a Python worker, so that wide or long rows don't make large ones.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Without ``spark.checkpoint.dir`` (tests, one machine) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset one in the warehouse.
+
+    Only a session that is one process (``local``, as in tests) takes a temporary folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     if not getattr(spark, "_tickloom_dir", None):
-        spark._tickloom_dir = tempfile.mkdtemp(prefix="tickloom-")
+        one_process = spark.sparkContext.master.split("[")[0] == "local"
+        spark._tickloom_dir = tempfile.mkdtemp(prefix="tickloom-") if one_process else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tickloom-scratch"
     return spark._tickloom_dir
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_ROWS and BATCH_BYTES where they are larger.
+
+    Operators that hand texts to Python call it: a batch is held once in the executor and some times in its worker.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df``: later reads don't recompute it and survive lost executors."""
     context = df.sparkSession.sparkContext
@@ -55,6 +75,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where the column ``name`` stands in the rows of ``df``."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def parts_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
     """Partitions so that each gets about ``each``, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows_or_bytes / each))

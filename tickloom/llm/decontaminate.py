@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import cut, unused
+from tickloom.llm.common import cut, place, small_batches
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the shingles of question and answer.
@@ -237,6 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     of its question and of its answer, or WHOLE of all its shingles. Null and empty texts and items find nothing; repeated rows each have
     their rows; an empty benchmark finds nothing.
     """
+    small_batches(docs.sparkSession)
     found = indexes(benchmark, item_id, item_text)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", benchmark.schema[item_id].dataType), *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
@@ -253,14 +254,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a test item, all columns as they were."""
-    found = indexes(benchmark, item_id, item_text)
-
-    own = unused(docs, "text_to_search")
+    small_batches(docs.sparkSession)
+    found, at = indexes(benchmark, item_id, item_text), place(docs, text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = np.ones(batch.num_rows, bool)
-            kept[[h[0] for h in _hits(batch.column(batch.schema.names.index(own)), found, threshold, overlap)]] = False
-            yield batch.drop_columns([own]).filter(pa.array(kept))
+            kept[[h[0] for h in _hits(batch.column(at), found, threshold, overlap)]] = False
+            yield batch.filter(pa.array(kept))
 
-    return docs.withColumn(own, docs[text]).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, written
+from tickloom.llm.common import cut, small_batches, written
 from tickloom.llm.components import components, forest
 
 THRESHOLD = 0.9
@@ -235,6 +235,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     indexed and all are queries. Null ids sort first.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     radius = float(np.sqrt(2 - 2 * threshold))
     rows = written(vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast("array<double>").alias("embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))

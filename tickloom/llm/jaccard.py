@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import cut, parts_for, written
+from tickloom.llm.common import cut, parts_for, small_batches, written
 from tickloom.llm.components import components, forest
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -263,6 +263,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     documents of their own, of which one is kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text].cast("binary")).alias("text_hash"), docs[text].alias("text"))
     kind = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "n", "key1", "key2")), T.StructField("sketch", T.BinaryType())])
     sketched = written(rows.mapInArrow(_sketches, kind).withColumn("row", F.monotonically_increasing_id()), "sketches")

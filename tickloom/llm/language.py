@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import fold
+from tickloom.llm.common import fold, small_batches
 
 #: The labelled sample of a language: so many documents at most, and so many letters of them.
 SAMPLE_DOCS, SAMPLE_LETTERS = 24, 40_000
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], doc_id: st
     winner's by a half: 1 / sum(2 ** -(phrases - fewest)). Texts that are null or have no letter are ``und`` with score 0,
     and so are all texts if no language was learned.
     """
+    small_batches(docs.sparkSession)
     names = [name for name, _ in samples]
     weight = np.log2([max(len(sample), 2) for _, sample in samples])
     weight = weight / weight.max() if names else weight

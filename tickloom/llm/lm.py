@@ -2,7 +2,8 @@
 
 Documents are dealt to blocks. A block sends its distinct n-grams with their counts to the hash buckets of the count
 tables; a bucket sums them over the corpus and answers every block with the totals of what it sent; the block adds up the
-scores of its documents. n-grams travel as sorted, delta-packed hashes, so neither text nor one row an n-gram is moved.
+scores of its documents. n-grams travel as sorted, delta-packed hashes, so neither text nor one row an n-gram is moved;
+there are never more rows than n-grams, however many blocks and buckets there are.
 Longer n-grams are only sent if both shorter ones in them are frequent enough, as no others can be.
 """
 
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import WORD, parts_for
+from tickloom.llm.common import WORD, parts_for, small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: Bits of an n-gram's hash; bytes of text in a block.
-HASH_BITS, BLOCK_BYTES = 56, 16 << 20
+#: Bits of an n-gram's hash (see score_documents for collisions); bytes of text in a block, some 16 times as much in memory.
+HASH_BITS, BLOCK_BYTES = 56, 8 << 20
 
 _SENT = "block long, bucket long, n long, number long, hashes binary, counts binary"
 _ANSWER = "block long, bucket long, n long, number long, mask binary, totals binary"
@@ -68,8 +69,12 @@ class Block:
         for n in range(1, order + 1):
             if n > 1:
                 long = tb.mixed(long * np.uint64(0xD1342543DE82EF95) + np.concatenate([word[n - 1 :], np.zeros(min(n - 1, len(word)), np.uint64)]) + np.uint64(n))
-            self.at[n] = np.flatnonzero(left >= n)  # where n-grams begin
-            self.distinct[n], self.place[n], self.count[n] = np.unique(long[self.at[n]] >> np.uint64(64 - HASH_BITS), return_inverse=True, return_counts=True)
+            self.at[n] = np.flatnonzero(left >= n).astype(np.int32)  # where n-grams begin
+            self.distinct[n], place, count = np.unique(long[self.at[n]] >> np.uint64(64 - HASH_BITS), return_inverse=True, return_counts=True)
+            self.place[n], self.count[n] = place.astype(np.int32), count.astype(np.int32)
+            del place, count
+        del word, left, long
+        tb.release()
 
     def _bounds(self, n: int) -> np.ndarray:
         edges = [-(-(b << HASH_BITS) // self.buckets) for b in range(self.buckets)]
@@ -112,20 +117,29 @@ def _known(block: Block, upto: int, answers: list[dict]) -> tuple[dict[int, np.n
     return totals, wanted
 
 
+def dealt_to_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """``rows`` (doc_id, text) with their ``block``: by a hash of the row, so that equal ids or texts don't meet in one."""
+    numbered = F.xxhash64(F.col("doc_id").cast("string"), F.octet_length("text"), F.monotonically_increasing_id())
+    return rows.withColumn("block", F.pmod(numbered, F.lit(n_blocks))).repartition(n_blocks, "block")
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_backed_off, log_score) for every document, with counts over all documents.
 
     A word scores log(c(n-gram) / c(context)) for the longest n-gram ending in it, within its text and of at most
     ``order`` words, that occurs ``min_count`` times in the corpus; every shorter step adds log(backoff); a single word scores
     log(c(word) / words of the corpus). n_backed_off counts the words whose longest n-gram was too rare. Words are runs
-    of anything but ASCII white space. Null and empty texts score 0; repeated rows count and score each.
+    of anything but ASCII white space. Null and empty texts score 0; repeated rows count and score each, ties don't
+    arise, an empty table gives no rows and further columns play no part. n-grams are told apart by HASH_BITS of a hash:
+    among 10**12 distinct ones a single one shares its count with another with a chance of 1 in 70,000.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n_blocks = parts_for(spark, total["bytes"] or 0, BLOCK_BYTES)
     penalty, corpus = float(np.log(backoff)), max(total["words"] or 0, 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.octet_length("text")), F.lit(n_blocks))).repartition(n_blocks, "block")
+    dealt = dealt_to_blocks(rows, n_blocks)
     sent, answer = (pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in x.split(", ")]) for x in (_SENT, _ANSWER))
 
     def send_first(table: pa.Table) -> pa.Table:
@@ -142,9 +156,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         return send
 
     def add_up(table: pa.Table) -> pa.Table:
-        out = []
-        for n in np.unique(np.asarray(table["n"])).tolist():
-            some = [r for r in table.to_pylist() if r["n"] == n]
+        out, rows = [], table.to_pylist()
+        for n in sorted({r["n"] for r in rows}):
+            some = [r for r in rows if r["n"] == n]
             hashes = [unpack(r["hashes"]) for r in some]
             _, place = np.unique(np.concatenate(hashes), return_inverse=True)
             counts = np.bincount(place, np.concatenate([unsmall(r["counts"]) for r in some])).astype(np.int64)
@@ -156,6 +170,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         return pa.Table.from_pylist(out, answer)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out_schema = pa.schema([table.schema.field("doc_id"), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score", pa.float64())])
         if not table.num_rows:
             return out_schema.empty_table()
         block = Block(table["text"], order, n_blocks)
@@ -180,8 +195,6 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(block.words), pa.array(add(used < longest).astype(np.int64)), pa.array(add(value))], schema=out_schema)
 
     out_type = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_backed_off")), T.StructField("log_score", T.DoubleType())])
-    kind = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(rows.schema["doc_id"].dataType, pa.string())
-    out_schema = pa.schema([("doc_id", kind), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score", pa.float64())])
     answers = dealt.groupBy("block").applyInArrow(send_first, _SENT).groupBy("bucket").applyInArrow(add_up, _ANSWER)
     for n in range(3, order + 1):
         more = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send_next(n), _SENT)

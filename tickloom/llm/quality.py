@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import fold, unused
+from tickloom.llm.common import fold, place, small_batches, unused
 
 #: Bounds of the fitted sample: positives, unlabelled documents.
 POSITIVES, UNLABELLED = 10_000, 20_000
@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     The sample is bounded: POSITIVES documents of label 1 and UNLABELLED of any, the first by a hash of their id. A
     document with several labels counts once for each; null labels are skipped. Without positives every score is the prior.
     """
+    small_batches(docs.sparkSession)
     keep = F.lit(True) if test_fold is None else fold("doc_id", folds) != test_fold
     marks = labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("label")).where("label IS NOT NULL").where(keep)
     ids = docs.select(docs[doc_id].alias("doc_id")).where("doc_id IS NOT NULL").where(keep)
@@ -142,18 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the column ``into``: how likely label 1 is for the whole text. Null texts score as empty ones."""
 
-    own = unused(docs, "text_to_score")
+    small_batches(docs.sparkSession)
+    at = place(docs, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.names.index(own))
-            rest = batch.drop_columns([own])
-            for row, end, data, offsets in tb.slices(column):
-                part = rest.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(data, offsets)))], [*rest.schema.names, into])
+            for row, end, data, offsets in tb.slices(batch.column(at)):
+                part = batch.slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(data, offsets)))], [*batch.schema.names, into])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.withColumn(own, docs[text]).mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

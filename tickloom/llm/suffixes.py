@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import parts_for
-from tickloom.llm.lm import HASH_BITS, pack, small, unpack, unsmall
+from tickloom.llm.common import parts_for, small_batches
+from tickloom.llm.lm import HASH_BITS, dealt_to_blocks, pack, small, unpack, unsmall
 
 SPAN, KMER = 50, 20
 #: Text of a block; a task needs some 25 times as much while it sorts.
@@ -268,10 +268,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Texts under 50 bytes keep all. Rows with one doc_id don't count as smaller than each other; null ids count as larger
     than all. Bytes may be cut inside a character.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = parts_for(docs.sparkSession, size, BLOCK_BYTES)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_blocks))).repartition(n_blocks, "block")
+    dealt = dealt_to_blocks(rows, n_blocks)
     anchors_schema, shared_schema, run_schema, removed_schema = map(_schema, (_ANCHORS, _SHARED, _RUN, _REMOVED))
     id_type = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}[rows.schema["doc_id"].dataType]
     out_schema = pa.schema([("doc_id", id_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first:last], (offsets - first if len(column) else np.zeros(1, np.int64))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker outlives its stage, and what it keeps is missing in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of parts of about ``most`` bytes."""
+    """(first row, end row, bytes, offsets) of parts of about ``most`` bytes; memory is released after the last."""
     data, offsets = utf8(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import small_batches
+
 KEYS = ("source", "lang", "version")
 _LEDGER = "doc_id long, source string, lang string, version string, docs long, tokens long, batch long"
 _TOTALS = "source string, lang string, version string, docs long, tokens long, batch long"
@@ -36,6 +38,7 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, texts: Mapping[s
     ``texts`` names the new columns and the text column of each, by default ``tokens`` of ``text``; with ``keep=False``
     the text columns are left out. The vocabulary file is read on the driver and broadcast; it is a few MB whatever the corpus.
     """
+    small_batches(docs.sparkSession)
     texts = dict(texts or {"tokens": "text"})
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
