@@ -8,7 +8,28 @@ from tickloom.llm import decontaminate as d
 
 
 def terms(text):
-    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    """Letters and digits in runs; characters from U+0800 on one by one, but punctuation."""
+    return re.findall(r"[\u0800-\u1fff\u2080-\u2fff\u3040-\ufeff\U00010000-\U0010ffff]|[0-9a-z\u0080-\u07ff]+", (text or "").lower())
+
+
+def halves(text):
+    """An item's terms as question and answer: whole last sentences of three terms, else the middle."""
+    parts = [terms(x) for x in re.split(r"(?<=[.!?])\s+|(?<=[。！？])\s*", text.strip())]
+    every = [t for x in parts for t in x]
+    n = 0
+    for k in range(len(parts) - 1, 0, -1):
+        n += len(parts[k])
+        if n >= 3 and len(every) - n >= 3:
+            return every[:-n], every[-n:]
+    return every[: len(every) // 2], every[len(every) // 2 :]
+
+
+def held(side, doc):
+    """The share of a side's runs of three terms (or of all its terms, if fewer) that a document has in one piece."""
+    n = min(3, len(side))
+    runs = {tuple(side[k : k + n]) for k in range(len(side) - n + 1)} if n else set()
+    have = {tuple(doc[k : k + n]) for k in range(len(doc) - n + 1)}
+    return len(runs & have) / len(runs) if runs else 1.0
 
 
 def brute(docs, items):
@@ -26,12 +47,10 @@ def brute(docs, items):
         own = sum(raw.values())
         weigh[i] = {t: x / own for t, x in raw.items()}
     passage = max(d.PASSAGE, 2 * max(len(w) for _, w in bags))
-    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
-    sides = {i: [grams(terms(s)) for s in d.question_answer(t or "")] for i, t in items}
+    sides = {i: [*halves(t or ""), terms(t)] for i, t in items}
     out = {}
     for doc, text in docs:
         w = terms(text)
-        have = grams(w)
         for shift in (0, passage // 2):
             cut = {}
             for k, t in enumerate(w):
@@ -39,7 +58,10 @@ def brute(docs, items):
             for bag in cut.values():
                 for i, own in weigh.items():
                     score = sum(x for t, x in own.items() if t in bag)
-                    if score >= d.THRESHOLD - 1e-9 and all(len(s & have) >= d.OVERLAP * len(s) for s in sides[i]):
+                    if score < d.THRESHOLD - 1e-9:
+                        continue
+                    q, a, whole = (held(s, w) for s in sides[i])
+                    if (q >= d.OVERLAP and a >= d.OVERLAP) or whole >= d.WHOLE:
                         out[doc, i] = max(score, out.get((doc, i), 0))
     return out
 
@@ -89,3 +111,23 @@ def test_damaged_short_answer(spark):
     found = {r["doc_id"]: (r["question_overlap"], r["answer_overlap"]) for r in d.leaks(docs, bench).collect()}
     assert found.keys() == {1, 2, 3, 5} and found[2] == found[3] == (1.0, 0.0)
     assert [r["doc_id"] for r in d.clean(docs, bench).collect()] == [4]
+
+
+def test_short_and_unspaced_items(spark):
+    items = [
+        "What is the value of x in the equation of the four constants? x = 5",
+        "Capital of France? Paris.",
+        "中国的首都是哪里。答案是北京。",
+        "เมืองหลวงของไทยคือกรุงเทพ",
+        "Yes.",
+    ]
+    filler = "plain words that say little of note and carry on for a while, none of them in any test. "
+    around = "这是一个很长的句子没有空格"
+    texts = [x for item in items for x in (item, filler * 30 + item + " " + filler * 30, around + item + around)] + [filler * 10, around, "Paris, the capital of many things in France", "5 = x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute(list(enumerate(texts)), list(enumerate(items)))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in d.leaks(docs, bench).collect()}
+    assert {(3 * i + k, i) for i in range(len(items)) for k in range(3)} <= got.keys()
+    assert got.keys() == want.keys() and got == pytest.approx(want)
+    assert not {doc for doc, _ in got} & set(range(15, 19))

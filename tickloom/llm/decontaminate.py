@@ -3,7 +3,7 @@
 Impacts are BM25 contributions divided by the item's score against itself, so a threshold is the share of an item that a
 passage must hold. Passages whose best possible score stays below the threshold have no pivot and are passed over for a
 whole batch at once; the rest run the document-at-a-time search. Items found are verified: the document must hold
-enough of the word shingles of the item's question and of its answer, or nearly all of the whole item's.
+enough of the term shingles of the item's question and of its answer, or nearly all of the whole item's.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import cut, place, small_batches
+from tickloom.llm.common import cut, place, small_batches, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the shingles of question and answer.
@@ -33,48 +33,84 @@ SHINGLE, BLOCK, PASSAGE = 3, 4, 128
 #: Passages whose block bounds are summed at once.
 WINDOWS = 512
 #: Postings of one broadcast index (about 100 bytes each); more items than that are split over several indexes.
-INDEX_POSTINGS = 1_000_000
+INDEX_POSTINGS = 250_000
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[48:58] = _WORD_BYTE[97:123] = _WORD_BYTE[128:] = True
+#: Where a sentence ends: at a mark before white space, or at one of a script that is written without spaces.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """Each place's value one place before."""
+    return np.concatenate([np.zeros(1, bool), x[:-1]])
+
+
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the terms of lower-case UTF-8 and each text's first term.
+
+    Terms are runs of letters and digits; a character of three or more bytes (scripts that may be written without
+    spaces) is a term of its own, but the punctuation among these only separates.
+    """
+    lead = data >= 0xE0
+    long = lead | _before(lead) | _before(_before(lead)) | _before(_before(_before(data >= 0xF0)))
+    second = np.append(data[1:], 0)
+    mark = ((data == 0xE2) & (second <= 0x81)) | ((data == 0xE3) & (second == 0x80)) | ((data == 0xEF) & (second >= 0xBC) & (second <= 0xBD))
+    inside = _WORD_BYTE[data] & ~(mark | _before(mark) | _before(_before(mark)))
+    begins = inside & (~_before(inside) | lead | (_before(long) & ~long))
+    edge = offsets[1:-1][offsets[1:-1] < len(data)]
+    begins[edge] = inside[edge]
+    ends = inside & np.append(~inside[1:] | begins[1:], True) if len(data) else inside
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
 def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, each text's first word) of lower-case texts; punctuation only separates."""
+    """(first row, end row, term hashes, each text's first term) of lower-cased texts."""
     for row, end, data, offsets in tb.slices(pc.utf8_lower(column)):
-        starts, ends, first = tb.spans(data, offsets, _WORD_BYTE)
+        starts, ends, first = _terms(data, offsets)
         yield row, end, tb.span_hashes(data, starts, ends), first
 
 
-def question_answer(text: str) -> tuple[str, str]:
-    """The fewest last sentences with at least SHINGLE words are an item's answer; an item that leaves no question is halved."""
-    sentences = re.split(r"(?<=[.!?])\s+", text.strip())
-    for k in range(len(sentences) - 1, 0, -1):
-        question, answer = " ".join(sentences[:k]), " ".join(sentences[k:])
-        if len(answer.split()) >= SHINGLE and len(question.split()) >= SHINGLE:
-            return question, answer
-    w = text.split()
-    return " ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])
+def _hashes(texts: list[str]) -> list[np.ndarray]:
+    """The term hashes of each text."""
+    return [h[first[i] : first[i + 1]] for _, _, h, first in words(pa.array(texts, pa.string())) for i in range(len(first) - 1)]
+
+
+def question_terms(text: str) -> int:
+    """How many of an item's terms are its question: the fewest last sentences with SHINGLE terms at least are its answer.
+
+    An item whose sentences leave no question of that size is halved.
+    """
+    number = [len(h) for h in _hashes(_SENTENCE.split(text.strip()))]
+    for k in range(len(number) - 1, 0, -1):
+        if sum(number[k:]) >= SHINGLE and sum(number[:k]) >= SHINGLE:
+            return sum(number[:k])
+    return sum(number) // 2
+
+
+def shingles(terms: np.ndarray, n: int) -> np.ndarray:
+    """The distinct hashes of the runs of ``n`` terms; none if there are fewer."""
+    return np.unique(tb.grams(terms, np.array([0, len(terms)]), n)[0]) if len(terms) >= n > 0 else np.zeros(0, np.uint64)
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, row, n_words, term, tf, question, answer, whole): a row for each term, shingles on the item's first row only."""
+    """(item, row, n_words, term, tf, question, answer, whole): a row for each term, sides on the item's first row only.
+
+    A side is its number of terms or SHINGLE, whichever is less, and the hashes of its runs of so many.
+    """
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        halves = [question_answer(t) for t in texts]
-        shingles = []
-        for side in ([q for q, _ in halves], [a for _, a in halves], texts):
-            got = []
-            for _, _, h, first in words(pa.array(side, pa.string())):
-                g, begin = tb.grams(h, first, SHINGLE)
-                got += [np.unique(g[begin[i] : begin[i + 1]]).view(np.int64).tolist() for i in range(len(begin) - 1)]
-            shingles.append(got)
         out = []
-        for row, end, h, first in words(pa.array(texts, pa.string())):
-            for i in range(row, end):
-                terms, tf = np.unique(h[first[i - row] : first[i - row + 1]], return_counts=True)
-                n = int(tf.sum())
-                out += [{"item": batch.column(0)[i].as_py(), "row": batch.column(2)[i].as_py(), "n_words": n, "term": t, "tf": c, "question": q, "answer": a, "whole": s} for t, c, q, a, s in zip(terms.view(np.int64).tolist(), tf.tolist(), *([x[i], *[None] * len(terms)] for x in shingles))]
+        for item, row, text, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts, _hashes(texts), strict=True):
+            terms, tf = np.unique(h, return_counts=True)
+            cut_at = question_terms(text)
+            sides = []
+            for side in (h[:cut_at], h[cut_at:], h):
+                n = min(SHINGLE, len(side))
+                sides.append([n, *shingles(side, n).view(np.int64).tolist()])
+            for k, (t, c) in enumerate(zip(terms.view(np.int64).tolist(), tf.tolist(), strict=True)):
+                out.append({"item": item, "row": row, "n_words": len(h), "term": t, "tf": c, **dict(zip(("question", "answer", "whole"), [None] * 3 if k else sides, strict=True))})
         yield pa.RecordBatch.from_pylist(out, pa.schema([("item", batch.schema.types[0]), ("row", pa.int64()), ("n_words", pa.int64()), ("term", pa.int64()), ("tf", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("question", "answer", "whole"))]))
 
 
@@ -90,7 +126,7 @@ class Index:
         for k, (_, terms) in enumerate(sorted(items.items())):
             head = next(r for r in terms if r["question"] is not None)
             self.ids.append(head["item"])
-            self.sides.append(tuple(np.array(head[s], np.int64).view(np.uint64) for s in ("question", "answer", "whole")))
+            self.sides.append(tuple((head[s][0], np.array(head[s][1:], np.int64).view(np.uint64)) for s in ("question", "answer", "whole")))
             weigh = [math.log(1 + (n_items - r["df"] + 0.5) / (r["df"] + 0.5)) * r["tf"] * (K1 + 1) / (r["tf"] + K1 * (1 - B + B * r["n_words"] / mean_words)) for r in terms]
             own = sum(weigh)
             for r, w in zip(terms, weigh, strict=True):
@@ -200,67 +236,92 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list:
-    """Broadcast indexes that together hold all items, none with more than about INDEX_POSTINGS postings."""
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator:
+    """Indexes that together hold all items, one after the other, none with more than about INDEX_POSTINGS postings."""
     rows = benchmark.select(benchmark[item_id].alias("item"), benchmark[text].alias("text"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     kind = T.StructType([rows.schema["item"], rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_words", "term", "tf")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("question", "answer", "whole"))])
     terms = cut(rows.mapInArrow(_item_rows, kind))
     whole = terms.agg(F.count("*").alias("postings"), F.sum(F.col("question").isNotNull().cast("long")).alias("items"), F.sum("tf").alias("words")).first()
     if not whole["postings"]:
-        return []
+        return
     parts = -(-whole["postings"] // INDEX_POSTINGS)
     full = cut(terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term"))
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Index(full.where(F.pmod("row", F.lit(parts)) == k).collect(), whole["items"], whole["words"] / whole["items"])) for k in range(parts)]
+    for k in range(parts):
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(full.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == k).collect(), whole["items"], whole["words"] / whole["items"]))
 
 
-def _hits(column: pa.Array, found: list, threshold: float, overlap: float) -> Iterator[tuple[int, object, float, float, float]]:
+def _hits(column: pa.Array, shared, threshold: float, overlap: float) -> Iterator[tuple[int, object, float, float, float]]:
     """(row, item, score, question overlap, answer overlap) of the verified items of a batch."""
+    index = shared.value
+    passage = max(PASSAGE, 2 * index.longest)
     for row, _, hashes, first in words(column):
-        for shared in found:
-            index = shared.value
-            passage = max(PASSAGE, 2 * index.longest)
-            for text, items in index.candidates(hashes, first, passage, threshold).items():
-                grams = np.unique(tb.grams(hashes[first[text] : first[text + 1]], np.array([0, first[text + 1] - first[text]]), SHINGLE)[0])
-                for item, score in sorted(items.items()):
-                    q, a, whole = (float(np.isin(side, grams, assume_unique=True).mean()) if len(side) else 1.0 for side in index.sides[item])
-                    if (q >= overlap and a >= overlap) or whole >= WHOLE:
-                        yield row + text, index.ids[item], score, q, a
+        for text, items in index.candidates(hashes, first, passage, threshold).items():
+            held: dict[int, np.ndarray] = {}
+
+            def share(side: tuple[int, np.ndarray], terms=hashes[first[text] : first[text + 1]], held=held) -> float:
+                n, wanted = side
+                if n and n not in held:
+                    held[n] = shingles(terms, n)
+                return float(np.isin(wanted, held[n], assume_unique=True).mean()) if n else 1.0
+
+            for item, score in sorted(items.items()):
+                q, a, whole = map(share, index.sides[item])
+                if (q >= overlap and a >= overlap) or whole >= WHOLE:
+                    yield row + text, index.ids[item], score, q, a
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each test item found in each document.
 
     Whole texts are searched, in passages of at least twice the longest item that begin every half passage, so an item
-    that a document holds in one piece lies in one passage. An item counts if the document holds ``overlap`` of the shingles
-    of its question and of its answer, or WHOLE of all its shingles. Null and empty texts and items find nothing; repeated rows each have
-    their rows; an empty benchmark finds nothing.
+    that a document holds in one piece lies in one passage. An item counts if the document holds ``overlap`` of the runs
+    of SHINGLE terms of its question and of its answer, or WHOLE of all its runs; a side of fewer terms must occur as it
+    is, one after the other. Null and empty texts and items find nothing; every item of several equal ones has its row, and
+    repeated rows each have their rows; an empty table on either side finds nothing; further columns play no part.
+    Documents are scanned once for each index of INDEX_POSTINGS postings, so memory doesn't grow with the benchmark.
     """
     small_batches(docs.sparkSession)
-    found = indexes(benchmark, item_id, item_text)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", benchmark.schema[item_id].dataType), *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
+    kind = benchmark.select(item_id).limit(0).toArrow().schema.types[0]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = list(_hits(batch.column(1), found, threshold, overlap))
-            at, item, *rest = zip(*hits, strict=True) if hits else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, kind), *(pa.array(x, pa.float64()) for x in rest)], schema.names)
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = list(_hits(batch.column(1), shared, threshold, overlap))
+                at, item, *rest = zip(*hits, strict=True) if hits else ((), (), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, kind), *(pa.array(x, pa.float64()) for x in rest)], schema.names)
 
-    kind = pa.int64() if schema["item_id"].dataType == T.LongType() else pa.int32() if schema["item_id"].dataType == T.IntegerType() else pa.string()
-    return rows.mapInArrow(search, schema)
+        return run
 
+    out = None
+    for shared in indexes(benchmark, item_id, item_text):
+        found = rows.mapInArrow(search(shared), schema)
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a test item, all columns as they were."""
-    small_batches(docs.sparkSession)
-    found, at = indexes(benchmark, item_id, item_text), place(docs, text)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = np.ones(batch.num_rows, bool)
-            kept[[h[0] for h in _hits(batch.column(at), found, threshold, overlap)]] = False
-            yield batch.filter(pa.array(kept))
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a test item as in leaks(), all columns as they were.
 
-    return docs.mapInArrow(keep, docs.schema)
+    Null and empty texts stay, repeated rows go or stay together, an empty benchmark keeps all. With several indexes
+    what one leaves is written before the next searches it.
+    """
+    small_batches(docs.sparkSession)
+    at = place(docs, text)
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = np.ones(batch.num_rows, bool)
+                kept[[h[0] for h in _hits(batch.column(at), shared, threshold, overlap)]] = False
+                yield batch.filter(pa.array(kept))
+
+        return run
+
+    out, several = docs, False
+    for shared in indexes(benchmark, item_id, item_text):
+        out = (written(out, "clean") if several else out).mapInArrow(keep(shared), docs.schema)
+        several = True
+    return out

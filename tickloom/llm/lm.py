@@ -20,7 +20,7 @@ from tickloom.llm.common import WORD, parts_for, small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bits of an n-gram's hash (see score_documents for collisions); bytes of text in a block, some 16 times as much in memory.
-HASH_BITS, BLOCK_BYTES = 56, 8 << 20
+HASH_BITS, BLOCK_BYTES = 56, 12 << 20
 
 _SENT = "block long, bucket long, n long, number long, hashes binary, counts binary"
 _ANSWER = "block long, bucket long, n long, number long, mask binary, totals binary"
