@@ -13,6 +13,8 @@ from tickloom.llm.common import cut
 
 #: Edges that one task reduces to a forest.
 EDGES_A_TASK = 500_000
+#: A group of more members is large; facts of so many large groups are small enough to broadcast (under 100 bytes each).
+LARGE, BROADCAST_GROUPS = 1024, 50_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,3 +76,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def with_group_facts(rows: DataFrame, facts: DataFrame, key: str, members: str) -> DataFrame:
+    """``rows`` joined to the row of ``facts`` with their ``key``; ``members`` of facts counts a group's rows.
+
+    A group may hold most rows, so large groups' rows aren't dealt by their key: large groups are few, and their facts go
+    to the rows. Only if there are more than BROADCAST_GROUPS of them is everything shuffled, each key being a small share then.
+    """
+    large = cut(facts.where(F.col(members) > LARGE))
+    n = large.count()
+    if not 0 < n <= BROADCAST_GROUPS:
+        return rows.join(facts, key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(facts.where(F.col(members) <= LARGE), key)
+    return rows.join(F.broadcast(large), key).unionByName(rest)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, small_batches, written
-from tickloom.llm.components import components, forest
+from tickloom.llm.components import components, forest, with_group_facts
 
 THRESHOLD = 0.9
 #: Codes of a subspace, subspaces, vectors of a list on average, and the most lists.
@@ -237,10 +237,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     spark = vectors.sparkSession
     small_batches(spark)
     radius = float(np.sqrt(2 - 2 * threshold))
-    rows = written(vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast("array<double>").alias("embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    raw = vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast("array<double>").alias("embedding")).withColumn("row", F.monotonically_increasing_id())
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    good = rows.where(F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0), F.lit(False)))
-    classes = written(good.groupBy("embedding").agg(F.min(F.struct("vec_id", "row")).alias("least"), F.count("*").alias("copies")).select(F.col("least.row").alias("node"), F.col("least.vec_id").alias("copy_id"), "copies", "embedding"), "classes")
+    good = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    # A class of equal vectors is told by 128 bits of its hash, so that no vector is a key of a join or an aggregate.
+    keys = [F.when(good, F.xxhash64("embedding", F.lit(k))).alias(f"key{k}") for k in (1, 2)]
+    rows = written(raw.select("vec_id", "row", *keys, F.when(good, F.col("embedding")).alias("embedding")), "vectors")
+    least = rows.where("key1 IS NOT NULL").groupBy("key1", "key2").agg(F.min(F.struct("vec_id", "row")).alias("least"), F.count("*").alias("copies"))
+    least = least.select("key1", "key2", F.col("least.row").alias("node"), F.col("least.vec_id").alias("copy_id"), "copies")
+    classes = written(least.join(rows.select(F.col("row").alias("node"), "embedding"), "node"), "classes")
     blobs = classes.select("node", "embedding").mapInArrow(_blobs, "node long, vector binary")
     # Vectors link within a length only: the most common one and all of more than a block have lists, others are one group.
     lengths = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d")
@@ -249,16 +254,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     edges = reduce(DataFrame.unionAll, [_linked(classes, n, d, threshold, radius) for d, n in listed])
     others = classes.where(~F.size("embedding").isin([d for d, _ in listed])).select("node", (-F.size("embedding")).cast("long").alias("component"))
     groups = cut(components(edges).select("node", "component").unionAll(others))
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    member = groups.join(blocks, "component").join(classes.select("node", "copies"), "node").join(blobs, "node")
+    blocks = groups.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    member = with_group_facts(groups, blocks, "component", "n").join(classes.select("node", "copies"), "node").join(blobs, "node")
     paired = member.withColumn("block", _own("blocks")).withColumn("other", F.explode(_every("blocks"))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     few = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(F.xxhash64("component", "one", "two").bitwiseOR(F.lit(1 << 40)))
     exact = written(paired.select(cell.alias("cell"), "component", "node", "copies", "vector", "block", "one", "two").groupBy("cell").applyInPandas(_count(threshold), "node long, other long, links long"), "links")
     sums = exact.where("node = other").groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(exact.where("node <> other").select("node", "other"))
-    least = parts.join(classes.select("node", "copy_id"), "node").groupBy("component").agg(F.min("copy_id").alias("component_id"))
-    known = classes.join(sums, "node", "left").join(parts.join(least, "component").select("node", "component_id"), "node", "left")
-    known = known.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "copy_id").alias("component_id"))
-    out = rows.join(known, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    parts = cut(components(exact.where("node <> other").select("node", "other")))
+    heads = parts.join(classes.select("node", "copy_id"), "node").groupBy("component").agg(F.count("*").alias("n"), F.min("copy_id").alias("component_id"))
+    told = with_group_facts(parts, heads, "component", "n").select("node", "component_id")
+    known = classes.select("node", "key1", "key2", "copy_id", "copies").join(sums, "node", "left").join(told, "node", "left")
+    known = known.select("key1", "key2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "copy_id").alias("component_id"))
+    # classes of many copies are joined apart from the rest, and vectors without a class not at all
+    own = rows.select("vec_id", F.struct("key1", "key2").alias("key"))
+    linked = with_group_facts(own.where("key.key1 IS NOT NULL"), known.select(F.struct("key1", "key2").alias("key"), "copies", "n_links", "component_id"), "key", "copies").select("vec_id", "n_links", "component_id")
+    out = linked.unionAll(own.where("key.key1 IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
