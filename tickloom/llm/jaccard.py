@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
 from tickloom.llm.common import cut, parts_for, small_batches, written
-from tickloom.llm.components import components, forest
+from tickloom.llm.components import components, forest, with_group_facts
 
 THRESHOLD, SHINGLE = 0.8, 5
 #: MinHash coordinates; the margin below the threshold at which estimates are still candidates (four deviations).
@@ -175,7 +175,7 @@ def candidate_groups(classes: DataFrame, threshold: float = THRESHOLD) -> DataFr
         rows = written(rows, "paths")
         marked = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         sizes = marked.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("n > 1 AND l1 <> l2").drop("l1", "l2")
-        held = written(rows.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "buckets")
+        held = written(with_group_facts(rows, sizes, "path", "n").join(classes.select("node", "sketch"), "node"), "buckets")
         lists = held.where(F.col("n") <= LEAF).groupBy("path").agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches")).select("nodes", "sketches")
         large = held.where(F.col("n") > LEAF)
         heads = large.where("node = pivot").select("path", F.col("sketch").alias("head"))
@@ -260,7 +260,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     copy_id is the smallest doc_id with the same set of shingles, n_links the number of other documents with a
     similarity of ``threshold`` or more (copies among them), class_id the smallest doc_id that links lead to, kept whether
     the row stands for its class. Texts without words link with nothing and are kept; null ids sort first and repeated rows are
-    documents of their own, of which one is kept.
+    documents of their own, of which one is kept. An empty table gives no rows; further columns play no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -271,8 +271,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     classes = some.groupBy("key1", "key2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes.select("key1", "key2", F.col("least.row").alias("node"), F.col("least.doc_id").alias("copy_id"), F.col("least.text_hash").alias("text_hash"), "copies", "n", "sketch"), "classes")
     groups = candidate_groups(classes.select("node", "sketch"), threshold)
-    sizes = groups.join(classes, "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.sum("n").alias("shingles"))
-    chosen = cut(groups.join(classes.select("node", "copy_id", "text_hash", "copies", "n"), "node").join(sizes, "component").drop("n", "shingles"))
+    sizes = groups.join(classes, "node").groupBy("component").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.sum("n").alias("shingles"))
+    chosen = cut(with_group_facts(groups, sizes, "component", "members").drop("members", "shingles").join(classes.select("node", "copy_id", "text_hash", "copies"), "node"))
     texts = rows.join(chosen.withColumnRenamed("text_hash", "hash"), rows["doc_id"].eqNullSafe(F.col("copy_id")) & (rows["text_hash"] == F.col("hash"))).dropDuplicates(["node"])
     held = texts.select("node", "text", "component", "copies", "blocks")
     held = held.mapInArrow(_shingles, T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("component", "copies", "blocks"))]))
@@ -283,17 +283,21 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     paired = paired.withColumn("cell", F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.col("cell").bitwiseOR(F.lit(1 << 40))))
     exact = written(paired.select("cell", "component", "node", "copies", "text", "block", "one", "two").groupBy("cell").applyInPandas(_compare(threshold), "node long, other long, links long"), "links")
     number = exact.where("node = other").groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(exact.where("node <> other").select("node", "other"))
-    least = parts.join(classes.select("node", F.struct("copy_id", "node").alias("one")), "node").groupBy("component").agg(F.min("one").alias("one"))
-    member = classes.join(number, "node", "left").join(parts.join(least, "component").select("node", F.col("one.copy_id").alias("class_id"), F.col("one.node").alias("head")), "node", "left")
-    member = member.select("key1", "key2", "node", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("head").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "node").alias("head"))
-    out = some.select("doc_id", "text_hash", "row", "key1", "key2").join(member, ["key1", "key2"]).select("doc_id", "text_hash", "class_id", "copy_id", "n_links", (F.col("row") == F.col("head")).alias("kept"), "row")
+    parts = cut(components(exact.where("node <> other").select("node", "other")))
+    least = parts.join(classes.select("node", F.struct("copy_id", "node").alias("one")), "node").groupBy("component").agg(F.count("*").alias("members"), F.min("one").alias("one"))
+    member = classes.join(number, "node", "left").join(with_group_facts(parts, least, "component", "members").select("node", F.col("one.copy_id").alias("class_id"), F.col("one.node").alias("head")), "node", "left")
+    member = member.select(F.struct("key1", "key2").alias("key"), "copies", "node", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("head").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "node").alias("head"))
+    out = with_group_facts(some.select("doc_id", "text_hash", "row", F.struct("key1", "key2").alias("key")), member, "key", "copies").select("doc_id", "text_hash", "class_id", "copy_id", "n_links", (F.col("row") == F.col("head")).alias("kept"), "row")
     alone = sketched.where("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "row")
     return out.unionAll(alone).drop("row")
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates (the smallest doc_id), columns as they were."""
+    """``docs`` with one row of each class of near-duplicates as in links() (the smallest doc_id), columns as they were.
+
+    Rows of null or empty text all stay, a null doc_id counts as the smallest, of repeated rows one stays, and an empty
+    table gives an empty one.
+    """
     found = links(docs, threshold, doc_id, text).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("keeps"))
     # Rows that are alike in id and text can only be told apart by leaving out the surplus; all others go or stay whole.
     told = written(found.where("keeps < n").select("doc_id", "text_hash", (F.col("keeps") > 0).alias("some")), "told")
