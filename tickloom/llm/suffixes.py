@@ -233,24 +233,52 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
+def _earlier(classes: dict[tuple[bytes, bytes], int]) -> list[int]:
+    """For each class of suffixes with one anchor the windows (a bit each, by bytes before the anchor) that a smaller document has too.
+
+    A window is a row of bytes; for each place of the anchor in it equal rows are found by sorting their hashes, by
+    sorting the rows themselves if two that differ have one hash.
+    """
+    docs = np.array(list(classes.values()), np.int64)
+    right, left = np.zeros((len(classes), SPAN), np.uint8), np.zeros((len(classes), _LEFT), np.uint8)
+    for k, (r, x) in enumerate(classes):
+        right[k, : len(r)] = np.frombuffer(r, np.uint8)
+        left[k, : len(x)] = np.frombuffer(x, np.uint8)
+    after, before = (np.array([len(c[k]) for c in classes]) for k in (0, 1))
+    out = np.zeros(len(classes), np.uint32)
+    for back in range(_LEFT + 1):
+        some = np.flatnonzero((back >= SPAN - after) & (back <= before))
+        if len(some) < 2:
+            continue
+        rows = np.zeros((len(some), 56), np.uint8)
+        rows[:, :back] = left[some, :back][:, ::-1]
+        rows[:, back:SPAN] = right[some, : SPAN - back]
+        words = rows.view(np.uint64)
+        total = tb.mixed(words @ tb.powers(8)[0][1:])
+        order = np.argsort(total, kind="stable")
+        total = total[order]
+        new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)])
+        if (new[1:] & (total[1:] == total[:-1])).any():
+            order = np.lexsort(words.T)
+            new = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)])
+        least = np.minimum.reduceat(docs[some][order], np.flatnonzero(new))
+        hit = least[np.cumsum(new) - 1] < docs[some][order]
+        out[some[order[hit]]] |= np.uint32(1 << back)
+    return out.tolist()
+
+
 def _windows(group: list[tuple[int, bytes, bytes, int, int]], out: list[list[int]]) -> None:
     """Marks the windows of a group of suffixes with one anchor: (run, bytes from it on, bytes before it, document, number)."""
     classes: dict[tuple[bytes, bytes], int] = {}
     for _, right, left, doc, _ in group:
         key = (right, left)
         classes[key] = min(doc, classes.get(key, doc))
-    least: dict[bytes, int] = {}
-    if len(classes) > 1:
-        for (right, left), doc in classes.items():
-            for back in range(SPAN - len(right), len(left) + 1):
-                window = left[:back][::-1] + right[: SPAN - back]
-                least[window] = min(doc, least.get(window, doc))
+    marked = dict(zip(classes, _earlier(classes), strict=True)) if len(classes) > 1 else {}
     for run, right, left, doc, number in group:
-        own = classes[right, left]
-        if doc > own:
+        if doc > classes[right, left]:
             out[run][number] = 0xFFFFFFFF
-        elif least:
-            out[run][number] = sum(1 << back for back in range(SPAN - len(right), len(left) + 1) if least[left[:back][::-1] + right[: SPAN - back]] < doc)
+        elif marked:
+            out[run][number] = marked[right, left]
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
@@ -266,7 +294,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A byte goes if a 50-byte string that covers it also begins in a document with a smaller doc_id, judged on the UTF-8
     bytes of the input (null: none); matches never cross documents. Of exact copies the smallest doc_id keeps its bytes.
     Texts under 50 bytes keep all. Rows with one doc_id don't count as smaller than each other; null ids count as larger
-    than all. Bytes may be cut inside a character.
+    than all. Bytes may be cut inside a character. Ids are integers of any width; an empty table gives no rows, and further
+    columns play no part.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
@@ -274,8 +303,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n_blocks = parts_for(docs.sparkSession, size, BLOCK_BYTES)
     dealt = dealt_to_blocks(rows, n_blocks)
     anchors_schema, shared_schema, run_schema, removed_schema = map(_schema, (_ANCHORS, _SHARED, _RUN, _REMOVED))
-    id_type = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}[rows.schema["doc_id"].dataType]
-    out_schema = pa.schema([("doc_id", id_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be an integer: documents are ordered by it")
+    rest_schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def number(table: pa.Table) -> int:
         return table["block"][0].as_py()
@@ -313,6 +343,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return pa.Table.from_pylist([{k: r[k] for k in ("block", "bucket", "number")} | {"windows": np.array(w, np.uint32).tobytes()} for r, w in zip(sent, out, strict=True)], removed_schema)
 
     def cut_out(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out_schema = pa.schema([table.schema.field("doc_id"), *rest_schema])
         if not table.num_rows:
             return out_schema.empty_table()
         block, told = Block(table, n_blocks), answers.to_pylist()
