@@ -83,7 +83,7 @@ def _small(by_source: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How often the mix takes each document.
 
-    Returns (doc_id, source, size, source_size, target, copies, taken): size counts the words of the whole text
+    Returns (doc_id, size, source_size, target, taken, source, copies): size counts the words of the whole text
     (null: 0), copies is the number of times that the document is taken (0 to ceil(cap)), taken = copies * size.
     A target of k whole passes over a source and a rest takes every document k times, and once more those below the
     source's hash threshold. Empty texts have size 0 and follow the same rule. Rows with equal ids have equal hashes
@@ -91,11 +91,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     """
     rows, by_source = plan(docs, weights, cap, doc_id, text, source)
     copies = F.col("passes") + (F.col("h") < F.col("threshold")).cast("long")
-    return rows.join(_small(by_source), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.join(_small(by_source), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
 
 
 def take(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed documents: every row of ``docs`` as often as ``mix`` takes it, with its columns as they were."""
+    """The mixed documents: every row of ``docs`` as often as ``mix`` takes it, with its columns as they were.
+
+    Nulls, empty texts, repeated rows and empty tables are as in mix(); columns may have any names.
+    """
     _, by_source = plan(docs, weights, cap, doc_id, text, source)
     # a struct keeps the rows' own columns apart from the plan's
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs[source].alias("source"), hash60(doc_id, text).alias("h"))

@@ -121,6 +121,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", test_fold: int | None = 2, folds: int = 4) -> Model:
     """Fits a model on documents outside ``test_fold`` (crc32 of the id modulo ``folds``; None: on all).
 
+    The class prior is the share of label 1 among all labelled rows: it holds as far as documents were drawn for
+    labelling at random, whatever label they then got. The labels of 0 serve for nothing else; risk is taken over positives and unlabelled texts.
     The sample is bounded: POSITIVES documents of label 1 and UNLABELLED of any, the first by a hash of their id. A
     document with several labels counts once for each; null labels are skipped. Without positives every score is the prior.
     """
@@ -167,6 +169,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that score below ``threshold``, columns as they were; fold 2 of 4 stays out of the fit."""
+    """``docs`` without the documents that score below ``threshold``, columns as they were; fold 2 of 4 stays out of the fit.
+
+    Null texts are judged as empty ones, repeated rows alike; without positives every score is the prior. Columns may have
+    any names, and an empty table stays one.
+    """
     score = unused(docs, "score")
     return scored(docs, train(docs, labels, doc_id, text, label), text, score).where(F.col(score) >= threshold).drop(score)

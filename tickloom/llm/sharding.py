@@ -20,7 +20,7 @@ from tickloom.llm.common import cut, parts_for
 FAN = 2048
 #: A cut stays between groups of equal texts if that misses the median by at most this part of a shard.
 TOLERANCE = 0.002
-#: The metadata dimensions, then what orders documents that are equal in the dimension of a cut.
+#: The metadata dimensions (source and language as crc32 numbers), then what orders documents equal in the dimension of a cut.
 DIMENSIONS = ("d_source", "d_bytes", "d_lang", "d_doc")
 TIES = ("text_crc32", "doc_id", "row_no")
 ROWS_A_SLOT_RANGE = 200_000
@@ -66,10 +66,14 @@ class _Cut:
             self.at[-1], self.done = upto, True
 
 
-def _cuts(points: DataFrame, nodes: dict[int, tuple[int, int]], shard_bytes: float) -> dict[int, Column]:
-    """For each node (id: (left leaves, all leaves)) the condition under which a document goes left."""
+def _cuts(points: DataFrame, nodes: dict[int, tuple[int, int]], shard_bytes: float, whole: dict[str, int]) -> dict[int, Column]:
+    """For each node (id: (left leaves, all leaves)) the condition under which a document goes left.
+
+    ``whole`` is each dimension's width at the root, by which widths are compared; it is filled in there.
+    """
     stats = points.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).where(F.col("node").isin(list(nodes))).collect()
-    whole = {c: max([1, *(r[f"hi_{c}"] - r[f"lo_{c}"] for r in stats)]) for c in DIMENSIONS}
+    if not whole:
+        whole |= {c: max([1, *(r[f"hi_{c}"] - r[f"lo_{c}"] for r in stats)]) for c in DIMENSIONS}
     cuts = {}
     for r in stats:
         widest = max(DIMENSIONS, key=lambda c: (r[f"hi_{c}"] - r[f"lo_{c}"]) / whole[c])
@@ -117,10 +121,10 @@ def kd_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: st
     """
     points = _points(docs, doc_id, text, lang, source)
     total = points.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    nodes, tree = {0: shards}, points.withColumn("node", F.lit(0))
+    nodes, whole, tree = {0: shards}, {}, points.withColumn("node", F.lit(0))
     while any(leaves > 1 for leaves in nodes.values()) and total["n"]:
         split = {n: (leaves // 2, leaves) for n, leaves in nodes.items() if leaves > 1}
-        left = _cuts(tree, split, total["bytes"] / shards)
+        left = _cuts(tree, split, total["bytes"] / shards, whole)
         step = max(nodes) + 1
         split = {n: v for n, v in split.items() if n in left}
         moved = reduce(lambda out, n: out.when((F.col("node") == n) & ~left[n], F.lit(n + step)), left, F.when(F.lit(False), F.lit(0)))
