@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from helpers import groups
+from pyspark.sql import functions as F
 
 from tickloom.llm import components as c
 
@@ -26,3 +27,13 @@ def test_no_edges(spark):
 def test_forest():
     node, low = c.forest(np.array([5, 3, 9]), np.array([3, 1, 8]))
     assert dict(zip(node.tolist(), low.tolist(), strict=True)) == {3: 1, 5: 1, 9: 8}
+
+
+@pytest.mark.parametrize(("large", "most"), [(3, 50), (3, 1), (1000, 50)])
+def test_facts_of_groups(spark, monkeypatch, large, most):
+    monkeypatch.setattr(c, "LARGE", large)
+    monkeypatch.setattr(c, "BROADCAST_GROUPS", most)
+    rows = spark.range(100).selectExpr("id", "least(id % 13, 5) AS g")
+    facts = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("g <> 4")
+    got = c.with_group_facts(rows, facts, "g", "n").select("id", "g", "n", "top")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts, "g").select("id", "g", "n", "top").collect()))

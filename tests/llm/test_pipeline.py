@@ -1,4 +1,4 @@
-from helpers import SF, documents, nothing
+from helpers import SF, awkward, documents, nothing
 
 import corpus_pipeline as pipeline
 from tickloom.llm import queries
@@ -46,3 +46,21 @@ def test_empty_documents(spark):
     for name, stage in pipeline.STAGES:
         docs = written(stage(spark, docs, SF), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_awkward_rows_through_all_stages(spark):
+    """Null and repeated ids, null, empty and very long texts and clashing names: no stage fails, and only decided rows go."""
+    docs = awkward(spark)
+    columns, before = docs.columns, None
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        docs = written(stage(spark, docs, SF), f"awkward-{name}")
+        rows = docs.collect()
+        if k < len(pipeline.STAGES) - 1:
+            assert docs.columns == columns, name
+            texts = {(r["doc_id"], r["text"]) for r in rows}
+            assert before is None or texts <= before, name
+            before = texts
+    assert len(docs.columns) and {r["shard"] for r in rows} <= set(range(8))
+    kept = pipeline.one_of_each(spark, awkward(spark), SF).collect()
+    assert sum(r["text"] in (None, "") for r in kept) == 3 and sum((r["text"] or "").startswith("The same long") for r in kept) == 1
+    assert pipeline.without_benchmark(spark, awkward(spark), SF).count() == 14

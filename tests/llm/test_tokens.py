@@ -3,7 +3,8 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
-from helpers import SF, documents
+from helpers import LONG, SF, awkward, documents, nothing
+from pyspark.sql import functions as F
 
 from tickloom.llm import queries
 from tickloom.llm.tokens import TokenRollup, with_tokens
@@ -67,3 +68,21 @@ def test_query_equals_a_recount(spark):
     for r in queries.op7_token_rollup(spark, SF).collect():
         got[r["source"], r["lang"], "docs"], got[r["source"], r["lang"], "tokens"] = r["docs"], r["tokens"]
     assert got == want
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark):
+    code, docs = plain(), awkward(spark)
+    for name in ("tokens", "revised", "text_0", "__text0"):
+        docs = docs.withColumn(name, F.lit("x"))
+    docs = docs.withColumn("spaced", F.upper("text"))
+    got = with_tokens(docs, RANKS, public_tokenizers.PATTERN, {"tokens": "text", "revised": "spaced"}).collect()
+    size = lambda t: len(code.encode_ordinary(t)) if t is not None else 0
+    assert [(r["tokens"], r["revised"]) for r in got] == [(size(r["text"]), size(r["text"] and r["text"].upper())) for r in docs.collect()]
+    assert {r["text_0"] for r in got} == {r["__text0"] for r in got} == {"x"} and max(r["tokens"] for r in got) == size(LONG)
+    assert with_tokens(nothing(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_empty_documents(spark, tmp_path):
+    nothing(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.op7_token_rollup(spark, str(tmp_path)).count() == 0

@@ -14,32 +14,41 @@ from tickloom.llm.tokens import TokenRollup, with_tokens
 
 
 def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of ``embeddings`` against all, as in near_duplicates(): unusable vectors link with nothing, equal vectors link with each other."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all, as in links(): texts without words link with nothing, equal texts are one class, repeated rows are rows."""
     return jaccard.links(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, scores to 4 decimals, as in score_documents(): null and empty texts score 0, repeated rows count and score each."""
     return lm.score_documents(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4) + 0.0)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all items of ``benchmark``, as in leaks(): null and empty texts on either side find nothing, repeated rows have theirs."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, weights 1, 2, 3, at most 3 times a source, as in mix(): empty texts have size 0, a null source is one, equal ids are taken alike."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, strings of 50 bytes, as in remove_repeats(): null texts are empty, equal ids aren't smaller than each other, null ids largest."""
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str, ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", version: str = "byte_bpe_50k") -> DataFrame:
-    """All documents come in; then the toxic ones go and the low-quality ones are revised to single spaces, committed twice."""
+    """All documents come in; then the toxic ones go and the low-quality ones are revised to single spaces, committed twice.
+
+    Null texts have no tokens, repeated rows each count, rows without an id are never changed, empty tables give no rows.
+    """
     from public_tokenizers import PATTERN
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.lit(version).alias("version"))
@@ -57,18 +66,22 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str, ranks: str = "/opt/tokeni
 
 
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, fitted on ``labels`` outside fold 2 of 4, as in classify(): null texts score as empty ones, repeated rows alike."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, learned outside fold 0 of 5, as in language_id(): texts without letters are ``und``, ties go to the first name."""
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` into 8 shards, as in kd_shards(): null texts have size 1, equal texts stay together where a shard's size allows, repeated rows are rows."""
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of corpus_pipeline.run(); each stage states its cases."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

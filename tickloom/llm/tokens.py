@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import small_batches
+from tickloom.llm.common import small_batches, unused
 
 KEYS = ("source", "lang", "version")
-_LEDGER = "doc_id long, source string, lang string, version string, docs long, tokens long, batch long"
+_LEDGER = "doc_id long, source string, lang string, version string, docs long, tokens long, batch long, bucket int"
+#: Parts of a batch's ledger, by a hash of doc_id: a small batch of changes reads only the parts that its ids can be in.
+#: So many tasks write a part, as rows without an id are all in one.
+BUCKETS, WRITERS = 64, 16
 _TOTALS = "source string, lang string, version string, docs long, tokens long, batch long"
 
 
@@ -36,15 +39,16 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, texts: Mapping[s
     """``docs`` with the number of byte-pair tokens of whole texts (null: 0).
 
     ``texts`` names the new columns and the text column of each, by default ``tokens`` of ``text``; with ``keep=False``
-    the text columns are left out. The vocabulary file is read on the driver and broadcast; it is a few MB whatever the corpus.
+    the text columns are left out. A column of ``docs`` that is called like a new one gives way to it. The vocabulary file is read on the driver and broadcast; it is a few MB whatever the corpus.
     """
     small_batches(docs.sparkSession)
     texts = dict(texts or {"tokens": "text"})
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = [docs[c] for c in docs.columns if keep or c not in texts.values()]
+    new = {c.lower() for c in texts}
+    rest = [docs[c] for c in docs.columns if c.lower() not in new and (keep or c not in texts.values())]
     n = len(rest)  # columns can't go to the tasks
-    given = docs.select(*rest, *[docs[c].alias(f"__text{k}") for k, c in enumerate(texts.values())])
+    given = docs.select(*rest, *[docs[c].alias(unused(docs, f"text_{k}")) for k, c in enumerate(texts.values())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(shared.value, pattern).encode_ordinary
@@ -60,14 +64,15 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.ledger_path, self.totals_path = spark, f"{folder}/ledger", f"{folder}/totals"
-        for path, schema in ((self.ledger_path, _LEDGER), (self.totals_path, _TOTALS)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        for path, schema, parts in ((self.ledger_path, _LEDGER, ["batch", "bucket"]), (self.totals_path, _TOTALS, ["batch"])):
+            spark.createDataFrame([], schema).write.mode("append").partitionBy(*parts).parquet(path)
 
     def _read(self, path: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path).where("batch IS NOT NULL")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    def _write(self, rows: DataFrame, path: str, batch: int, *parts: str) -> None:
+        """The rows of a batch in place of those that it wrote before; other batches aren't touched."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts).parquet(f"{path}/batch={batch}")
 
     def commit(self, batch: int, changes: DataFrame) -> None:
         """Applies changes (op, doc_id, source, lang, version, tokens); op is insert, delete or revise.
@@ -75,18 +80,23 @@ class TokenRollup:
         An insert adds its row, however often its id is there. A delete or a revision takes back all rows that earlier
         batches hold for its doc_id and version, once a batch, and nothing if there are none; a revision then adds its row.
         Rows with another op or a null version, and deletes and revisions without an id, take nothing back. An empty batch
-        leaves an empty partition in place of an earlier one.
+        leaves an empty partition in place of an earlier one. Batches are to be committed in order: one sent again after
+        later ones doesn't change what these took back. The ledger is written before the totals; where that was cut short, the
+        batch sent again makes both right.
         """
-        gone = changes.where("op IN ('delete', 'revise')").select("doc_id", "version").distinct()
-        held = self._read(self.ledger_path, _LEDGER).where(F.col("batch") < batch).join(gone, ["doc_id", "version"])
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        gone = changes.where("op IN ('delete', 'revise')").select(F.col("doc_id").cast("long").alias("doc_id"), "version").distinct().withColumn("bucket", bucket)
+        held = self._read(self.ledger_path, _LEDGER).where(F.col("batch") < batch).join(gone, ["bucket", "doc_id", "version"])
         held = held.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
         back = held.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         new = changes.where("op IN ('insert', 'revise')").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), F.col("tokens").cast("long"))
         # a row without meaning keeps the partition there when the batch is empty
         none = self.spark.createDataFrame([(None, None, None, None, 0, 0)], "doc_id long, source string, lang string, version string, docs long, tokens long")
-        self._write(back.unionByName(new).unionByName(none).withColumn("batch", F.lit(batch).cast("long")), self.ledger_path)
+        rows = back.unionByName(new).unionByName(none).withColumn("bucket", bucket)
+        rows = rows.repartition(F.col("bucket"), F.pmod(F.monotonically_increasing_id(), F.lit(WRITERS)))
+        self._write(rows, self.ledger_path, batch, "bucket")
         mine = self._read(self.ledger_path, _LEDGER).where(F.col("batch") == batch)
-        self._write(mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("batch", F.lit(batch).cast("long")), self.totals_path)
+        self._write(mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), self.totals_path, batch)
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) over all batches, without keys that hold nothing any more."""
