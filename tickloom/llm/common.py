@@ -75,6 +75,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A table of so many rows of a few numbers (under 100 bytes each) is small enough to broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def place(df: DataFrame, name: str) -> int:
     """Where the column ``name`` stands in the rows of ``df``."""
     return [c.lower() for c in df.columns].index(name.lower())

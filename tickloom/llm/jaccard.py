@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import cut, parts_for, small_batches, written
+from tickloom.llm.common import cut, parts_for, small_batches, small_side, written
 from tickloom.llm.components import components, forest, with_group_facts
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -273,7 +273,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     groups = candidate_groups(classes.select("node", "sketch"), threshold)
     sizes = groups.join(classes, "node").groupBy("component").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.sum("n").alias("shingles"))
     chosen = cut(with_group_facts(groups, sizes, "component", "members").drop("members", "shingles").join(classes.select("node", "copy_id", "text_hash", "copies"), "node"))
-    texts = rows.join(chosen.withColumnRenamed("text_hash", "hash"), rows["doc_id"].eqNullSafe(F.col("copy_id")) & (rows["text_hash"] == F.col("hash"))).dropDuplicates(["node"])
+    # texts stay where they are unless very many documents are in groups
+    texts = rows.join(small_side(chosen).withColumnRenamed("text_hash", "hash"), rows["doc_id"].eqNullSafe(F.col("copy_id")) & (rows["text_hash"] == F.col("hash"))).dropDuplicates(["node"])
     held = texts.select("node", "text", "component", "copies", "blocks")
     held = held.mapInArrow(_shingles, T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("component", "copies", "blocks"))]))
     # Groups of one block share cells, so that small groups don't each cost a call.
@@ -303,6 +304,6 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: st
     told = written(found.where("keeps < n").select("doc_id", "text_hash", (F.col("keeps") > 0).alias("some")), "told")
     hashed = docs.select(F.struct(*docs.columns).alias("row"), docs[doc_id].alias("id"), F.xxhash64(docs[text].cast("binary")).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
-    rest = hashed.join(told, same, "left_anti")
-    some = hashed.join(told.where("some"), same, "left_semi").dropDuplicates(["id", "hash"])
+    rest = hashed.join(small_side(told), same, "left_anti")
+    some = hashed.join(small_side(told.where("some")), same, "left_semi").dropDuplicates(["id", "hash"])
     return rest.unionByName(some).select("row.*")
