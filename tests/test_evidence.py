@@ -83,3 +83,19 @@ def test_backtest_from_a_trigger(spark):
     assert out.stats.first()["n"] == 1 and out.feature_versions == {"forward_return": "1.0", "cum_abnormal_return": "1.0", "realized_vol": "1.0"}
     with pytest.raises(ValueError, match="events or a trigger"):
         backtest(bars)
+
+
+def test_one_value_and_one_group_are_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.ranks import running
+
+    rows = spark.range(1000).selectExpr("id", "1.0 AS v", "'one' AS day", "id % 7 AS used")
+    got = running(rows, F.sum, F.col("used"), ["v", "id"], "so_far", ["day"], ranges=4)
+    sums, total = {}, 0
+    for i in range(1000):
+        total += i % 7
+        sums[i] = total
+    assert {r["id"]: r["so_far"] for r in got.collect()} == sums
+    ranges = rows.repartitionByRange(4, "day", "v", "id").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(ranges) == 4 and max(r["count"] for r in ranges) < 500

@@ -26,11 +26,14 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     both = events.unionByName(bars).withColumn("__bucket", bucket(F.col("__t")))
     keys = [*by, "__bucket"]
     order = Window.partitionBy(*keys).orderBy("__t", "__is_left", "__value")
-    out = both.withColumn("__last", F.last("__value", ignorenulls=True).over(order)).where("__is_left = 1")
+    seen = both.withColumn("__last", F.last("__value", ignorenulls=True).over(order))
+    if bucket_days:
+        seen = seen.withColumn("__ends", F.lead(F.lit(False), 1, True).over(order))  # the last row of its bucket
+    out = seen.where("__is_left = 1")
     if bucket_days:
-        ends = both.groupBy(*keys).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct("__t", "__value"))).alias("__end"))
         earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*[F.col(k).alias(f"__c{n}") for n, k in enumerate(keys)], F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+        ends = seen.where("__ends").select(*keys, "__last")
+        carried = ends.select(*[F.col(k).alias(f"__c{n}") for n, k in enumerate(keys)], F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
         same = [out[k].eqNullSafe(carried[f"__c{n}"]) for n, k in enumerate(keys)]
         out = out.join(carried, same, "left").withColumn("__last", F.coalesce("__last", "__carried"))
     here = F.col("__t").isNotNull()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tickloom.functions.text import last_segment
+from tickloom.operators.ranks import running
 
 #: Tokens a day: from the first a warning, from the second no more calls.
 SOFT, HARD = 50_000, 100_000
@@ -59,8 +59,7 @@ def budget_gate(log: DataFrame, time: str, ties: tuple[str, ...], soft: int = SO
     Every call counts with its tokens, refused or not, as a log holds only what was let through.
     """
     used = (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).cast("long")
-    so_far = F.sum(used).over(Window.partitionBy("date").orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, 0))
-    out = log.withColumn("__used", used).withColumn("spent_before", so_far - F.col("__used"))
+    out = running(log.withColumn("__used", used), F.sum, F.col("__used"), [time, *ties], "spent_before", ["date"]).withColumn("spent_before", F.col("spent_before") - F.col("__used"))
     refused = F.col("spent_before") >= hard
     return out.withColumns({"refused": refused, "reply": F.when(refused, F.lit(BUDGET_REPLY)), "soft_warn": F.col("spent_before") + F.col("__used") >= soft}).drop("__used")
 

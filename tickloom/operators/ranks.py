@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.shared import cut
 
-def ordinal_ranks(df: DataFrame, columns: Mapping[str, str], ties: list[str], ranges: int = 256) -> DataFrame:
-    """``df`` with the place of each row, from 0, in the order of each of ``columns`` (new column: numeric column), then ``ties``.
 
-    Rows are dealt to value ranges cut at approximate percentiles, counted, and numbered within their range; running sums
-    of the counts give each range its first number. Percentiles and counts of all columns take one pass each, and come
-    back as one row of at most ``ranges`` numbers a column.
-    """
-    below = lambda c: lambda cut: cut < F.col(c)
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    cuts = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"__cuts_{k}") for k, c in enumerate(columns.values())])
-    placed = df.crossJoin(F.broadcast(cuts))  # one row of ranges - 1 numbers a column
-    for k, c in enumerate(columns.values()):
-        placed = placed.withColumn(f"__range_{k}", F.size(F.filter(f"__cuts_{k}", below(c))) + k * ranges).drop(f"__cuts_{k}")
-    counts = placed.select(F.explode(F.array(*[f"__range_{k}" for k in range(len(columns))])).alias("r")).groupBy("r").count()
-    before = F.sum("count").over(Window.partitionBy(F.floor(F.col("r") / ranges)).orderBy("r")) - F.col("count")
-    first = counts.select("r", before.alias("first")).agg(F.map_from_entries(F.collect_list(F.struct("r", "first"))).alias("__first"))
-    out = placed.crossJoin(F.broadcast(first))  # one row of at most ranges entries a column
-    for k, (into, c) in enumerate(columns.items()):
-        own = F.row_number().over(Window.partitionBy(f"__range_{k}").orderBy(c, *ties)) - 1
-        out = out.withColumn(into, F.element_at("__first", F.col(f"__range_{k}")) + own)
-    return out.drop("__first", *[f"__range_{k}" for k in range(len(columns))])
-
-
-def running_product(df: DataFrame, value: str, order: str, ties: list[str], into: str) -> DataFrame:
-    """``df`` with the product of ``value`` over all rows up to each in the order of ``order``, then ``ties``.
-
-    First the product of each distinct ``order`` (dates: a bounded calendar), multiplied up over that short table; then
-    within each date. ``value`` must not be null.
+def running(df: DataFrame, total: Callable[[Column], Column], value: Column, order: Sequence[str], into: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """``df`` with ``total`` (a sum or product) of ``value`` over all rows of the same ``by`` up to each in ``order``.
+
+    Rows are dealt to ranges of (by, order), so neither a large group nor many equal values make a large task; a range's
+    own total runs within it, what comes before is a total over one row for each group and range. The ranges are sampled,
+    and so are written before they are read twice (``ranges``: how many, by default the session's partitions). Rows that are equal in ``order`` may stand either way.
     """
-    whole = df.groupBy(order).agg(F.product(value).alias("__p"))
-    before = whole.select(F.col(order).alias("__o"), F.coalesce(F.product("__p").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("__before"))
-    own = F.product(value).over(Window.partitionBy(order).orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0))
-    inner = df.withColumn("__own", own)
-    return inner.join(before, inner[order].eqNullSafe(before["__o"])).withColumn(into, F.col("__before") * F.col("__own")).drop("__o", "__before", "__own")
+    by, order = list(by), list(order)
+    keys = [*([ranges] if ranges else []), *by, *order]
+    placed = cut(df.withColumn("__value", value).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    wholes = placed.groupBy(*by, "__part").agg(total(F.col("__value")).alias("__whole"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = wholes.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__part").alias("__of"), total(F.col("__whole")).over(earlier).alias("__before"))
+    own = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumn("__own", total(F.col("__value")).over(own))
+    same = [inner["__part"] == before["__of"], *(inner[c].eqNullSafe(before[f"__by{k}"]) for k, c in enumerate(by))]
+    joined = inner.join(before, same)
+    both = F.when(F.col("__before").isNull(), F.col("__own")).otherwise(_of_two(total, F.col("__before"), F.col("__own")))
+    return joined.withColumn(into, both).select(*[c for c in df.columns if c != into], into)
+
+
+def _of_two(total: Callable[[Column], Column], a: Column, b: Column) -> Column:
+    return a * b if total is F.product else a + b
+
+
+def ordinal_ranks(df: DataFrame, columns: Mapping[str, str], ties: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of each of ``columns`` (new column: column), then ``ties``."""
+    for into, column in columns.items():
+        df = running(df, F.sum, F.lit(1).cast("long"), [column, *ties], into, ranges=ranges).withColumn(into, F.col(into) - 1)
+    return df
+
+
+def running_product(df: DataFrame, value: str, order: str, ties: Sequence[str], into: str) -> DataFrame:
+    """``df`` with the product of ``value`` over all rows up to each in the order of ``order``, then ``ties``; no nulls in ``value``."""
+    return running(df, F.product, F.col(value), [order, *ties], into)

@@ -29,8 +29,9 @@ def with_returns(bars: DataFrame, benchmarks: DataFrame | None = None, use_bench
     out = bars.withColumn("ret", simple_return())
     if not use_benchmark:
         return out.withColumn("ar", F.col("ret"))
-    own = (bars if benchmarks is None else benchmarks).select("ticker", "ts", "close")
-    market = own.join(bars.select(F.col("bench").alias("ticker")).distinct(), "ticker", "left_semi").select(F.col("ticker").alias("__bench"), F.col("ts").alias("__ts"), simple_return().alias("market"))
+    # by default the same rows serve both sides, so what they are made of is shuffled once and read again
+    market = out if benchmarks is None else benchmarks.withColumn("ret", simple_return())
+    market = market.select(F.col("ticker").alias("__bench"), F.col("ts").alias("__ts"), F.col("ret").alias("market")).where("market IS NOT NULL")
     joined = out.join(market, (out["bench"] == market["__bench"]) & (out["ts"] == market["__ts"]), "left")
     return joined.withColumn("ar", F.col("ret") - F.lit(beta) * F.col("market")).drop("__bench", "__ts", "market")
 

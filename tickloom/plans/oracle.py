@@ -100,7 +100,7 @@ SQL = {
     "trigger_filter": f"WITH {PAIRS}, blobs AS (SELECT t.tag[8:] AS ticker, string_agg(lower(concat_ws(' ', o_orderpriority, o_orderstatus, o_custkey)), chr(10)) AS blob FROM tags t JOIN orders ON node_id = o_orderkey WHERE starts_with(tag, 'ticker:') GROUP BY ALL) SELECT p.* FROM pairs p JOIN blobs USING (ticker) WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3') AND contains(blob, 'urgent f 11') AND (contains(blob, 'high o 2') OR contains(blob, 'nothing'))",
     "sweep_rank": f"WITH {BEST} SELECT ticker, as_of, round(z, 6) AS z, round(score, 6) AS score FROM best",
     "sweep_top": f"WITH {BEST} SELECT ticker, as_of, round(score, 6) AS score FROM best ORDER BY round(best.score, 9) DESC, ticker LIMIT 3",
-    "chunk_lookup": f"WITH {TAGS}, m AS (SELECT a.tag[8:] AS ticker, b.tag[6:] AS as_of, min(node_id) AS id FROM tags a JOIN tags b USING (node_id) WHERE starts_with(a.tag, 'ticker:') AND starts_with(b.tag, 'asof:') GROUP BY ALL) SELECT ticker, as_of, left(concat_ws(' ', o_orderpriority, o_orderstatus, o_orderkey), 12) AS chunk FROM m JOIN orders ON id = o_orderkey WHERE ticker IN ('Brand#1', 'Brand#12', 'Brand#25')",
+    "chunk_lookup": f"WITH {TAGS}, m AS (SELECT a.tag[8:] AS ticker, b.tag[6:] AS as_of, min(node_id) AS id FROM tags a JOIN tags b USING (node_id) WHERE starts_with(a.tag, 'ticker:') AND starts_with(b.tag, 'asof:') GROUP BY ALL) SELECT ticker, as_of, left(concat_ws(' ', o_orderpriority, o_orderstatus, o_orderkey), 600) AS chunk FROM m JOIN orders ON id = o_orderkey",
     "benchmark_map": "SELECT DISTINCT p_brand AS ticker, CASE WHEN p_brand = 'Brand#25' THEN 'SECTOR#0' ELSE 'SECTOR#' || (regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 5) END AS bench FROM part",
     "link_tickers": f"SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 10 = 0 THEN 'WATER,OTHER' END, CASE WHEN {_found('text', '(?:DATA|data set|table)')} THEN 'DATA' END, CASE WHEN {_found('text', '(?:TIME|day|year)')} THEN 'TIME' END, CASE WHEN doc_id % 10 <> 0 AND {_found('text', '(?:WATER|river|sea)')} THEN 'WATER' END) AS tickers FROM documents",
     "normalized_dates": f"SELECT o_orderkey, {_DATES} AS as_of FROM orders",
@@ -109,7 +109,7 @@ SQL = {
     "bucket_tokens": f"WITH {ROUTED} SELECT model, count(*) AS items, sum(greatest(1, length(coalesce(text, '')) // 4))::BIGINT AS tokens FROM picked GROUP BY model",
     "gates_and_labels": f"WITH o AS (SELECT doc_id, {_OUT} AS out FROM documents), h AS (SELECT *, trim(out, ' ' || chr(10)) AS whole FROM o) SELECT doc_id, whole <> '' AND (upper(trim(trim(split_part(whole, chr(10), 1)), '.:!\"'' ')) = 'DROP' OR (starts_with(upper(whole), 'DROP') AND length(whole) <= 16)) AS dropped, CASE WHEN contains(lower(out), 'high') THEN 'high' WHEN contains(lower(out), 'low') THEN 'low' END AS label FROM h",
     "feature_step": f"WITH {MARKET}, {DOCS}, x AS (SELECT doc_id, unnest(tickers) AS ticker, generate_subscripts(tickers, 1) AS ord, as_of::TIMESTAMP AS at FROM docs), j AS (SELECT x.*, f.vol FROM x ASOF LEFT JOIN feats f ON x.ticker = f.ticker AND x.at >= f.ts), top AS (SELECT * FROM j WHERE vol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(vol) DESC, ord) = 1) SELECT doc_id, ticker, round(vol, 6) AS value, CASE WHEN vol >= 1.0 THEN 'high' ELSE 'low' END AS label FROM top",
-    "pipeline_fold": f"WITH {_FOLD}, texted AS (SELECT *, CASE WHEN dropped THEN NULL WHEN g AND live AND NOT failed THEN '> ' || text WHEN kind = 'essay' AND live THEN left(low, 50) ELSE text END AS new FROM done) SELECT doc_id, dropped, kind AS doc_type, size_label, (2 + coalesce(kind = 'note', false)::INT + coalesce(kind = 'essay', false)::INT)::INT AS n_steps, coalesce(failed, false) AS failed, length(new)::INT AS n_chars, left(new, 20) AS head FROM texted",
+    "pipeline_fold": f"WITH {_FOLD}, texted AS (SELECT *, CASE WHEN dropped THEN NULL WHEN g AND live AND NOT failed THEN '> ' || text WHEN kind = 'essay' AND live THEN low ELSE text END AS new FROM done) SELECT doc_id, dropped, kind AS doc_type, size_label, (2 + coalesce(kind = 'note', false)::INT + coalesce(kind = 'essay', false)::INT)::INT AS n_steps, coalesce(failed, false) AS failed, length(new)::INT AS n_chars, md5(new) AS text_md5 FROM texted",
     "tier_router": f"WITH {MESSAGES}, r AS (SELECT *, CASE WHEN conv_id % 11 = 0 THEN 'explicit:low' WHEN {_found('text', REASONING)} THEN 'reasoning_pattern' WHEN tools AND length(text) > 1500 THEN 'tools_with_long_context' WHEN {_found('text', ROUTINE)} THEN 'routine_pattern' WHEN length(text) < 800 AND NOT tools THEN 'short_request' ELSE 'default' END AS reason FROM messages) SELECT conv_id, CASE reason WHEN 'reasoning_pattern' THEN 'high' WHEN 'explicit:low' THEN 'low' WHEN 'routine_pattern' THEN 'low' WHEN 'short_request' THEN 'low' ELSE 'mid' END AS tier, reason FROM r",
     "spend_by_model": f"WITH {CALLS} SELECT key AS model, count(*) AS n, round(sum(spend), 6) AS spend, sum(total_tokens)::BIGINT AS tokens FROM keyed GROUP BY key",
     "ledger_recent": f"WITH {CALLS} SELECT request_id, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time, key AS model, round(spend, 6) AS spend FROM keyed ORDER BY keyed.end_time DESC NULLS LAST, request_id LIMIT 200",
@@ -127,14 +127,14 @@ SQL = {
     "signal_edges": f"WITH {PROPOSALS}, {TAGS} SELECT DISTINCT id, tag FROM (SELECT id, 'ticker:' || unnest(tickers) AS tag FROM p) WHERE tag IN (SELECT tag FROM tags)",
     "validate_proposals": f"WITH {PROPOSALS} SELECT thesis, concat_ws('; ', CASE WHEN key % 9 = 0 THEN 'missing ''id''' END, CASE WHEN direction IS NULL THEN 'missing ''direction''' END, CASE WHEN key % 4 = 0 THEN 'missing ''trigger''' END, CASE WHEN direction = 'flat' THEN 'direction must be long|short' END, CASE WHEN key % 4 = 0 OR key % 5 = 0 THEN 'trigger.match required' END) AS problems FROM p",
     "horizons": "SELECT o_orderkey, ([5, 10, 3, 5, 5, 5, 7, 5])[o_orderkey % 8 + 1]::INT AS horizon FROM orders",
-    "missing_models": f"SELECT pool_name, min(p_type) AS model FROM (SELECT p_type, 'or--' || {slug('lower(p_type)', 'a-z0-9', '-', 'model')} AS pool_name FROM part) WHERE pool_name NOT IN (SELECT 'or--' || {slug('lower(p_type)', 'a-z0-9', '-', 'model')} FROM part WHERE p_size < 3) GROUP BY pool_name",
+    "missing_models": f"SELECT pool_name, min(p_type) AS model FROM (SELECT p_type, 'or--' || {slug('lower(p_type)', 'a-z0-9', '-', 'model')} AS pool_name FROM part) WHERE pool_name NOT IN (SELECT 'or--' || {slug('lower(p_type)', 'a-z0-9', '-', 'model')} FROM part WHERE p_type < 'M') GROUP BY pool_name",
     "allow_list": "SELECT p_brand AS name FROM part UNION SELECT c_mktsegment FROM customer",
     "slugs": f"SELECT p_partkey, {slug(_RAW_SLUG, 'A-Za-z0-9', '_', 'ticker')} AS safe, {slug(f'lower({_RAW_SLUG})', 'a-z0-9', '-', 'model')} AS slug, 'or--' || {slug(f'lower({_RAW_SLUG})', 'a-z0-9', '-', 'model')} AS pool, regexp_replace(trim({_RAW_SLUG}), '[^A-Za-z0-9_]', '_', 'g') AS onto, split_part({_RAW_SLUG}, '/', -1) AS last, left({slug(f'lower({_RAW_SLUG})', 'a-z0-9', '-', 'signal')}, 24) AS proposal, regexp_replace({_RAW_SLUG}, '[^A-Za-z0-9._-]', '_', 'g') AS file FROM part",
     "inventory_drift": "WITH n AS (SELECT p_partkey AS k, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END AS size, p_size * 100 + p_partkey % 5 AS rows_, CASE WHEN p_partkey % 7 <> 0 THEN (p_size * 100)::BIGINT END AS prev_rows FROM part), d AS (SELECT *, CASE WHEN prev_rows > 0 THEN abs(rows_ - prev_rows) / prev_rows * 100 END AS drift FROM n) SELECT 'f' || k AS path, prev_rows, round(drift, 6) AS drift, CASE WHEN size = 0 THEN 'ZERO-BYTE' WHEN drift > 1 THEN 'ROW-DRIFT' END AS anomaly FROM d",
     "inventory_anomalies": "SELECT count(*) AS files, count(*) FILTER (p_size % 10 = 0) AS zero_bytes, count(*) FILTER (p_size > 0 AND (p_partkey % 5) / (p_size * 100) * 100 > 1) AS drifts FROM part",
     "vector_topk": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {[((k * 37) % 11 - 5) / 5 for k in range(64)]}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {[((k * 37) % 11 - 5) / 5 for k in range(64)]}::DOUBLE[]) DESC, vec_id LIMIT 10",
     "message_previews": f"WITH {MESSAGES} SELECT conv_id, left(text, 300) AS preview, greatest(1, length(text) // 4)::BIGINT AS tokens FROM messages",
-    "log_tails": "SELECT doc_id, right(array_to_string(list_filter(string_split('red line' || chr(10) || chr(10) || left(coalesce(text, ''), 200), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(\\d{4}-\\d\\d-\\d\\dT|$)')), chr(10)), 80) AS tail FROM documents WHERE lang = 'en'",
+    "log_tails": "SELECT doc_id, right(array_to_string(list_filter(string_split(regexp_replace('red line' || chr(10) || chr(10) || coalesce(text, ''), chr(27) || '\\[[0-9;]*m', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(\\d{4}-\\d\\d-\\d\\dT|$)')), chr(10)), 80) AS tail FROM documents",
     "log_tails_whole": "SELECT doc_id, right(array_to_string(list_filter(string_split(regexp_replace('red line' || chr(10) || chr(10) || coalesce(text, ''), chr(27) || '\\[[0-9;]*m', '', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(\\d{4}-\\d\\d-\\d\\dT|$)')), chr(10)), 6000) AS tail FROM documents",
     "role_models": f"WITH m AS (SELECT DISTINCT p_brand, CASE p_brand WHEN 'Brand#1' THEN 'vendor/One' WHEN 'Brand#2' THEN 'vendor/Two.1' ELSE p_brand END AS model FROM part) SELECT p_brand, model, 'or--' || {slug('lower(model)', 'a-z0-9', '-', 'model')} AS gateway FROM m",
     "ids_and_maps": f"SELECT o_orderkey, 'sig_' || epoch(o_orderdate)::BIGINT || '_' || left({slug('lower(o_orderpriority)', 'a-z0-9', '-', 'signal')}, 24) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at, CASE WHEN o_orderkey % 3 = 0 THEN 'judge=mid,reader=small,writer=huge' ELSE 'reader=small,writer=big' END AS roles FROM orders",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from tickloom.operators.returns import benchmark_of, compute, with_features, wit
 from tickloom.plans import tables as t
 from tickloom.plans.backtest import evaluate
 from tickloom.plans.sweep import best_by_ticker, chunk_of, recent_per_key, scored_events, top
+from tickloom.shared import cut, new_path
 from tickloom.sources.bars import Synthetic, within
 from tickloom.sources.store import coverage, latest_wins, read_bars, upsert_bars
 
@@ -62,12 +61,17 @@ def toy_model(content, step):
         "size": F.when(n < 500, "It is SHORT.").when(n < 4000, "quite long"),
         "type": F.when(n < 800, "note").otherwise("essay"),
         "gate": F.when(n < 60, "DROP.").otherwise(F.concat(F.lit("> "), content)),
-        "lower": F.left(F.lower(content), F.lit(50)),
+        "lower": F.lower(content),
     }
     error = F.when(n % 10 == 3, F.lit("timeout")) if step["prompt"] == "gate" else None
     return outputs[step["prompt"]], error
 
 
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with benchmarks, written: they are few beside trades and read several times."""
+    return cut(t.market_bars(spark, sf_dir))
+
+
 def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd")
 
@@ -78,14 +82,14 @@ def backtest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluated(spark: SparkSession, sf_dir: str, direction: str = "long") -> DataFrame:
     """Orders as events with fwd, ar and a point-in-time score. One frame of features serves all three."""
-    frame = with_returns(t.market_bars(spark, sf_dir))
+    frame = with_returns(_market(spark, sf_dir))
     frame = with_features(frame, fwd=prices.forward_return(), ar_5=prices.cum_abnormal_return(), score=prices.realized_vol())
     values = frame.select("ticker", "ts", "fwd", F.col("ar_5").alias("ar"), "score")
     return asof_join(t.order_events(spark, sf_dir), values, ["ticker"], "as_of", "ts", ["fwd", "ar", "score"])
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate(t.market_bars(spark, sf_dir), t.order_events(spark, sf_dir))
+    rows = evaluate(_market(spark, sf_dir), t.order_events(spark, sf_dir))
     return rows.select("ticker", _day("as_of").alias("as_of"), F.round("fwd", 6).alias("fwd"), F.round("ar", 6).alias("ar"))
 
 
@@ -98,12 +102,12 @@ def skipped_no_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def information_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.information_coefficient(evaluated(spark, sf_dir))
+    return evidence.information_coefficient(cut(evaluated(spark, sf_dir)))
 
 
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curve of all events, with its height as a base-10 logarithm: products of thousands of returns leave 6 decimals far behind."""
-    rows = evidence.equity_curve(evaluated(spark, sf_dir))
+    rows = evidence.equity_curve(cut(evaluated(spark, sf_dir)))
     return rows.select("ticker", _day("as_of").alias("as_of"), F.round(F.when(F.col("equity") > 0, F.log10("equity")), 6).alias("log10_equity"))
 
 
@@ -127,8 +131,7 @@ def upsert_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the store on disk: two upserts, then a read of some tickers."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-store-")
-    path = f"{at.rstrip('/')}/bars-{uuid.uuid4().hex}"
+    path = new_path(spark, "bars")
     bars = t.bars(spark, sf_dir)
     upsert_bars(bars.where("ts < '1999-01-01'"), path)
     upsert_bars(bars.where("ts >= '1998-01-01'").withColumn("close", F.col("close") * 2), path)
@@ -158,7 +161,7 @@ def label_from_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compute("realized_vol", t.market_bars(spark, sf_dir), t.order_events(spark, sf_dir), {"window": 30})
+    out = compute("realized_vol", _market(spark, sf_dir), t.order_events(spark, sf_dir), {"window": 30})
     return out.select("ticker", _day("as_of").alias("as_of"), "name", "version", F.round("value", 6).alias("value"))
 
 
@@ -181,20 +184,19 @@ def trigger_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t.order_events(spark, sf_dir).withColumn("as_of", _day("as_of"))
-    scored = scored_events(t.market_bars(spark, sf_dir), events, TODAY)
+    scored = scored_events(_market(spark, sf_dir), events, TODAY)
     return best_by_ticker(scored).select("ticker", "as_of", F.round("z", 6).alias("z"), F.round("score", 6).alias("score"))
 
 
 def sweep_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t.order_events(spark, sf_dir).withColumn("as_of", _day("as_of"))
-    return top(scored_events(t.market_bars(spark, sf_dir), events, TODAY)).select("ticker", "as_of", F.round("score", 6).alias("score"))
+    return top(scored_events(_market(spark, sf_dir), events, TODAY)).select("ticker", "as_of", F.round("score", 6).alias("score"))
 
 
 def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = t.order_tags(spark, sf_dir)
     nodes = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("text"))
-    picks = events_from_tags(tags).where(F.col("ticker").isin(*PICKED))
-    return chunk_of(tags, nodes, picks, length=12)
+    return chunk_of(tags, nodes, events_from_tags(tags))
 
 
 def benchmark_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,14 +241,14 @@ def gates_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.documents(spark, sf_dir)
-    best = steps.feature_values(docs, t.market_bars(spark, sf_dir), "realized_vol")
+    best = steps.feature_values(docs, _market(spark, sf_dir), "realized_vol")
     return best.select("doc_id", "ticker", F.round("value", 6).alias("value"), text.label_from_value(F.col("value"), {"high": 1.0}).alias("label"))
 
 
 def pipeline_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = steps.run_steps(docs, STEPS, toy_model, F.col("source"))
-    return out.select("doc_id", "dropped", F.col("cur_type").alias("doc_type"), F.try_element_at("meta", F.lit("size")).alias("size_label"), F.size("trace").alias("n_steps"), F.exists("trace", lambda e: e["error"].isNotNull()).alias("failed"), F.length("text").alias("n_chars"), F.left("text", F.lit(20)).alias("head"))
+    return out.select("doc_id", "dropped", F.col("cur_type").alias("doc_type"), F.try_element_at("meta", F.lit("size")).alias("size_label"), F.size("trace").alias("n_steps"), F.exists("trace", lambda e: e["error"].isNotNull()).alias("failed"), F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def tier_router(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +337,7 @@ def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = t.table(spark, sf_dir, "part").select(F.col("p_type").alias("model")).withColumn("pool_name", text.pool_name(F.col("model")))
-    pool = t.table(spark, sf_dir, "part").where("p_size < 3").select(text.pool_name(F.col("p_type")).alias("pool_name"))
+    pool = t.table(spark, sf_dir, "part").where("p_type < 'M'").select(text.pool_name(F.col("p_type")).alias("pool_name"))
     return graph.missing_models(wanted, pool)
 
 
@@ -373,8 +375,9 @@ def message_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("\x1b[31mred\x1b[0m line\n2024-01-01T00:00:00 noise\n\n"), F.left("text", F.lit(200)))
-    return t.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.log_tail(raw, 80).alias("tail"))
+    """Short tails of all documents' whole texts."""
+    raw = F.concat(F.lit("\x1b[31mred\x1b[0m line\n2024-01-01T00:00:00 noise\n\n"), F.coalesce("text", F.lit("")))
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.log_tail(raw, 80).alias("tail"))
 
 
 def log_tails_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, ts, px, qty, k): a trade for each order line, priced by the piece; k orders trades of a day."""
+    """(ticker, ts, px, qty, k): a trade for each order line, priced by the piece; k orders trades of a day.
+
+    k is one number for (order, line, part, supplier), so that bars are hash aggregates: a struct would be sorted.
+    """
     lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     joined = lines.join(part, lines["l_partkey"] == part["p_partkey"])
     px = F.try_divide("l_extendedprice", "l_quantity")
-    return joined.select(F.col("p_brand").alias("ticker"), F.col("l_shipdate").alias("ts"), px.alias("px"), F.col("l_quantity").alias("qty"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"))
+    high, low = F.col("l_orderkey") * 1000 + F.col("l_linenumber"), F.shiftleft(F.col("l_partkey").cast("long"), 31) + F.col("l_suppkey")
+    k = high.cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + low.cast("decimal(19,0)")
+    return joined.select(F.col("p_brand").alias("ticker"), F.col("l_shipdate").alias("ts"), px.alias("px"), F.col("l_quantity").alias("qty"), k.alias("k"))
 
 
 def sector(ticker):
@@ -48,10 +53,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, ts, close, bench): brands with their sector as benchmark, and the sectors themselves (without one).
 
-    One pass over the trades: each counts for its brand and for its sector.
+    One pass over the trades, which gives each brand's last trade of a day; a sector's is the last of its brands.
     """
-    both = trades(spark, sf_dir).withColumn("ticker", F.explode(F.array("ticker", sector(F.col("ticker")))))
-    closes = both.groupBy("ticker", "ts").agg(F.max_by("px", "k").alias("close"))
+    brands = trades(spark, sf_dir).groupBy("ticker", "ts").agg(F.max_by("px", "k").alias("close"), F.max("k").alias("k"))
+    sectors = brands.groupBy(sector(F.col("ticker")).alias("ticker"), "ts").agg(F.max_by("close", "k").alias("close"))
+    closes = brands.drop("k").unionByName(sectors)
     bench = F.when(F.col("ticker").startswith("Brand#") & (F.col("ticker") != UNMAPPED), sector(F.col("ticker"))).when(F.col("ticker") == UNMAPPED, F.lit(DEFAULT))
     return closes.withColumn("bench", bench)
 
