@@ -122,9 +122,10 @@ def label_from_value(value: Column, thresholds: Mapping[str, object]) -> Column:
     return F.when(value.isNotNull(), F.when(high, F.lit(str(thresholds.get("highLabel", "high")))).otherwise(F.lit(str(thresholds.get("lowLabel", "low")))))
 
 
-def message_text(content: Column) -> Column:
-    """The text of a message whose content is an array of struct<text>: its non-null parts, one a line."""
-    return F.concat_ws("\n", F.filter(F.transform(content, lambda part: part["text"]), lambda text: text.isNotNull()))
+def message_text(content: Column, text: Column | None = None) -> Column:
+    """The text of a message: ``text`` where its content is a string, else the non-null parts of the array of struct<text>, one a line."""
+    parts = F.concat_ws("\n", F.filter(F.transform(content, lambda part: part["text"]), lambda text: text.isNotNull()))
+    return parts if text is None else F.coalesce(text, parts)
 
 
 def resolve_role(role: Column, roles: Column | None, defaults: Mapping[str, str]) -> Column:

@@ -12,11 +12,11 @@ def counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def labels(vertices: DataFrame) -> DataFrame:
-    return vertices.select(F.explode("labels").alias("label")).where("label <> ''").distinct()
+    return vertices.select(F.explode("labels").alias("label")).where("label <> ''").distinct().orderBy("label")
 
 
 def relation_types(edges: DataFrame) -> DataFrame:
-    return edges.select("type").distinct()
+    return edges.select("type").distinct().orderBy("type")
 
 
 def preview(vertices: DataFrame, edges: DataFrame, n: int = 40) -> DataFrame:
@@ -73,8 +73,8 @@ def missing_models(wanted: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def allow_list(*lists: DataFrame) -> DataFrame:
-    """The names in any of the lists (name), each once."""
+    """The names in any of the lists (name), each once, in order."""
     out = lists[0].select("name")
     for other in lists[1:]:
         out = out.unionByName(other.select("name"))
-    return out.distinct()
+    return out.distinct().orderBy("name")

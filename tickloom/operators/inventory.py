@@ -16,7 +16,7 @@ def line_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str, previous: DataFrame | None = None) -> DataFrame:
-    """(path, size, mtime, sha256, rows) of every file under ``path``; paths are relative to it, hidden files left out.
+    """(path, size, mtime, sha256, rows) of every file under ``path``, by path; paths are relative to it, hidden files left out.
 
     An empty file's hash is ``""`` and its mtime null; rows are counted for ``*.jsonl`` only. A file as old as in ``previous`` keeps its
     hash: content is read only for the others (the file listing is read without the content column).
@@ -35,7 +35,7 @@ def snapshot(spark: SparkSession, path: str, previous: DataFrame | None = None)
     counted = line_counts(spark, path).withColumn("path", relative(F.col("path")))
     out = listed.join(hashed.select("path", "sha256"), "path", "left").join(counted, "path", "left")
     jsonl = F.col("path").endswith(".jsonl")
-    return out.select("path", "size", "mtime", F.coalesce("sha256", F.lit("")).alias("sha256"), F.when(jsonl, F.coalesce("rows", F.lit(0))).cast("long").alias("rows"))
+    return out.select("path", "size", "mtime", F.coalesce("sha256", F.lit("")).alias("sha256"), F.when(jsonl, F.coalesce("rows", F.lit(0))).cast("long").alias("rows")).orderBy("path")
 
 
 def compare(current: DataFrame, previous: DataFrame, percent: float = DRIFT_PERCENT) -> DataFrame:

@@ -25,11 +25,21 @@ def recall(vectors: DataFrame, query: Sequence[float], k: int = 5, vec_id: str =
     return vectors.select(vec_id, score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), vec_id).limit(k)
 
 
+#: Queries that meet all vectors at once, by broadcast (some KB each).
+BLOCK = 4096
+
+
 def recall_each(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, score): the ``k`` nearest of every row of ``queries`` (query_id, query), a bounded set of queries.
+    """(query_id, vec_id, score): the ``k`` nearest of every row of ``queries`` (query_id, query), a stated set of queries.
 
-    A query set is compared with all vectors; each task first cuts its pairs to the best ``k`` of a query.
+    Queries are compared with all vectors in blocks of about BLOCK; each task first cuts its pairs to the best ``k`` of a query.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).where("score IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for n in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        pairs = vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).where("score IS NOT NULL")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = pairs.withColumn("place", place).where(F.col("place") <= k).drop("place")
+        out = best if out is None else out.unionAll(best)
+    return out

@@ -422,7 +422,8 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Synthetic(periods=60).load_history(spark, ["AAA", "BBB"])
+    bars = Synthetic(periods=60).load_history(spark, ["AAA", "BBB"])
+    return bars.select("ticker", _day("ts").alias("day"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "adjusted")
 
 
 NAMES = (

@@ -65,6 +65,18 @@ def load_config(spark: SparkSession, paths: Sequence[str], default: Mapping) ->
     return copy.deepcopy(dict(default))
 
 
+def save_config(spark: SparkSession, path: str, config: Mapping) -> None:
+    """A config as one JSON text at ``path``, in place of what is there."""
+    spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def materialise(spark: SparkSession, local: str, seed: str, default: Mapping) -> dict:
+    """The config at ``local``; where it can't be read, that of ``seed`` over ``default`` is saved there first."""
+    if (held := load_config(spark, [local], {})) == {}:
+        save_config(spark, local, held := load_config(spark, [seed], default))
+    return deep_merge(default, held)
+
+
 def load_symbols(spark: SparkSession, paths: Sequence[str]) -> dict:
     """A symbol map {defaultBenchmark, tickers}."""
     from tickloom.operators.returns import DEFAULT_BENCHMARK

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.schema import BARS, check_freq, normalise
+from tickloom.shared import cut
 from tickloom.sources.bars import make_adapter, within
 
 PARTITIONS = ("freq", "ticker")
@@ -52,8 +53,7 @@ def upsert_bars(bars: DataFrame, path: str, order: str | None = None) -> DataFra
     touched = new.select(*PARTITIONS).distinct()
     known = _stored(spark, path).join(touched, list(PARTITIONS), "left_semi").select(BARS.names)
     merged = latest_wins(known, new, "__order" if order else None)
-    keys = touched.persist()  # names only; the batch may not be readable twice
-    keys.count()
+    keys = cut(touched)  # names only; the batch may not be readable twice
     merged.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     held = _stored(spark, path).join(keys, list(PARTITIONS), "left_semi")
     return held.groupBy("ticker", "freq").agg(F.count("*").alias("rows"))
