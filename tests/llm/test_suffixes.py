@@ -85,3 +85,16 @@ def test_negative_ids(spark, seed):
 def test_small_numbers_read_back():
     for values in ([], [0, 255], [-1], [-1, 3], [-(2**63), 2**63 - 1], [70_000, 2]):
         assert suffixes.unsmall(suffixes.small(suffixes.np.array(values, suffixes.np.int64))).tolist() == values
+
+
+def test_windows_of_few_and_of_many_suffixes_agree(monkeypatch):
+    rng, anchor = random.Random(5), b"an anchor of 20 byte"
+    text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    classes = {}
+    for _ in range(400):
+        right = anchor + (b"same end of a passage in all of " + text(30))[: rng.randrange(31)]
+        classes[right, (text(2) + b"and what stands before an anchor" + text(30))[: rng.randrange(31)]] = rng.randrange(9)
+    monkeypatch.setattr(suffixes, "FEW", 10**9)
+    few = suffixes._earlier(classes)
+    monkeypatch.setattr(suffixes, "FEW", 0)
+    assert suffixes._earlier(classes) == few and any(few)

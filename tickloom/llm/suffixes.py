@@ -25,6 +25,8 @@ from tickloom.llm.lm import HASH_BITS, dealt_to_blocks, pack, small, unpack, uns
 SPAN, KMER = 50, 20
 #: Text of a block; a task needs some 25 times as much while it sorts.
 BLOCK_BYTES = 8 << 20
+#: Suffixes of one anchor whose windows are looked up one by one; those of more are compared in columns.
+FEW = 128
 _LEFT = SPAN - KMER
 _NO_ID = np.iinfo(np.int64).max
 
@@ -236,9 +238,16 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
 def _earlier(classes: dict[tuple[bytes, bytes], int]) -> list[int]:
     """For each class of suffixes with one anchor the windows (a bit each, by bytes before the anchor) that a smaller document has too.
 
-    A window is a row of bytes; for each place of the anchor in it equal rows are found by sorting their hashes, by
-    sorting the rows themselves if two that differ have one hash.
+    Windows of FEW classes are looked up one by one. Of more they are rows of bytes: for each place of the anchor equal
+    rows are found by sorting their hashes, by sorting the rows themselves if two that differ have one hash.
     """
+    if len(classes) <= FEW:
+        least: dict[bytes, int] = {}
+        windows = [[(back, x[:back][::-1] + r[: SPAN - back]) for back in range(SPAN - len(r), len(x) + 1)] for r, x in classes]
+        for own, doc in zip(windows, classes.values(), strict=True):
+            for _, window in own:
+                least[window] = min(doc, least.get(window, doc))
+        return [sum(1 << back for back, window in own if least[window] < doc) for own, doc in zip(windows, classes.values(), strict=True)]
     docs = np.array(list(classes.values()), np.int64)
     right, left = np.zeros((len(classes), SPAN), np.uint8), np.zeros((len(classes), _LEFT), np.uint8)
     for k, (r, x) in enumerate(classes):
