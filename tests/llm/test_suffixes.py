@@ -98,3 +98,31 @@ def test_windows_of_few_and_of_many_suffixes_agree(monkeypatch):
     few = suffixes._earlier(classes)
     monkeypatch.setattr(suffixes, "FEW", 0)
     assert suffixes._earlier(classes) == few and any(few)
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_anchors_split_into_parts_give_the_same(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    line = "this line of a licence stands in every document, at its start, its end or twice"
+    letters = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    rows = [(n, letters(rng.randrange(9)) + line[rng.randrange(12) :] + letters(rng.randrange(60)) + (line if n % 3 else line[:70])) for n in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 2_000)
+    expected = brute(rows)
+    for heavy in (0, 20, 10**9):
+        monkeypatch.setattr(suffixes, "HEAVY", heavy)
+        assert got(suffixes.remove_repeats(docs)) == expected
+
+
+def test_a_heavy_anchor_is_many_buckets():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcdefgh") for _ in range(60)).decode() + "a line that every document holds" + bytes(rng.choice(b"abcdefgh") for _ in range(60)).decode() for _ in range(400)]
+    block = suffixes.Block(suffixes.pa.table({"doc_id": range(400), "text": texts}), 16)
+    sent = block.anchors(0)
+    most = {}
+    for heavy in (False, True):
+        bits = lambda r, v: suffixes.np.packbits(suffixes.np.full(r["number"], v)).tobytes()
+        shared = [{k: r[k] for k in ("bucket", "number")} | {"mask": bits(r, True), "heavy": bits(r, heavy)} for r in sent]
+        sizes = [sum(row["prefix"][n] >= suffixes.KMER for n in range(row["number"])) for row in block.runs(0, shared)]
+        most[heavy] = max(sizes)
+    assert most[True] < most[False] / 2

@@ -5,7 +5,8 @@ anchors, so only suffixes that begin at anchors need sorting, and only those who
 of documents sends these suffixes to hash buckets as sorted, front-coded runs; a bucket merges its runs with a loser
 tree that keeps the common prefix of every loser with the last winner and never compares those bytes again. Suffixes that
 share an anchor are neighbours then, their windows are compared, and every block learns which of its windows begin in a
-smaller document too.
+smaller document too. An anchor that very many suffixes share is no bucket of its own: each of its suffixes is cut to parts
+of its windows, and a part goes to the bucket of the bytes that all windows of the part hold.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ BLOCK_BYTES = 8 << 20
 #: Suffixes of one anchor whose windows are looked up one by one; those of more are compared in columns.
 FEW = 128
 _LEFT = SPAN - KMER
+#: An anchor of more suffixes is split into parts of its windows: (fewest, most bytes before the anchor).
+HEAVY, PARTS = 2048, ((0, 7), (8, 15), (16, 23), (24, _LEFT))
 _NO_ID = np.iinfo(np.int64).max
 
-_ANCHORS = "block long, bucket long, number long, hashes binary, several binary"
-_SHARED = "block long, bucket long, number long, mask binary"
+_ANCHORS = "block long, bucket long, number long, hashes binary, several binary, counts binary"
+_SHARED = "block long, bucket long, number long, mask binary, heavy binary"
 _RUN = "block long, bucket long, number long, prefix binary, size binary, rest binary, left_size binary, left binary, docs binary"
 _REMOVED = "block long, bucket long, number long, windows binary"
 
@@ -85,27 +88,35 @@ class Block:
         return (x for x in (anchor[begin] + base, start[begin] + base, start[stop] + base, doc[begin] + row, (hashes[anchor[begin]] >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
 
     def anchors(self, block: int) -> list[dict]:
-        """Distinct anchor hashes by bucket, and which of them several documents of the block have."""
-        distinct, place = np.unique(self.hash, return_inverse=True)
+        """Distinct anchor hashes by bucket, which of them several documents of the block have, and how many suffixes each has."""
+        distinct, place, count = np.unique(self.hash, return_inverse=True, return_counts=True)
         low, high = np.full(len(distinct), _NO_ID), np.full(len(distinct), -_NO_ID - 1)
         np.minimum.at(low, place, self.ids[self.doc])
         np.maximum.at(high, place, self.ids[self.doc])
         bucket = ((distinct >> np.uint64(24)) * np.uint64(self.buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
         edge = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        return [{"block": block, "bucket": b, "number": int(e - s), "hashes": pack(distinct[s:e]), "several": np.packbits(low[s:e] < high[s:e]).tobytes()} for b, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > s]
+        return [{"block": block, "bucket": b, "number": int(e - s), "hashes": pack(distinct[s:e]), "several": np.packbits(low[s:e] < high[s:e]).tobytes(), "counts": small(count[s:e])} for b, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > s]
 
     def suffixes(self, shared: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The shared suffixes, sorted by bucket, bytes from the anchor on, bytes before it, and document.
+        """The shared suffixes and the parts of heavy ones, sorted by bucket, bytes from the anchor on, bytes before it, and document.
 
-        Returns (number of the anchor, is it the first of equals, number of its class, bytes (rows of 104), sizes).
+        Returns (number of the anchor, is it the first of equals, number of its class, bytes and sizes (rows of 96), bucket).
         """
         distinct, place = np.unique(self.hash, return_inverse=True)
         edge = np.searchsorted(((distinct >> np.uint64(24)) * np.uint64(self.buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64), np.arange(self.buckets + 1))
-        common = np.zeros(len(distinct), bool)
+        common, heavy = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         for r in shared:
-            common[edge[r["bucket"]] : edge[r["bucket"] + 1]] = np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["number"])
+            for flags, sent in ((common, r["mask"]), (heavy, r["heavy"])):
+                flags[edge[r["bucket"]] : edge[r["bucket"] + 1]] = np.unpackbits(np.frombuffer(sent, np.uint8), count=r["number"])
         some = np.flatnonzero(common[place]) if len(place) else np.zeros(0, np.int64)
-        at, right, left = self.at[some], self.last[some] + SPAN - self.at[some], self.at[some] - self.first[some]
+        split = heavy[place[some]] if len(some) else np.zeros(0, bool)
+        whole, split = some[~split], some[split]
+        # all windows of a part hold its fewest bytes before the anchor, and behind it what its most leave of SPAN
+        parts = [split[(self.at[split] - self.first[split] >= lo) & (self.last[split] - self.at[split] >= -hi)] for lo, hi in PARTS]
+        some = np.concatenate([whole, *parts])
+        lo, hi = (np.repeat([x, *(p[k] for p in PARTS)], [len(whole), *map(len, parts)]) for k, x in ((0, 0), (1, _LEFT)))
+        at = self.at[some]
+        right, left = np.minimum(self.last[some] + SPAN - at, SPAN - lo), np.minimum(at - self.first[some], hi)
         rows = np.zeros((len(some), 96), np.uint8)
         for k in range(SPAN):
             there = k < right
@@ -114,13 +125,22 @@ class Block:
             there = k < left
             rows[there, 56 + k] = self.data[at[there] - 1 - k]
         rows[:, 88], rows[:, 89] = right, left
+        bucket = self.bucket[some]
+        start = len(whole)
+        for (fewest, most), part in zip(PARTS, parts, strict=True):
+            held = rows[start : start + len(part)].copy()
+            held[:, SPAN - most : 56] = 0
+            held[:, 56 + fewest :] = 0
+            total = tb.mixed(held.view(np.uint64) @ tb.powers(13)[0][1:] + np.uint64(fewest))
+            bucket[start : start + len(part)] = ((total >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+            start += len(part)
         words = rows.view(">u8")
-        order = np.lexsort((self.ids[self.doc[some]], *(words[:, k] for k in range(11, -1, -1)), self.bucket[some]))
-        some, rows = some[order], rows[order]
+        order = np.lexsort((self.ids[self.doc[some]], *(words[:, k] for k in range(11, -1, -1)), bucket))
+        some, rows, bucket = some[order], rows[order], bucket[order]
         words = rows.view(">u8")
         first = np.ones(len(some), bool)
-        first[1:] = (words[1:] != words[:-1]).any(1) | (self.bucket[some][1:] != self.bucket[some][:-1])
-        return some, first, np.cumsum(first) - 1, rows, self.bucket[some]
+        first[1:] = (words[1:] != words[:-1]).any(1) | (bucket[1:] != bucket[:-1])
+        return some, first, np.cumsum(first) - 1, rows, bucket
 
     def runs(self, block: int, shared: list[dict]) -> list[dict]:
         """A front-coded run of distinct suffixes for each bucket: the prefix shared with the one before, and the rest."""
@@ -156,9 +176,8 @@ class Block:
         mask = np.where(self.ids[self.doc[some]] > least, np.uint32(0xFFFFFFFF), answer[number] if len(heads) else np.zeros(0, np.uint32))
         begins = np.zeros(len(self.data) + 1, np.int32)
         for back in range(_LEFT + 1):
-            hit = some[((mask >> np.uint32(back)) & np.uint32(1)).astype(bool)]
-            start = self.at[hit] - back
-            begins[start[(start >= self.first[hit]) & (start <= self.last[hit])]] = 1
+            hit = ((mask >> np.uint32(back)) & np.uint32(1)).astype(bool) & (rows[:, 88] >= SPAN - back) & (rows[:, 89] >= back)
+            begins[self.at[some[hit]] - back] = 1
         so_far = np.cumsum(begins[:-1], dtype=np.int32)
         gone = so_far > 0
         gone[SPAN:] = so_far[SPAN:] > so_far[:-SPAN]
@@ -328,8 +347,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         several = count > 1
         several[place[np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=r["number"]) for r in sent]).astype(bool)]] = True
+        heavy = np.bincount(place, np.concatenate([unsmall(r["counts"]) for r in sent])) > HEAVY
         end = np.cumsum([len(h) for h in hashes])
-        return pa.Table.from_pylist([{k: r[k] for k in ("block", "bucket", "number")} | {"mask": np.packbits(several[place[e - len(h) : e]]).tobytes()} for r, h, e in zip(sent, hashes, end, strict=True)], shared_schema)
+        flags = lambda told, h, e: np.packbits(told[place[e - len(h) : e]]).tobytes()
+        return pa.Table.from_pylist([{k: r[k] for k in ("block", "bucket", "number")} | {"mask": flags(several, h, e), "heavy": flags(heavy, h, e)} for r, h, e in zip(sent, hashes, end, strict=True)], shared_schema)
 
     def send_runs(table: pa.Table, shared: pa.Table) -> pa.Table:
         return pa.Table.from_pylist(Block(table, n_blocks).runs(number(table), shared.to_pylist()) if table.num_rows else [], run_schema)
@@ -371,6 +392,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = dealt.groupBy("block").applyInArrow(send_anchors, _ANCHORS).groupBy("bucket").applyInArrow(find_shared, _SHARED)
     runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_runs, _RUN)
     removed = runs.groupBy("bucket").applyInArrow(merge_runs, _REMOVED)
-    answers = shared.withColumn("windows", F.lit(None).cast("binary")).unionByName(removed.withColumn("mask", F.lit(None).cast("binary")), allowMissingColumns=True)
+    answers = shared.withColumn("windows", F.lit(None).cast("binary")).unionByName(removed, allowMissingColumns=True)
     kind = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut_out, kind)
