@@ -29,7 +29,7 @@ BLOCK_BYTES = 8 << 20
 #: Suffixes of one anchor whose windows are looked up one by one; those of more are compared in columns.
 FEW = 128
 _LEFT = SPAN - KMER
-#: An anchor of more suffixes is split into parts of its windows: (fewest, most bytes before the anchor).
+#: An anchor of more suffixes (equal ones of a block counted once) is split into parts of its windows: (fewest, most bytes before the anchor).
 HEAVY, PARTS = 2048, ((0, 7), (8, 15), (16, 23), (24, _LEFT))
 _NO_ID = np.iinfo(np.int64).max
 
@@ -44,7 +44,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 class Block:
-    """The anchors of a block of texts: place, first and last window, document and hash of each."""
+    """The anchors of a block of texts: place, first and last window, document, hash, and hash of all windows of each."""
 
     def __init__(self, table: pa.Table, buckets: int):
         column = table["text"]
@@ -52,14 +52,14 @@ class Block:
         ids = table["doc_id"].cast(pa.int64())
         self.ids = np.asarray(ids.fill_null(_NO_ID))
         self.buckets = buckets
-        found: list[list[np.ndarray]] = [[] for _ in range(5)]
+        found: list[list[np.ndarray]] = [[] for _ in range(6)]
         row, n = 0, len(self.offsets) - 1
         while row < n:
             end = max(row + 1, int(np.searchsorted(self.offsets, self.offsets[row] + tb.SLICE_BYTES, "right")) - 1)
             for kept, x in zip(found, self._anchors(row, end), strict=True):
                 kept.append(x)
             row = end
-        self.at, self.first, self.last, self.doc, self.hash = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        self.at, self.first, self.last, self.doc, self.hash, self.span = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
         self.hash = self.hash.astype(np.uint64)
         self.bucket = ((self.hash >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
 
@@ -67,9 +67,10 @@ class Block:
         base = int(self.offsets[row])
         data, offsets = self.data[base : self.offsets[end]], self.offsets[row : end + 1] - base
         if len(data) < SPAN:
-            return (np.zeros(0, np.int64) for _ in range(5))
+            return (np.zeros(0, np.int64) for _ in range(6))
         prefix = tb.prefix_hash(data)
-        hashes = tb.mixed((prefix[KMER:] - prefix[:-KMER]) * tb.powers(len(prefix))[1][: len(data) - KMER + 1])
+        down = tb.powers(len(prefix))[1]
+        hashes = tb.mixed((prefix[KMER:] - prefix[:-KMER]) * down[: len(data) - KMER + 1])
         key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
         low, width = key, 1
         while width * 2 <= _LEFT + 1:
@@ -85,11 +86,17 @@ class Block:
         new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
         begin = np.flatnonzero(new)
         stop = np.append(begin[1:], len(start)) - 1 if len(begin) else begin
-        return (x for x in (anchor[begin] + base, start[begin] + base, start[stop] + base, doc[begin] + row, (hashes[anchor[begin]] >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
+        s, e = start[begin], start[stop]
+        span = ((prefix[e + SPAN] - prefix[s]) * down[s]).view(np.int64)
+        return (x for x in (anchor[begin] + base, s + base, e + base, doc[begin] + row, (hashes[anchor[begin]] >> np.uint64(64 - HASH_BITS)).astype(np.int64), span))
 
     def anchors(self, block: int) -> list[dict]:
-        """Distinct anchor hashes by bucket, which of them several documents of the block have, and how many suffixes each has."""
-        distinct, place, count = np.unique(self.hash, return_inverse=True, return_counts=True)
+        """Distinct anchor hashes by bucket, which of them several documents of the block have, and how many different suffixes each has."""
+        distinct, place = np.unique(self.hash, return_inverse=True)
+        order = np.lexsort((self.span, place))
+        new = np.ones(len(order), bool)
+        new[1:] = (place[order][1:] != place[order][:-1]) | (self.span[order][1:] != self.span[order][:-1])
+        count = np.bincount(place[order][new], minlength=len(distinct))
         low, high = np.full(len(distinct), _NO_ID), np.full(len(distinct), -_NO_ID - 1)
         np.minimum.at(low, place, self.ids[self.doc])
         np.maximum.at(high, place, self.ids[self.doc])
