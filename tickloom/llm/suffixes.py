@@ -11,6 +11,7 @@ of its windows, and a part goes to the bucket of the bytes that all windows of t
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,7 +198,7 @@ class Run:
     def __init__(self, row: dict):
         self.prefix, self.rest = row["prefix"], row["rest"]
         self.size, self.left_size, self.left = row["size"], row["left_size"], row["left"]
-        self.docs = unsmall(row["docs"]).tolist()
+        self.docs = array("q", unsmall(row["docs"]).tobytes())
         self.number, self.next, self.from_rest, self.head = row["number"], 0, 0, b""
 
     def advance(self) -> int:
@@ -302,7 +303,7 @@ def _earlier(classes: dict[tuple[bytes, bytes], int]) -> list[int]:
     return out.tolist()
 
 
-def _windows(group: list[tuple[int, bytes, bytes, int, int]], out: list[list[int]]) -> None:
+def _windows(group: list[tuple[int, bytes, bytes, int, int]], out: list[array]) -> None:
     """Marks the windows of a group of suffixes with one anchor: (run, bytes from it on, bytes before it, document, number)."""
     classes: dict[tuple[bytes, bytes], int] = {}
     for _, right, left, doc, _ in group:
@@ -316,6 +317,24 @@ def _windows(group: list[tuple[int, bytes, bytes, int, int]], out: list[list[int
             out[run][number] = marked[right, left]
 
 
+def _merge_runs(sent: list[dict]) -> list[dict]:
+    """The windows of every suffix of the runs of a bucket that begin in a smaller document too. Numbers are kept in arrays, not lists."""
+    runs = [Run(r) for r in sent]
+    out = [array("I", bytes(4 * r["number"])) for r in sent]
+    left_at = [array("q", np.cumsum(np.frombuffer(b"\0" + r["left_size"], np.uint8), dtype=np.int64).tobytes()) for r in sent]
+    group: list[tuple[int, bytes, bytes, int, int]] = []
+    for shared, k, n in merged(runs):
+        if shared < KMER:
+            if len(group) > 1:
+                _windows(group, out)
+            group = []
+        run = runs[k]
+        group.append((k, run.head, run.left[left_at[k][n] : left_at[k][n + 1]], run.docs[n], n))
+    if len(group) > 1:
+        _windows(group, out)
+    return [{k: r[k] for k in ("block", "bucket", "number")} | {"windows": w.tobytes()} for r, w in zip(sent, out, strict=True)]
+
+
 def _running(flags: np.ndarray) -> np.ndarray:
     """How many flags are set before each place; a block has fewer than 2 ** 31 bytes."""
     out = np.zeros(len(flags) + 1, np.int32)
@@ -346,7 +365,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return table["block"][0].as_py()
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(Block(table, n_blocks).anchors(number(table)), anchors_schema)
+        out = pa.Table.from_pylist(Block(table, n_blocks).anchors(number(table)), anchors_schema)
+        tb.release()
+        return out
 
     def find_shared(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
@@ -360,24 +381,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return pa.Table.from_pylist([{k: r[k] for k in ("block", "bucket", "number")} | {"mask": flags(several, h, e), "heavy": flags(heavy, h, e)} for r, h, e in zip(sent, hashes, end, strict=True)], shared_schema)
 
     def send_runs(table: pa.Table, shared: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(Block(table, n_blocks).runs(number(table), shared.to_pylist()) if table.num_rows else [], run_schema)
+        out = pa.Table.from_pylist(Block(table, n_blocks).runs(number(table), shared.to_pylist()) if table.num_rows else [], run_schema)
+        tb.release()
+        return out
 
     def merge_runs(table: pa.Table) -> pa.Table:
-        sent = table.to_pylist()
-        runs = [Run(r) for r in sent]
-        out = [[0] * r["number"] for r in sent]
-        left_at = [np.concatenate([[0], np.cumsum(np.frombuffer(r["left_size"], np.uint8), dtype=np.int64)]).tolist() for r in sent]
-        group: list[tuple[int, bytes, bytes, int, int]] = []
-        for shared, k, n in merged(runs):
-            if shared < KMER:
-                if len(group) > 1:
-                    _windows(group, out)
-                group = []
-            run = runs[k]
-            group.append((k, run.head, run.left[left_at[k][n] : left_at[k][n + 1]], run.docs[n], n))
-        if len(group) > 1:
-            _windows(group, out)
-        return pa.Table.from_pylist([{k: r[k] for k in ("block", "bucket", "number")} | {"windows": np.array(w, np.uint32).tobytes()} for r, w in zip(sent, out, strict=True)], removed_schema)
+        out = pa.Table.from_pylist(_merge_runs(table.to_pylist()), removed_schema)
+        tb.release()
+        return out
 
     def cut_out(table: pa.Table, answers: pa.Table) -> pa.Table:
         out_schema = pa.schema([table.schema.field("doc_id"), *rest_schema])
@@ -394,7 +405,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         spans = _running(starts)
         kept_offsets = offsets - before[offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(kept_offsets.astype(np.int64).tobytes()), pa.py_buffer(block.data[~gone].tobytes())]).cast(pa.binary())
-        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(offsets)), *(pa.array(np.diff(x[offsets]).astype(np.int64)) for x in (before, spans)), kept], schema=out_schema)
+        out = pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(offsets)), *(pa.array(np.diff(x[offsets]).astype(np.int64)) for x in (before, spans)), kept], schema=out_schema)
+        del block, told, gone, before, starts, spans
+        tb.release()
+        return out
 
     shared = dealt.groupBy("block").applyInArrow(send_anchors, _ANCHORS).groupBy("bucket").applyInArrow(find_shared, _SHARED)
     runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_runs, _RUN)
