@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, embeddings, jaccard, language, lm, mixing, quality, sharding, suffixes
+from tickloom.llm import decontaminate, embeddings, filter_audit, jaccard, language, lm, mixing, quality, sharding, suffixes
 from tickloom.llm.common import shared_dir, table, written
 from tickloom.llm.tokens import TokenRollup, with_tokens
 
@@ -80,6 +80,11 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` by source, as in interactions(): null texts are empty, a null source is the empty part, repeated rows count each."""
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of corpus_pipeline.run(); each stage states its cases."""
     import corpus_pipeline
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_pu": op8_quality_pu,
         "op9_language_id": op9_language_id,
         "op10_kd_shards": op10_kd_shards,
+        "op12_filter_audit": op12_filter_audit,
         "pipeline": pipeline,
     }
 
@@ -107,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_stupid_backoff": lm.ORACLE,
         "op5_mix_sources": mixing.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE,
     }
