@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, embeddings, filter_audit, jaccard, language, lm, mixing, quality, sharding, suffixes
+from tickloom.llm import decontaminate, embeddings, filter_audit, fingerprints, jaccard, language, lm, mixing, quality, sharding, suffixes
 from tickloom.llm.common import shared_dir, table, written
 from tickloom.llm.tokens import TokenRollup, with_tokens
 
@@ -85,6 +85,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, as in document_fingerprints(): null texts are empty, equal ids are ordered by a hash of their text, repeated rows are rows."""
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of corpus_pipeline.run(); each stage states its cases."""
     import corpus_pipeline
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_kd_shards": op10_kd_shards,
         "op12_filter_audit": op12_filter_audit,
+        "op13_fingerprints": op13_fingerprints,
         "pipeline": pipeline,
     }
 
