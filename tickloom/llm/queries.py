@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, embeddings, filter_audit, fingerprints, jaccard, language, lm, mixing, quality, sharding, suffixes
+from tickloom.llm import conversations, decontaminate, embeddings, filter_audit, fingerprints, jaccard, language, lm, mixing, quality, sharding, suffixes
 from tickloom.llm.common import shared_dir, table, written
 from tickloom.llm.tokens import TokenRollup, with_tokens
 
@@ -80,6 +80,12 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations``, damaged by damage(), as in repair_report(): nulls are one space, rows of one turn stand by role and a hash of the text, repeated rows are duplicates."""
+    conversations_ = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damage(conversations_), conversations_)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` by source, as in interactions(): null texts are empty, a null source is the empty part, repeated rows count each."""
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_pu": op8_quality_pu,
         "op9_language_id": op9_language_id,
         "op10_kd_shards": op10_kd_shards,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_filter_audit": op12_filter_audit,
         "op13_fingerprints": op13_fingerprints,
         "pipeline": pipeline,
