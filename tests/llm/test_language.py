@@ -77,3 +77,22 @@ def test_phrases_are_normalised_by_the_length_of_the_sample(spark):
     right = sum(r["lang_pred"] == ("little" if r["doc_id"] % 2 else "much") for r in out)
     print(f"{right} of 60 right")
     assert right == 60 and all(0.5 <= r["score"] <= 1 for r in out)
+
+
+def test_languages_without_letters_change_nothing(spark, learned):
+    """Samples that are empty, blank or a letter or two long never win, nor do rows labelled so."""
+    docs = documents(spark)
+    want = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, learned).collect()}
+    for odd in (b"", b" ", b"a", b"ab", b"e n"):
+        assert {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, tuple(sorted([*learned, ("aa", odd), ("zz", odd)]))).collect()} == want
+    digits = spark.createDataFrame([(10_000 + k, "12345 67890", "xx", "s", 11) for k in range(11)], docs.schema)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.language_id(docs.unionByName(digits)).collect() if r["doc_id"] < 10_000}
+    assert got == {r["doc_id"]: r["lang_pred"] for r in language.language_id(docs).collect()}
+
+
+def test_samples_of_many_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 5)
+    monkeypatch.setattr(language, "ALL_LETTERS", 600)
+    rows = [(n, f"letters of a language {'abcdefghij'[n % 9] * 8} " * 20, f"l{n % 9}") for n in range(90)] + [(99, "more of it " * 30, "l3")]
+    samples = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), None)
+    assert len(samples) == 5 and samples[-1][0] == "l4" and all(len(s) == 120 for _, s in samples)

@@ -65,3 +65,16 @@ def test_without_documents_or_labels(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.classify(nothing(spark), none).count() == 0
     assert {r["score"] for r in quality.classify(awkward(spark), none).collect()} == {0.5}
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """One id on many rows, with many labels: no more rows reach the driver than the bounds say."""
+    monkeypatch.setattr(quality, "POSITIVES", 50)
+    monkeypatch.setattr(quality, "UNLABELLED", 80)
+    docs = spark.range(600).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words and the number "), F.col("id").cast("string")).alias("text"))
+    others = spark.range(100, 130).select(F.col("id").alias("doc_id"), F.lit("WORTHLESS | text").alias("text"))
+    labels = spark.createDataFrame([(7, 1, 0)] * 300 + [(100, 0, 0)] * 5, LABELS)
+    docs = docs.unionAll(others)
+    positive, x = quality._sample(docs, labels.where("quality = 1").select("doc_id"), docs.select("doc_id"))
+    assert positive.sum() == 50 and len(positive) - positive.sum() == 80 and x.shape == (130, len(quality.FEATURES))
+    assert len(quality.classify(docs, labels).collect()) == 630

@@ -24,6 +24,12 @@ from tickloom.llm.common import fold, small_batches
 
 #: The labelled sample of a language: so many documents at most, and so many letters of them.
 SAMPLE_DOCS, SAMPLE_LETTERS = 24, 40_000
+#: The most languages that are learned (those of most labelled documents), and the most letters of all samples: their
+#: automata, at most 2 states a letter and 157 transitions of four bytes a state, are held in each worker.
+LANGUAGES, ALL_LETTERS = 200, 400_000
+#: A phrase weighs as if the sample had at least so many letters, so that a language of which next to nothing was
+#: learned, where each letter is a phrase, can't be the cheapest by the lightness of its phrases.
+LEAST_LETTERS = 128
 #: Phrases end at segment ends: documents are parsed in segments of so many letters.
 SEGMENT = 1024
 #: Bytes of text whose segments advance together.
@@ -127,33 +133,37 @@ def learn(docs: DataFrame, test_fold: int | None = 0, folds: int = 5, doc_id: st
 
     The sample is bounded: SAMPLE_DOCS whole documents for each language (first those of 200 to 4,000 characters, in the
     order of a hash of their id), joined and ended at SAMPLE_LETTERS bytes. Of a longer text only its first 4 *
-    SAMPLE_LETTERS characters can count, so no more of it reaches the driver.
+    SAMPLE_LETTERS characters can count, so no more of it reaches the driver. At most LANGUAGES are learned, and samples
+    are shortened alike where they would be more than ALL_LETTERS together.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows if test_fold is None else rows.where(fold("doc_id", folds) != test_fold)
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    rows = rows.join(F.broadcast(most), "lang", "left_semi")
     order = Window.partitionBy("lang").orderBy((~F.length("text").between(200, 4000)).cast("int"), F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
     picked = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE_DOCS).select("lang", "turn", F.left("text", F.lit(4 * SAMPLE_LETTERS)).alias("text")).orderBy("lang", "turn")
     by_lang: dict[str, list[str]] = {}
     for r in picked.toLocalIterator():
         by_lang.setdefault(r["lang"], []).append(r["text"].lower())
-    samples = []
+    samples, share = [], min(SAMPLE_LETTERS, ALL_LETTERS // max(len(by_lang), 1))
     for name, texts in sorted(by_lang.items()):
         data, offsets = tb.utf8(pa.array(texts))
-        samples.append((name, letters(data, offsets)[0][:SAMPLE_LETTERS].tobytes()))
+        samples.append((name, letters(data, offsets)[0][:share].tobytes()))
     return tuple(samples)
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every document.
 
-    A language's phrases are normalised to those of the longest sample: times log2 of its own letters, by log2 of the most.
+    A language's phrases are normalised to those of the longest sample: times log2 of its own letters, LEAST_LETTERS at
+    least, by log2 of the most. A language whose sample has no letter breaks a phrase at each letter, and so never wins.
     The language with the fewest wins, the first by name on a tie; score weighs every phrase more than the
     winner's by a half: 1 / sum(2 ** -(phrases - fewest)). Texts that are null or have no letter are ``und`` with score 0,
     and so are all texts if no language was learned.
     """
     small_batches(docs.sparkSession)
     names = [name for name, _ in samples]
-    weight = np.log2([max(len(sample), 2) for _, sample in samples])
+    weight = np.log2([max(len(sample), LEAST_LETTERS) for _, sample in samples])
     weight = weight / weight.max() if names else weight
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_LETTERS bytes a language
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import fold, place, small_batches, unused
+from tickloom.llm.common import fold, place, small_batches, unused, written
 
 #: Bounds of the fitted sample: positives, unlabelled documents.
 POSITIVES, UNLABELLED = 10_000, 20_000
@@ -112,10 +112,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(positive, turn, text) to (positive, turn, x)."""
     for batch in batches:
-        for row, end, data, offsets in tb.slices(batch.column(1)):
+        for row, end, data, offsets in tb.slices(batch.column(2)):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["positive", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in (0, 1)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["positive", "turn", "x"])
+
+
+def _sample(docs: DataFrame, trusted: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(positive, features) of at most POSITIVES and UNLABELLED rows of ``docs`` (doc_id, text), however often ids repeat.
+
+    The first distinct ids by a hash are chosen, small enough to broadcast at any size of the corpus; of the rows that
+    bear them, which one repeated id could make as many as there are, the first by hash and features arrive.
+    """
+    turn = lambda salt: F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)).alias("turn")
+    kinds = ((True, trusted, POSITIVES), (False, ids, UNLABELLED))
+    chosen = [df.distinct().select("doc_id", turn(int(not mark))).orderBy("turn", "doc_id").limit(most).select("doc_id", "turn", F.lit(mark).alias("positive")) for mark, df, most in kinds]
+    rows = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("positive", "turn", "text").mapInArrow(_featured, "positive boolean, turn long, x array<double>")
+    rows = written(rows, "quality-sample")
+    parts = [rows.where(F.col("positive") == mark).orderBy("turn", "x").limit(most).select("x").toArrow() for mark, _, most in kinds]
+    x = np.concatenate([np.asarray(p.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) for p in parts])
+    return np.arange(len(x)) < parts[0].num_rows, x
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", test_fold: int | None = 2, folds: int = 4) -> Model:
@@ -123,22 +140,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     The class prior is the share of label 1 among all labelled rows: it holds as far as documents were drawn for
     labelling at random, whatever label they then got. The labels of 0 serve for nothing else; risk is taken over positives and unlabelled texts.
-    The sample is bounded: POSITIVES documents of label 1 and UNLABELLED of any, the first by a hash of their id. A
-    document with several labels counts once for each; null labels are skipped. Without positives every score is the prior.
+    The sample is bounded: POSITIVES rows of documents with a label 1 and UNLABELLED of any, the first by a hash of their
+    id, also where ids or labels repeat. A document with several labels is a positive if one is 1; null labels are
+    skipped. Without positives every score is the prior.
     """
     small_batches(docs.sparkSession)
     keep = F.lit(True) if test_fold is None else fold("doc_id", folds) != test_fold
     marks = labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("label")).where("label IS NOT NULL").where(keep)
     ids = docs.select(docs[doc_id].alias("doc_id")).where("doc_id IS NOT NULL").where(keep)
     prior = marks.select(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-    trusted = marks.where("label = 1").select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(POSITIVES).withColumn("positive", F.lit(True))
-    web = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
-    # at most POSITIVES + UNLABELLED ids: small enough to broadcast at any size of the corpus
-    sample = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(trusted.unionAll(web)), "doc_id").select("positive", "text", "doc_id")
-    rows = sample.select("positive", "text").mapInArrow(_featured, "positive boolean, x array<double>").toArrow()
-    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
+    positive, x = _sample(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), marks.where("label = 1").select("doc_id"), ids)
     order = np.lexsort(x.T)
-    x, positive = x[order], np.asarray(rows.column("positive"))[order]
+    x, positive = x[order], positive[order]
     return fit(x[positive], x[~positive], 0.5 if prior is None else prior)
 
 
