@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 from conftest import SF, TABLES
 
-from tickloom.plans import io_queries, oracle
+from tickloom.plans import io_queries, oracle, scale_queries
 from tickloom.plans import queries as q
 
-QUERIES, SQL = {**q.queries(), **io_queries.queries()}, {**oracle.SQL, **io_queries.SQL}
+QUERIES, SQL = {**q.queries(), **io_queries.queries(), **scale_queries.queries()}, {**oracle.SQL, **io_queries.SQL, **scale_queries.SQL}
 
 
 @pytest.fixture(scope="module")
