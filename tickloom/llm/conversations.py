@@ -27,7 +27,7 @@ from tickloom.llm.common import cut, only, small_batches, written
 START, SYSTEM, USER, ASSISTANT = range(4)
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 #: Bytes of repaired text that go on as one row where a conversation spans ranges.
-PART_BYTES = 1 << 20
+PART_BYTES, OUT_ROWS = 1 << 20, 1000
 _SPACE = " \t\n\x0b\x0c\r"
 _LEGAL = {"su", "ua", "au"}
 #: From each state the states that inserts reach: (how many, which). A user comes next unless a user came last.
@@ -149,12 +149,32 @@ _PATH = "key string, piece long, entry int, leave int, inserts string, whole boo
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "binary": pa.binary()}
 
 
-def _out(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+def _batched(ddl: str):
+    """Makes record batches of a generator's rows, of OUT_ROWS rows or about PART_BYTES of text."""
     schema = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in ddl.split(", ")])
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decorate(rows_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting, size = [], 0
+            for size_of, row in rows_of(batches):
+                waiting.append(row)
+                size += size_of
+                if len(waiting) >= OUT_ROWS or size > PART_BYTES:
+                    yield made(waiting)
+                    waiting, size = [], 0
+            if waiting:
+                yield made(waiting)
+
+        return run
+
+    return decorate
+
+
+@_batched(_PIECE)
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
     """Sorted rows (piece, key, at, kind, copies, initial) to a table from state to state for each conversation in the piece.
 
     Only a piece's first conversation can have begun before it; all others are searched from the start alone.
@@ -169,10 +189,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for state, end in enumerate(search([r[3:5] for r in rows], entry)):
                 if end:
                     costs[4 * entry + state], ranks[4 * entry + state], edits[4 * entry + state] = end
-        yield _out(_PIECE, [(key, piece, at, costs, ranks, edits, illegal_pairs([r[5] for r in rows], [r[4] for r in rows]), rows[0][5], rows[-1][5])])
+        size = sum(len(e) for e in edits if e)
+        yield size, (key, piece, at, costs, ranks, edits, illegal_pairs([r[5] for r in rows], [r[4] for r in rows]), rows[0][5], rows[-1][5])
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@_batched(_PATH)
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
     """A conversation's pieces (key, piece, costs, ranks, illegal, head, tail) in order to the states between them."""
     for rows, _ in _groups(batches, 1):
         ends, backs, illegal, tail = {START: (0, 0)}, [], 0, None
@@ -188,12 +210,10 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             illegal += bad + (tail is not None and tail + head not in _LEGAL)
             tail = end
         state, cost, inserts = closing(ends)
-        out = []
+        final = True
         for row, back in zip(reversed(rows), reversed(backs), strict=True):
-            final = not out
-            out.append((row[0], row[1], back[state], state, inserts if final else "", len(rows) == 1, cost if final else None, illegal if final else None))
-            state = back[state]
-        yield _out(_PATH, out)
+            yield 0, (row[0], row[1], back[state], state, inserts if final else "", len(rows) == 1, cost if final else None, illegal if final else None)
+            state, final = back[state], False
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -232,7 +252,8 @@ _DIGEST = "key string, piece long, number long, part binary, repaired_sha256 str
 _ROW = "key string, piece long, number long, role string, text string"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@_batched(_DIGEST)
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
     """Conversations that lie within their range to digests; the text of others in parts, each row after a line break."""
     hashed, waiting, number = hashlib.sha256(), bytearray(), 0
     for key, piece, whole, role, text in _repaired(batches):
@@ -242,39 +263,35 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if whole:
                 hashed.update(waiting[1:] if number == 0 else waiting)
             elif waiting:
-                yield _out(_DIGEST, [(key, piece, number, bytes(waiting), None)])
+                yield len(waiting), (key, piece, number, bytes(waiting), None)
             waiting, number = bytearray(), number + 1
         if role is None:
             if whole:
-                yield _out(_DIGEST, [(key, piece, None, None, hashed.hexdigest())])
+                yield 0, (key, piece, None, None, hashed.hexdigest())
             hashed, number = hashlib.sha256(), 0
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@_batched("key string, repaired_sha256 string")
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
     """Sorted parts (key, piece, number, part) to one digest a conversation; only one part is held."""
     now, hashed = None, None
     for batch in batches:
         for key, _, _, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != now:
                 if hashed:
-                    yield _out("key string, repaired_sha256 string", [(now, hashed.hexdigest())])
+                    yield 0, (now, hashed.hexdigest())
                 now, hashed, part = key, hashlib.sha256(), part[1:]
             hashed.update(part)
     if hashed:
-        yield _out("key string, repaired_sha256 string", [(now, hashed.hexdigest())])
+        yield 0, (now, hashed.hexdigest())
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@_batched(_ROW)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
     """The repaired rows themselves, numbered within their range."""
-    waiting = []
     for number, (key, piece, _, role, text) in enumerate(_repaired(batches)):
         if role is not None:
-            waiting.append((key, piece, number, role, text))
-        if len(waiting) == 500:
-            yield _out(_ROW, waiting)
-            waiting = []
-    if waiting:
-        yield _out(_ROW, waiting)
+            yield len(text), (key, piece, number, role, text)
 
 
 @dataclass
@@ -288,6 +305,11 @@ class Repair:
 
     conversations: DataFrame
 
+    @property
+    def _tasks(self) -> int:
+        """As many as there are ranges, and not joined because rows are narrow: the work isn't."""
+        return int(self.conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     @cached_property
     def rows(self) -> DataFrame:
         """Equal rows once with their number, in order, written: ``at`` grows with the order, its upper bits are the range.
@@ -318,12 +340,12 @@ class Repair:
 
     @cached_property
     def _tables(self) -> DataFrame:
-        pieces = self.faults.select("piece", "key", "at", "kind", "copies", "initial").repartition("piece").sortWithinPartitions("at")
+        pieces = self.faults.select("piece", "key", "at", "kind", "copies", "initial").repartition(self._tasks, "piece").sortWithinPartitions("at")
         return written(pieces.mapInArrow(_pieces, _PIECE), "conversation-pieces")
 
     @cached_property
     def _chosen(self) -> DataFrame:
-        narrow = self._tables.select("key", "piece", "costs", "ranks", "illegal", "head", "tail").repartition("key").sortWithinPartitions("key", "piece")
+        narrow = self._tables.select("key", "piece", "costs", "ranks", "illegal", "head", "tail").repartition(self._tasks, "key").sortWithinPartitions("key", "piece")
         paths = narrow.mapInArrow(_paths, _PATH)
         tables = self._tables.select("key", "piece", "at", F.col("edits").alias("all"))
         edits = F.concat(F.element_at("all", F.col("entry") * 4 + F.col("leave") + 1), F.col("inserts"))
@@ -345,7 +367,7 @@ class Repair:
         rows = self.rows.select("at", F.lit(1).alias("flag"), "piece", "key", "role", "text", "copies", F.lit(None).cast("string").alias("edits"), F.lit(None).cast("int").alias("entry"), F.lit(None).cast("boolean").alias("whole"))
         none = F.lit(None).cast("string")
         heads = self._chosen.select("at", F.lit(0), "piece", "key", none, none, F.lit(None).cast("long"), "edits", "entry", "whole")
-        return rows.unionAll(heads).repartition("piece").sortWithinPartitions("at", "flag")
+        return rows.unionAll(heads).repartition(self._tasks, "piece").sortWithinPartitions("at", "flag")
 
     def repaired(self) -> DataFrame:
         """The repaired rows: key, role, text, in the order of (piece, number)."""
@@ -358,7 +380,7 @@ class Repair:
         the one task that hashes it, which holds one part at a time.
         """
         done = written(self._stream().mapInArrow(_digests, _DIGEST), "conversation-digests")
-        parts = done.where("part IS NOT NULL").select("key", "piece", "number", "part").repartition("key").sortWithinPartitions("key", "piece", "number")
+        parts = done.where("part IS NOT NULL").select("key", "piece", "number", "part").repartition(self._tasks, "key").sortWithinPartitions("key", "piece", "number")
         return done.where("repaired_sha256 IS NOT NULL").select("key", "repaired_sha256").unionAll(parts.mapInArrow(_joined, "key string, repaired_sha256 string"))
 
 
