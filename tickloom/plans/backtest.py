@@ -12,7 +12,7 @@ from tickloom.functions.prices import FEATURES, cum_abnormal_return, forward_ret
 from tickloom.operators.asof import asof_join
 from tickloom.operators.evidence import stats_record
 from tickloom.operators.events import events_from_tags, triggered
-from tickloom.operators.returns import compute, with_features, with_returns
+from tickloom.operators.returns import compute, featured
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ def guard(score_feature: str | None) -> None:
 
 def evaluate(bars: DataFrame, events: DataFrame, horizon: int = 5, beta: float = 1.0, use_benchmark: bool = True, bucket_days: int | None = 366) -> DataFrame:
     """``events`` (ticker, as_of) with fwd and ar at the last bar up to as_of; both features are computed once a bar."""
-    frame = with_features(with_returns(bars, use_benchmark=use_benchmark, beta=beta), fwd=forward_return(horizon), car=cum_abnormal_return(horizon))
+    frame = featured(bars, use_benchmark, beta, horizon, 1, fwd=forward_return(horizon), car=cum_abnormal_return(horizon))
     return asof_join(events, frame.select("ticker", "ts", "fwd", F.col("car").alias("ar")), ["ticker"], "as_of", "ts", ["fwd", "ar"], bucket_days)
 
 

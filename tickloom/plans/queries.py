@@ -13,7 +13,7 @@ from tickloom.operators import documents as docs_ops
 from tickloom.operators import evidence, graph, inventory, ledger, linker, proposals, routing, steps, vectors
 from tickloom.operators.asof import asof_join
 from tickloom.operators.events import events_from_tags, triggered
-from tickloom.operators.returns import benchmark_of, compute, with_features, with_returns
+from tickloom.operators.returns import benchmark_of, compute, featured
 from tickloom.plans import tables as t
 from tickloom.plans.backtest import evaluate
 from tickloom.plans.sweep import best_by_ticker, chunk_of, recent_per_key, scored_events, top
@@ -82,8 +82,7 @@ def backtest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluated(spark: SparkSession, sf_dir: str, direction: str = "long") -> DataFrame:
     """Orders as events with fwd, ar and a point-in-time score. One frame of features serves all three."""
-    frame = with_returns(_market(spark, sf_dir))
-    frame = with_features(frame, fwd=prices.forward_return(), ar_5=prices.cum_abnormal_return(), score=prices.realized_vol())
+    frame = featured(_market(spark, sf_dir), fwd=prices.forward_return(), ar_5=prices.cum_abnormal_return(), score=prices.realized_vol())
     values = frame.select("ticker", "ts", "fwd", F.col("ar_5").alias("ar"), "score")
     return asof_join(t.order_events(spark, sf_dir), values, ["ticker"], "as_of", "ts", ["fwd", "ar", "score"])
 
@@ -139,7 +138,7 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str, use_benchmark: bool = True, **features) -> DataFrame:
-    frame = with_features(with_returns(t.market_bars(spark, sf_dir), use_benchmark=use_benchmark, beta=1.0), **features)
+    frame = featured(_market(spark, sf_dir), use_benchmark, **features)
     return frame.where("bench IS NOT NULL").select("ticker", _day("ts").alias("day"), *[F.round(c, 6).alias(c) for c in ("ret", "ar", *features)])
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions import prices
 from tickloom.operators import aliases
+from tickloom.operators.returns import featured
 from tickloom.plans import tables as t
+from tickloom.plans.oracle import BARS, MARKET
+from tickloom.shared import cut
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +32,27 @@ def link_market(spark: SparkSession, sf_dir: str, letters: int = aliases.LETTERS
     return out.select("doc_id", F.size("tickers").cast("long").alias("n"), F.md5(F.concat_ws(",", "tickers").cast("binary")).alias("tickers_md5"))
 
 
+def price_features_hot(spark: SparkSession, sf_dir: str, rows: int = 1000) -> DataFrame:
+    """All bars as those of one ticker, one second a brand apart, with a benchmark as long: features over buckets of 1,000 bars."""
+    bars = t.bars(spark, sf_dir).select((F.col("ts") + F.expr("make_dt_interval(0, 0, 0, int(regexp_extract(ticker, '([0-9]+)$', 1)))")).alias("ts"), "open", "close")
+    side = lambda name, price, bench: bars.select(F.lit(name).alias("ticker"), "ts", F.col(price).alias("close"), F.lit(bench).cast("string").alias("bench"))
+    both = cut(side("ONE", "close", "MARKET").unionAll(side("MARKET", "open", None)))
+    made = featured(both, rows=rows, fwd=prices.forward_return(), car=prices.cum_abnormal_return(), ar_vol=prices.trailing_ar_vol(), vol=prices.realized_vol(), z=prices.car_zscore())
+    return made.select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), *[F.round(c, 6).alias(c) for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z")])
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
  names AS (SELECT DISTINCT ord, ticker, lower(name) AS name FROM (SELECT ord, ticker, unnest([a || ' ' || b, CASE WHEN length(a) >= 8 THEN a END, ticker]) AS name FROM at_) WHERE name IS NOT NULL)"""
 
+# the features of oracle.MARKET over other bars
+_FEATURES = MARKET[MARKET.index("rets AS") :]
+
 SQL = {
+    "price_features_hot": f"""WITH {BARS}, one AS (SELECT ts + to_seconds(regexp_extract(ticker, '([0-9]+)$', 1)::INT) AS ts, open, close FROM bars),
+ mbars AS (SELECT 'ONE' AS ticker, ts, close, 'MARKET' AS bench FROM one UNION ALL SELECT 'MARKET', ts, open, NULL FROM one), {_FEATURES}
+ SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {", ".join(f"round({c}, 6) AS {c}" for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z"))} FROM feats""",
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
  spans AS (SELECT doc_id, unnest(k) AS name FROM k UNION SELECT doc_id, unnest(list_transform(range(1, len(k) - 1), lambda i: k[i] || k[i + 1] || k[i + 2])) FROM k),
  hit AS (SELECT DISTINCT doc_id, ord, ticker FROM spans JOIN names USING (name) WHERE NOT (doc_id % 10 = 0 AND ticker = 'D3_1')),
@@ -41,7 +60,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market".split()
+NAMES = "link_market price_features_hot".split()
 
 
 def queries() -> dict:

@@ -11,7 +11,7 @@ from tickloom.functions.prices import car_zscore
 from tickloom.functions.text import after_prefix
 from tickloom.operators.asof import asof_join
 from tickloom.operators.events import ASOF, TICKER
-from tickloom.operators.returns import with_features, with_returns
+from tickloom.operators.returns import featured
 
 #: Weights of the move and of recency in a score.
 W_MOVE, W_RECENCY = 1.0, 0.5
@@ -19,7 +19,7 @@ W_MOVE, W_RECENCY = 1.0, 0.5
 
 def scored_events(bars: DataFrame, events: DataFrame, today, horizon: int = 5, vol_window: int = 60) -> DataFrame:
     """``events`` (ticker, as_of text) with z and score; an event without z counts by its recency alone."""
-    frame = with_features(with_returns(bars), z=car_zscore(horizon, vol_window)).select("ticker", "ts", "z")
+    frame = featured(bars, horizon=horizon, window=vol_window, z=car_zscore(horizon, vol_window)).select("ticker", "ts", "z")
     timed = events.withColumn("__at", F.col("as_of").try_cast("timestamp_ntz"))
     z = asof_join(timed, frame, ["ticker"], "__at", "ts", ["z"]).drop("__at")
     return z.withColumn("score", F.lit(W_MOVE) * F.coalesce(F.abs("z"), F.lit(0.0)) + F.lit(W_RECENCY) * recency(F.col("as_of"), F.lit(today)))
