@@ -1,6 +1,7 @@
-"""Golden values of the event statistics, and the guard against looking ahead."""
+"""Event statistics against their definitions, and the guard against looking ahead."""
 
 import math
+import random
 import statistics
 
 import pytest
@@ -10,49 +11,69 @@ from tickloom.operators.ranks import ordinal_ranks
 from tickloom.plans.backtest import backtest, guard
 
 
-def rows(spark, fwd, score=None):
-    made = [("A", f"2024-01-{n + 1:02d}", f, None if score is None else score[n]) for n, f in enumerate(fwd)]
-    return spark.createDataFrame(made, "ticker string, as_of string, fwd double, score double")
+EVENTS = "ticker string, as_of string, fwd double, score double"
 
 
-def test_hit_rate_and_mean(spark):
-    r = evidence.event_stats(rows(spark, [0.02, -0.01, 0.03, 0.00, -0.02])).first()
-    assert (r["n"], r["hit_rate"], r["avg_fwd"]) == (5, 0.4, pytest.approx(0.004))
+def plain(fwd, sign=1):
+    """The statistics of outcomes, from their definitions."""
+    r = [sign * x for x in fwd if x is not None]
+    n = len(r)
+    sd = statistics.stdev(r) if n > 1 else 0
+    return n, n and round(sum(x > 0 for x in r) / n, 4), n and statistics.fmean(r), n and statistics.median(r), round(statistics.fmean(r) / sd * math.sqrt(n), 3) if sd > 0 else None
 
 
-def test_short(spark):
-    r = evidence.event_stats(rows(spark, [0.02, -0.01, 0.03]), "short").first()
-    assert r["hit_rate"] == pytest.approx(0.3333) and r["avg_fwd"] == pytest.approx(-0.013333)
+def outcomes(seed, n):
+    """Events of three tickers; some without outcome, some flat, some alike."""
+    draw = random.Random(seed)
+    return [(draw.choice("PQR"), f"20{draw.randrange(10, 20)}-03-{draw.randrange(1, 29):02d}", draw.choice([None, 0.0, 0.07, -0.2, draw.gauss(0.01, 0.1)]), draw.choice([None, draw.random()])) for _ in range(n)]
 
 
-def test_equity(spark):
-    curve = evidence.equity_curve(rows(spark, [0.10, -0.05])).orderBy("as_of").collect()
-    assert [round(r["equity"], 6) for r in curve] == [1.1, 1.045]
+@pytest.mark.parametrize("small", [10**6, 10])
+@pytest.mark.parametrize("direction", ["long", "short", "sideways"])
+def test_statistics_by_ticker_and_over_all(spark, direction, small):
+    made = outcomes(11, 400)
+    df, sign = spark.createDataFrame(made, EVENTS), -1 if direction == "short" else 1
+    names = ("n", "hit_rate", "avg_fwd", "median_fwd", "t_stat")
+    got = {r["ticker"]: tuple(r[c] for c in names) for r in evidence.event_stats(df, direction, ["ticker"], small).collect()}
+    got["*"] = tuple(evidence.event_stats(df, direction, small=small).first()[c] for c in names)
+    for ticker in "PQR*":
+        assert got[ticker] == pytest.approx(plain([f for t, _, f, _ in made if ticker in (t, "*")], sign), abs=1e-6)
 
 
-def test_t_stat(spark):
-    fwd = [0.02, 0.01, 0.03, 0.015, 0.025]
-    assert evidence.event_stats(rows(spark, fwd)).first()["t_stat"] == pytest.approx(round(statistics.mean(fwd) / (statistics.stdev(fwd) / math.sqrt(5)), 3))
+def test_a_few_outcomes_by_hand(spark):
+    """A win of 1/4, a loss of 1/5 and a flat one: money is back where it was, a third of them hit."""
+    df = spark.createDataFrame([("P", "2011-05-03", 0.25, None), ("P", "2011-05-02", 0.0, None), ("Q", "2011-05-04", -0.2, None), ("Q", "2011-05-01", None, None)], EVENTS)
+    r = evidence.stats_record(df, curve_rows=3).first()
+    assert (r["n"], r["hit_rate"], r["avg_fwd"], r["median_fwd"], r["ic"]) == (3, 0.3333, 0.016667, 0.0, None)
+    assert r["equity_curve"] == [1.0, 1.25, 1.0]
+    assert [(x["as_of"], x["ticker"]) for x in evidence.skipped(df).collect()] == [("2011-05-01", "Q")]
+    with pytest.raises(ValueError, match="3 rows"):
+        evidence.stats_record(df, curve_rows=2)
+    assert "equity_curve" not in evidence.stats_record(df).columns
 
 
-def test_ic(spark):
-    assert evidence.information_coefficient(rows(spark, [0.01, 0.02, 0.03, 0.04], [1.0, 2.0, 3.0, 4.0])).first()["ic"] == 1.0
-    assert evidence.information_coefficient(rows(spark, [0.01, 0.02, 0.03])).first()["ic"] is None
-    assert evidence.information_coefficient(rows(spark, [0.01, 0.02], [1.0, 2.0])).first()["ic"] is None
+def test_no_events_one_event_and_equal_ones(spark):
+    none = spark.createDataFrame([], EVENTS)
+    assert tuple(evidence.stats_record(none, curve_rows=0).first()) == (0, None, None, None, None, None, [])
+    one = evidence.event_stats(spark.createDataFrame([("P", "2011-05-03", 0.3, 1.0)], EVENTS)).first()
+    assert (one["n"], one["median_fwd"], one["t_stat"]) == (1, 0.3, None)
+    alike = evidence.event_stats(spark.createDataFrame([("P", f"2011-05-0{k}", 0.3, 1.0) for k in range(1, 6)], EVENTS)).first()
+    assert alike["t_stat"] is None and alike["hit_rate"] == 1.0
 
 
-def test_empty_and_null_outcomes(spark):
-    r = evidence.stats_record(rows(spark, [])).first()
-    assert (r["n"], r["hit_rate"], r["t_stat"], r["ic"], r["equity_curve"]) == (0, None, None, None, [])
-    r = evidence.stats_record(rows(spark, [0.02, None, 0.03])).first()
-    assert r["n"] == 2 and r["equity_curve"] == [1.02, 1.0506]
-    assert evidence.skipped(rows(spark, [0.02, None])).count() == 1
-    assert evidence.event_stats(rows(spark, [0.02])).first()["t_stat"] is None
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rank_correlation(spark, seed):
+    """Pairs of score and outcome, ranked by value, then date and ticker."""
+    made = list({r[:2]: r for r in outcomes(seed, 150)}.values())
+    pairs = [r for r in made if r[2] is not None and r[3] is not None]
+    place = lambda k: {r: n for n, r in enumerate(sorted(pairs, key=lambda r: (r[k], r[1], r[0])))}
+    f, s = place(2), place(3)
+    got = evidence.information_coefficient(spark.createDataFrame(made, EVENTS)).first()
+    assert got["n_pairs"] == len(pairs) and got["ic"] == pytest.approx(statistics.correlation([f[r] for r in pairs], [s[r] for r in pairs]), abs=1e-4)
+    assert evidence.information_coefficient(spark.createDataFrame(pairs[:2], EVENTS)).first()["ic"] is None
 
 
 def test_ordinal_rank_over_ranges(spark):
-    import random
-
     rng = random.Random(1)
     values = [(n, rng.choice([0.5, rng.random()])) for n in range(500)]
     got = ordinal_ranks(spark.createDataFrame(values, "k int, v double"), {"place": "v", "same": "k"}, ["k"], ranges=8).collect()

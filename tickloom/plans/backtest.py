@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.prices import FEATURES, cum_abnormal_return, forward_return
 from tickloom.operators.asof import asof_join
-from tickloom.operators.evidence import stats_record
+from tickloom.operators.evidence import equity_curve, stats_record
 from tickloom.operators.events import events_from_tags, triggered
 from tickloom.operators.returns import compute, featured
+from tickloom.shared import cut
 
 
 @dataclass(frozen=True)
 class Backtest:
-    """The lazy results of a backtest, and the versions of the features in it."""
+    """The results of a backtest, the curve as a table, and the versions of the features in it."""
 
     rows: DataFrame
     stats: DataFrame
+    curve: DataFrame
     feature_versions: dict[str, str]
 
 
@@ -40,10 +42,11 @@ def evaluate(bars: DataFrame, events: DataFrame, horizon: int = 5, beta: float =
     return asof_join(events, frame.select("ticker", "ts", "fwd", F.col("car").alias("ar")), ["ticker"], "as_of", "ts", ["fwd", "ar"], bucket_days)
 
 
-def backtest(bars: DataFrame, events: DataFrame | None = None, trigger: Mapping | None = None, tags: DataFrame | None = None, vertices: DataFrame | None = None, direction: str = "long", horizon: int = 5, score_feature: str | None = None, score_params: Mapping | None = None, beta: float = 1.0, use_benchmark: bool = True) -> Backtest:
+def backtest(bars: DataFrame, events: DataFrame | None = None, trigger: Mapping | None = None, tags: DataFrame | None = None, vertices: DataFrame | None = None, direction: str = "long", horizon: int = 5, score_feature: str | None = None, score_params: Mapping | None = None, beta: float = 1.0, use_benchmark: bool = True, curve_rows: int | None = None) -> Backtest:
     """Rows and statistics of explicit ``events``, or of those that ``trigger`` picks from ``tags``.
 
-    ``bars`` have ticker, ts, close and bench. ``beta`` reaches the abnormal return only, not the score.
+    ``bars`` have ticker, ts, close and bench. ``beta`` reaches the abnormal return only, not the score. With ``curve_rows``
+    the statistics hold the curve too, as an array of at most so many rows.
     """
     guard(score_feature)
     if events is None:
@@ -55,4 +58,5 @@ def backtest(bars: DataFrame, events: DataFrame | None = None, trigger: Mapping
     if score_feature:
         rows = compute(score_feature, bars, rows, score_params, use_benchmark).withColumnRenamed("value", "score").drop("name", "version")
         versions[score_feature] = FEATURES[score_feature].version
-    return Backtest(rows, stats_record(rows, direction), versions)
+    rows = cut(rows)
+    return Backtest(rows, stats_record(rows, direction, curve_rows), equity_curve(rows, direction), versions)

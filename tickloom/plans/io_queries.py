@@ -102,7 +102,7 @@ def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backtest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship plan with a trigger and a score feature: statistics, curve and versions in one row."""
     nodes = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string")).alias("name"), F.lit(None).cast("string").alias("text"))
-    run = backtest(_market(spark, sf_dir), trigger=TRIGGER, tags=t.order_tags(spark, sf_dir), vertices=nodes, score_feature="realized_vol")
+    run = backtest(_market(spark, sf_dir), trigger=TRIGGER, tags=t.order_tags(spark, sf_dir), vertices=nodes, score_feature="realized_vol", curve_rows=1_000_000)
     versions = ",".join(f"{k}={v}" for k, v in sorted(run.feature_versions.items()))
     return run.stats.select("n", "hit_rate", "avg_fwd", "median_fwd", "t_stat", "ic", F.size("equity_curve").cast("long").alias("n_curve"), F.get("equity_curve", F.lit(0)).alias("first_equity"), F.lit(versions).alias("versions"))
 

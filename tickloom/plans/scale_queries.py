@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import prices
-from tickloom.operators import aliases
+from tickloom.operators import aliases, selection
 from tickloom.operators.returns import featured
 from tickloom.plans import tables as t
-from tickloom.plans.oracle import BARS, MARKET
+from tickloom.plans.oracle import BARS, MARKET, TRADES
 from tickloom.shared import cut
 
 
@@ -41,6 +41,13 @@ def price_features_hot(spark: SparkSession, sf_dir: str, rows: int = 1000) -> Da
     return made.select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), *[F.round(c, 6).alias(c) for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z")])
 
 
+def trade_quantiles(spark: SparkSession, sf_dir: str, small: int = 1000) -> DataFrame:
+    """Quartiles of all trade prices, by brand and over all, selected by counts where there are more than 1,000."""
+    prices_ = t.trades(spark, sf_dir).select("ticker", "px")
+    both = cut(prices_.unionAll(prices_.select(F.lit("all"), F.round("px", -2))))  # in all, many ties
+    return selection.quantiles(both, "px", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["ticker"], small).select("ticker", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")])
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
@@ -50,6 +57,7 @@ _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FR
 _FEATURES = MARKET[MARKET.index("rets AS") :]
 
 SQL = {
+    "trade_quantiles": f"WITH {TRADES}, both_ AS (SELECT ticker, px FROM trades UNION ALL SELECT 'all', round(px, -2) FROM trades) SELECT ticker, round(quantile_cont(px, 0.25), 6) AS q1, round(median(px), 6) AS median, round(quantile_cont(px, 0.75), 6) AS q3 FROM both_ GROUP BY ticker",
     "price_features_hot": f"""WITH {BARS}, one AS (SELECT ts + to_seconds(regexp_extract(ticker, '([0-9]+)$', 1)::INT) AS ts, open, close FROM bars),
  mbars AS (SELECT 'ONE' AS ticker, ts, close, 'MARKET' AS bench FROM one UNION ALL SELECT 'MARKET', ts, open, NULL FROM one), {_FEATURES}
  SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {", ".join(f"round({c}, 6) AS {c}" for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z"))} FROM feats""",
@@ -60,7 +68,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot".split()
+NAMES = "link_market price_features_hot trade_quantiles".split()
 
 
 def queries() -> dict:
