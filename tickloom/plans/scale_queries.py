@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tickloom.functions import prices
 from tickloom.operators import aliases, selection
 from tickloom.operators.returns import featured
+from tickloom.operators.vector_index import VectorIndex
 from tickloom.plans import tables as t
+from tickloom.plans.io_queries import SQL as IO_SQL
 from tickloom.plans.oracle import BARS, MARKET, TRADES
-from tickloom.shared import cut
+from tickloom.shared import cut, new_path
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +50,21 @@ def trade_quantiles(spark: SparkSession, sf_dir: str, small: int = 1000) -> Data
     return selection.quantiles(both, "px", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["ticker"], small).select("ticker", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")])
 
 
+def recall_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id is divisible by 20, from an index built on two thirds and then extended."""
+    e = t.table(spark, sf_dir, "embeddings")
+    path = new_path(spark, "vectors")
+    VectorIndex.build(e.where("vec_id % 3 <> 0"), path).extend(e.where("vec_id % 3 = 0"))
+    queries_ = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return VectorIndex.open(spark, path).search(queries_, 10).withColumn("score", F.round("score", 6))
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
  names AS (SELECT DISTINCT ord, ticker, lower(name) AS name FROM (SELECT ord, ticker, unnest([a || ' ' || b, CASE WHEN length(a) >= 8 THEN a END, ticker]) AS name FROM at_) WHERE name IS NOT NULL)"""
 
+RECALL = IO_SQL["recall_queries"]
 # the features of oracle.MARKET over other bars
 _FEATURES = MARKET[MARKET.index("rets AS") :]
 
@@ -61,6 +73,7 @@ SQL = {
     "price_features_hot": f"""WITH {BARS}, one AS (SELECT ts + to_seconds(regexp_extract(ticker, '([0-9]+)$', 1)::INT) AS ts, open, close FROM bars),
  mbars AS (SELECT 'ONE' AS ticker, ts, close, 'MARKET' AS bench FROM one UNION ALL SELECT 'MARKET', ts, open, NULL FROM one), {_FEATURES}
  SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {", ".join(f"round({c}, 6) AS {c}" for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z"))} FROM feats""",
+    "recall_indexed": RECALL,
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
  spans AS (SELECT doc_id, unnest(k) AS name FROM k UNION SELECT doc_id, unnest(list_transform(range(1, len(k) - 1), lambda i: k[i] || k[i + 1] || k[i + 2])) FROM k),
  hit AS (SELECT DISTINCT doc_id, ord, ticker FROM spans JOIN names USING (name) WHERE NOT (doc_id % 10 = 0 AND ticker = 'D3_1')),
@@ -68,7 +81,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot trade_quantiles".split()
+NAMES = "link_market price_features_hot trade_quantiles recall_indexed".split()
 
 
 def queries() -> dict:
