@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import is_drop, label_from_value, match_label
+from tickloom.operators.model_calls import TextService, asked
 from tickloom.operators.returns import compute
+from tickloom.shared import cut
 
 #: A step's model: given the documents in scope (with text) and the step, the column ``output`` of texts, and ``error``.
 Model = Callable[[Column, Mapping], tuple[Column, Column | None]]
@@ -64,12 +66,21 @@ def _advance(docs: DataFrame, step: Mapping, mode: str, ran: Column, dropped: Co
     return docs.withColumns(new)
 
 
-def text_step(docs: DataFrame, step: Mapping, model: Model) -> DataFrame:
-    """A step of a text model. Without a prompt or with a blank text it does nothing; an error keeps the document as it is."""
+def text_step(docs: DataFrame, step: Mapping, model: Model | TextService) -> DataFrame:
+    """A step of a text model. Without a prompt or with a blank text it does nothing; an error keeps the document as it is.
+
+    A model is a function of Columns, which stays in the plan, or a service, before which the documents are written.
+    """
     mode = output_mode(step)
     ran = ~F.col("dropped") & applies(step, F.col("cur_type"))
     active = ran & F.lit(bool(str(step.get("prompt") or "").strip())) & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    output, error = model(F.col("text"), step)
+    if isinstance(model, TextService):
+        docs = asked(cut(docs), active, step, model)
+        return _after_text(docs, step, mode, ran, active, F.col("__output"), F.col("__error")).drop("__output", "__error")
+    return _after_text(docs, step, mode, ran, active, *model(F.col("text"), step))
+
+
+def _after_text(docs: DataFrame, step: Mapping, mode: str, ran: Column, active: Column, output: Column, error: Column | None) -> DataFrame:
     error = F.when(active, error) if error is not None else F.lit(None).cast("string")
     none = F.lit(None).cast("string")
     if mode == "signal":
@@ -101,7 +112,7 @@ def feature_step(docs: DataFrame, step: Mapping, bars: DataFrame, doc_id: str =
     return _advance(joined, step, "signal", ran, F.lit(False), F.col("text"), value, F.lit(None).cast("string")).drop("__id", "__v")
 
 
-def run_steps(docs: DataFrame, steps: Sequence[Mapping], model: Model, doc_type: Column | None = None, bars: DataFrame | None = None, doc_id: str = "doc_id", use_benchmark: bool = True) -> DataFrame:
+def run_steps(docs: DataFrame, steps: Sequence[Mapping], model: Model | TextService, doc_type: Column | None = None, bars: DataFrame | None = None, doc_id: str = "doc_id", use_benchmark: bool = True) -> DataFrame:
     """``docs`` after all steps, with text (null if dropped), cur_type, meta, dropped and trace.
 
     A step out of scope leaves no trace; one that fails leaves the document as it was; after a drop none runs; a step

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import prices
-from tickloom.operators import aliases, selection
+from tickloom.operators import aliases, selection, steps
+from tickloom.operators.model_calls import TextService
 from tickloom.operators.returns import featured
 from tickloom.operators.vector_index import VectorIndex
 from tickloom.plans import tables as t
 from tickloom.plans.io_queries import SQL as IO_SQL
 from tickloom.plans.oracle import BARS, MARKET, TRADES
+from tickloom.plans.oracle import SQL as CORE_SQL
+from tickloom.plans.queries import STEPS, toy_model
 from tickloom.shared import cut, new_path
+from tickloom.streaming.documents import Intake
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,46 @@ def recall_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VectorIndex.open(spark, path).search(queries_, 10).withColumn("score", F.round("score", 6))
 
 
+class ToyClient:
+    """queries.toy_model as a service that answers batches, and fails a whole batch for one bad text."""
+
+    def ask(self, texts, step):
+        rules = {
+            "size": lambda x: "It is SHORT." if len(x) < 500 else "quite long" if len(x) < 4000 else None,
+            "type": lambda x: "note" if len(x) < 800 else "essay",
+            "gate": lambda x: "DROP." if len(x) < 60 else f"> {x}",
+            "lower": str.lower,
+        }
+        if step["prompt"] == "gate" and any(len(x) % 10 == 3 for x in texts):
+            raise ConnectionError("unavailable")
+        return [rules[step["prompt"]](x) for x in texts]
+
+
+def _folded(out: DataFrame) -> DataFrame:
+    """What pipeline_fold shows of a fold."""
+    return out.select("doc_id", "dropped", F.col("cur_type").alias("doc_type"), F.try_element_at("meta", F.lit("size")).alias("size_label"), F.size("trace").alias("n_steps"), F.exists("trace", lambda e: e["error"].isNotNull()).alias("failed"), F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def service_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of pipeline_fold with a service that is asked in batches, and fails at times."""
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    service = TextService(ToyClient, new_path(spark, "answers"), retries=0)
+    return _folded(steps.run_steps(docs, STEPS, service, F.col("source")))
+
+
+def incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold over documents that arrive in two files, some of them twice, and a replay of everything: as in one run."""
+    incoming, results = new_path(spark, "incoming"), new_path(spark, "intake")
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    intake = Intake(spark, results, STEPS, toy_model)
+    checkpoint = new_path(spark, "intake-stream")
+    for part in (docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 < 2")):
+        part.coalesce(1).write.mode("append").parquet(incoming)
+        intake.follow(incoming, "doc_id long, text string, source string", checkpoint).awaitTermination()
+    intake.process(docs, 1)
+    return _folded(intake.results())
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
@@ -74,6 +118,8 @@ SQL = {
  mbars AS (SELECT 'ONE' AS ticker, ts, close, 'MARKET' AS bench FROM one UNION ALL SELECT 'MARKET', ts, open, NULL FROM one), {_FEATURES}
  SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {", ".join(f"round({c}, 6) AS {c}" for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z"))} FROM feats""",
     "recall_indexed": RECALL,
+    "service_fold": CORE_SQL["pipeline_fold"],
+    "incremental_fold": CORE_SQL["pipeline_fold"],
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
  spans AS (SELECT doc_id, unnest(k) AS name FROM k UNION SELECT doc_id, unnest(list_transform(range(1, len(k) - 1), lambda i: k[i] || k[i + 1] || k[i + 2])) FROM k),
  hit AS (SELECT DISTINCT doc_id, ord, ticker FROM spans JOIN names USING (name) WHERE NOT (doc_id % 10 = 0 AND ticker = 'D3_1')),
@@ -81,7 +127,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot trade_quantiles recall_indexed".split()
+NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold".split()
 
 
 def queries() -> dict:
