@@ -163,6 +163,37 @@ def test_vectors(spark):
     assert [tuple(r)[:2] for r in each.collect()] == [(9, 2)]
 
 
+def test_files_of_any_size_and_kind(spark, tmp_path):
+    """More than 2 GB, folders in folders, line ends at the border of a chunk, hidden and empty files; what is as old isn't read again."""
+    import hashlib
+
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((2 << 30) + 17)
+    deep = tmp_path / "a" / "b=c d" / "e"
+    deep.mkdir(parents=True)
+    ends = b"x" * (inventory.CHUNK - 1) + b"\r\n" + b"y\rz\n\nlast"
+    (deep / "ends.jsonl").write_bytes(ends)
+    (deep / "none.jsonl").write_bytes(b"")
+    (deep / ".hidden").write_bytes(b"x")
+    (tmp_path / "_made").write_bytes(b"made")
+    (tmp_path / "empty").mkdir()
+    before = inventory.snapshot(spark, str(tmp_path)).persist()
+    got = {r["path"]: (r["size"], r["sha256"], r["rows"]) for r in before.collect()}
+    zeros = hashlib.sha256()
+    for _ in range(2048):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(17))
+    assert got == {
+        "_made": (4, hashlib.sha256(b"made").hexdigest(), None),
+        "a/b=c d/e/ends.jsonl": (len(ends), hashlib.sha256(ends).hexdigest(), 5),
+        "a/b=c d/e/none.jsonl": (0, "", 0),
+        "large.bin": ((2 << 30) + 17, zeros.hexdigest(), None),
+    }
+    told = before.withColumn("sha256", F.concat("sha256", F.lit("!")))
+    again = {r["path"]: r["sha256"] for r in inventory.snapshot(spark, str(tmp_path), told).collect()}
+    assert all(again[p].endswith("!") for p in ("_made", "large.bin"))
+
+
 def test_inventory(spark, tmp_path):
     (tmp_path / "data.jsonl").write_text('{"a": 1}\n' * 10)
     (tmp_path / "data.parquet").write_bytes(b"x" * 2000)

@@ -2,40 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.shared import cut
+
 #: Percent by which a file's rows may change unremarked.
 DRIFT_PERCENT = 1.0
+#: Bytes that a worker holds of a file.
+CHUNK = 1 << 20
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of ``path`` and its root there; Spark writes local paths with one slash."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, mtime) of every file under ``path``, relative to it; files whose name begins with a dot are left out.
+
+    Folders are listed by tasks, one level after the other; only the number of folders found comes back.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, root = _opened(path)
+        for frame in frames:
+            for folder in frame["path"]:
+                found = at.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/{folder}"))
+                rows = [(f"{folder}/{e.base_name}".lstrip("/"), e.type == fs.FileType.Directory, e.size or 0, (e.mtime_ns or 0) // 1000) for e in found]
+                yield pd.DataFrame(rows, columns=["path", "folder", "size", "micros"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = cut(level.repartition(tasks, "path").mapInPandas(entries, "path string, folder boolean, size long, micros long"))
+        here = found.where("NOT folder")
+        files = here if files is None else files.unionAll(here)
+        level = found.where("folder").select("path")
+        if level.isEmpty():
+            break
+    kept = files.where(~F.substring_index("path", "/", -1).startswith("."))
+    return kept.select("path", "size", F.timestamp_micros("micros").alias("mtime"))
+
+
+def read_files(files: DataFrame, path: str) -> DataFrame:
+    """(path, sha256, rows) of ``files`` (path): a file is streamed through its hash, a chunk at a time, so its size doesn't matter.
+
+    rows are lines, as they end by line feed, carriage return or both; of ``*.jsonl`` only, else null.
+    """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, root = _opened(path)
+        for frame in frames:
+            for name in frame["path"]:
+                digest, lines, last = hashlib.sha256(), 0, b""
+                with at.open_input_stream(f"{root.rstrip('/')}/{name}") as stream:
+                    while chunk := stream.read(CHUNK):
+                        digest.update(chunk)
+                        if name.endswith(".jsonl"):
+                            lines += chunk.count(b"\n") + chunk.count(b"\r") - chunk.count(b"\r\n") - (last == b"\r" and chunk[:1] == b"\n")
+                            last = chunk[-1:]
+                lines += last not in (b"", b"\n", b"\r")
+                yield pd.DataFrame({"path": [name], "sha256": [digest.hexdigest()], "rows": pd.Series([lines if name.endswith(".jsonl") else None], dtype="Int64")})
 
-def line_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rows) of every non-empty ``*.jsonl`` file under ``path``. Files are split, so a large one is read in parts."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+    return files.select("path").repartition(tasks, "path").mapInPandas(read, "path string, sha256 string, rows long")
 
 
 def snapshot(spark: SparkSession, path: str, previous: DataFrame | None = None) -> DataFrame:
     """(path, size, mtime, sha256, rows) of every file under ``path``, by path; paths are relative to it, hidden files left out.
 
-    An empty file's hash is ``""`` and its mtime null; rows are counted for ``*.jsonl`` only. A file as old as in ``previous`` keeps its
-    hash: content is read only for the others (the file listing is read without the content column).
+    An empty file's hash is ``""``; rows are counted for ``*.jsonl`` only. A file as old as in ``previous`` isn't read: it keeps
+    its hash and rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    relative = lambda c: F.regexp_replace(F.substring_index(c, path.rstrip("/") + "/", -1), "^/+", "")
-    read = files.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    # a scan passes over empty files; the file index, which Spark keeps on the driver anyway, has them too
-    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(relative(F.col("path")).alias("path"))
-    listed = names.join(read, "path", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
-    hashed = files.where("length > 0").select(relative(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    listed = list_files(spark, path)
+    wanted = listed.where("size > 0")
     if previous is not None:
-        same = previous.select("path", "mtime", F.col("sha256"))
-        known = listed.join(same, ["path", "mtime"]).select("path", "sha256")
-        hashed = hashed.join(known.select("path"), "path", "left_anti").select("path", "sha256").unionByName(known)
-    counted = line_counts(spark, path).withColumn("path", relative(F.col("path")))
-    out = listed.join(hashed.select("path", "sha256"), "path", "left").join(counted, "path", "left")
-    jsonl = F.col("path").endswith(".jsonl")
-    return out.select("path", "size", "mtime", F.coalesce("sha256", F.lit("")).alias("sha256"), F.when(jsonl, F.coalesce("rows", F.lit(0))).cast("long").alias("rows")).orderBy("path")
+        known = listed.join(previous.select("path", "mtime", "sha256", "rows"), ["path", "mtime"]).select("path", "sha256", "rows")
+        found = read_files(wanted.join(known, "path", "left_anti"), path).unionByName(known)
+    else:
+        found = read_files(wanted, path)
+    out = listed.join(cut(found), "path", "left")
+    rows = F.when(F.col("path").endswith(".jsonl"), F.coalesce("rows", F.lit(0).cast("long")))
+    return out.select("path", "size", "mtime", F.coalesce("sha256", F.lit("")).alias("sha256"), rows.alias("rows")).orderBy("path")
 
 
 def compare(current: DataFrame, previous: DataFrame, percent: float = DRIFT_PERCENT) -> DataFrame:
