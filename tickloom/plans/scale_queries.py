@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import prices
 from tickloom.operators import aliases, selection, steps
+from tickloom.operators.fuzzy import nearest_names
 from tickloom.operators.model_calls import TextService
 from tickloom.operators.returns import featured
 from tickloom.operators.vector_index import VectorIndex
 from tickloom.plans import tables as t
 from tickloom.plans.io_queries import SQL as IO_SQL
-from tickloom.plans.oracle import BARS, MARKET, TRADES
+from tickloom.plans.oracle import BARS, LOG, MARKET, TRADES
 from tickloom.plans.oracle import SQL as CORE_SQL
 from tickloom.plans.queries import STEPS, toy_model
 from tickloom.shared import cut, new_path
+from tickloom.sources import files
+from tickloom.streaming.budget import run_gate
 from tickloom.streaming.documents import Intake
 
 
@@ -103,6 +106,25 @@ def incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(intake.results())
 
 
+def nearest_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose names came in with errors, each with the nearest of all suppliers' and customers' names up to two edits away."""
+    key = F.col("c_custkey")
+    name = F.when(key % 4 == 0, F.regexp_replace("c_name", "^(.{7})..", "$1")).when(key % 4 == 1, F.concat(F.lit("x"), F.upper("c_name"))).when(key % 4 == 2, F.concat("c_name", F.lit("-old"))).otherwise(F.col("c_name"))
+    left = t.table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
+    right = t.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_name").alias("name")).unionAll(t.table(spark, sf_dir, "supplier").select("s_name"))
+    return nearest_names(left, right).select("c_custkey", "nearest", F.col("edits").cast("int").alias("edits"))
+
+
+def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token log as a stream of two arrivals through the live budget gate, whose refused calls spend nothing."""
+    path, out, checkpoint = (new_path(spark, x) for x in ("calls", "decisions", "gate"))
+    log = t.token_log(spark, sf_dir).select(F.col("event_id").alias("call_id"), "date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "input_tokens", "output_tokens")
+    for half in ("date < '2024-01-16'", "date >= '2024-01-16'"):
+        files.append_jsonl(log.where(half).drop("date"), path)
+        run_gate(spark, spark.readStream.schema("call_id long, ts string, input_tokens long, output_tokens long").json(path), out, checkpoint, 30_000, 50_000).awaitTermination()
+    return spark.read.parquet(out).select(F.col("call_id").alias("event_id"), "spent_before", "refused", "soft_warn")
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
@@ -118,6 +140,13 @@ SQL = {
  mbars AS (SELECT 'ONE' AS ticker, ts, close, 'MARKET' AS bench FROM one UNION ALL SELECT 'MARKET', ts, open, NULL FROM one), {_FEATURES}
  SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, {", ".join(f"round({c}, 6) AS {c}" for c in ("ret", "ar", "fwd", "car", "ar_vol", "vol", "z"))} FROM feats""",
     "recall_indexed": RECALL,
+    "nearest_customers": """WITH l AS (SELECT c_custkey, lower(CASE c_custkey % 4 WHEN 0 THEN regexp_replace(c_name, '^(.{7})..', '\\1') WHEN 1 THEN 'x' || upper(c_name) WHEN 2 THEN c_name || '-old' ELSE c_name END) AS name FROM customer),
+ r AS (SELECT lower(name) AS name, min(name) AS shown FROM (SELECT c_name AS name FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT s_name FROM supplier) GROUP BY ALL),
+ best AS (SELECT c_custkey, min((levenshtein(l.name, r.name), shown)) AS b FROM l, r WHERE levenshtein(l.name, r.name) <= 2 GROUP BY c_custkey)
+ SELECT l.c_custkey, b[2] AS nearest, b[1]::INT AS edits FROM l LEFT JOIN best ON l.c_custkey = best.c_custkey""",
+    "budget_stream": f"""WITH {LOG}, r AS (SELECT event_id, date, used, sum(used) OVER (PARTITION BY date ORDER BY ts, event_id)::BIGINT AS upto FROM log),
+ g AS (SELECT *, upto - used >= 50000 AS refused, min(upto) FILTER (upto >= 50000) OVER (PARTITION BY date) AS full_ FROM r)
+ SELECT event_id, CASE WHEN refused THEN full_ ELSE upto - used END::BIGINT AS spent_before, refused, CASE WHEN refused THEN full_ ELSE upto END >= 30000 AS soft_warn FROM g""",
     "service_fold": CORE_SQL["pipeline_fold"],
     "incremental_fold": CORE_SQL["pipeline_fold"],
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
@@ -127,7 +156,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold".split()
+NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream".split()
 
 
 def queries() -> dict:
