@@ -28,7 +28,6 @@ CELLS, GROWTH, PARAGRAPH_WORDS = 24, 3, 16
 #: Sketches of so many cells in all are held at once, but always those of one pair.
 CELLS_AT_ONCE, ROUNDS = 1 << 20, 1000
 _SEEDS = [np.uint64(int.from_bytes(hashlib.sha256(bytes([k])).digest()[:8], "big")) for k in range(5)]
-_CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -171,12 +170,12 @@ def edited(texts: Sequence[bytes], following: np.ndarray) -> tuple[np.ndarray, l
 
 
 def _strings(key: np.ndarray, first: np.ndarray) -> list[str]:
-    """The sketches of CELLS cells as text, base64 of one (count, digests, checksums) a cell."""
+    """The sketches of CELLS cells as text: base64 of all counts (4 bytes), all digests (8) and all checksums (4), little end first."""
     n = len(first) - 1
     where, whose = _of(first, np.arange(n))
-    cells = np.zeros(n * CELLS, _CELL)
-    cells["count"], cells["key"], cells["check"] = sketches(key[where], whose, n, CELLS)
-    return [base64.b64encode(row.tobytes()).decode() for row in cells.reshape(n, CELLS)] if n else []
+    fields = zip(sketches(key[where], whose, n, CELLS), ("<i4", "<u8", "<u4"), strict=True)
+    parts = np.concatenate([f.astype(kind).reshape(n, CELLS).view(np.uint8).reshape(n, -1) for f, kind in fields], axis=1)
+    return [base64.b64encode(row.tobytes()).decode() for row in parts]
 
 
 def _results(ids: list, texts: Sequence[bytes], following: np.ndarray) -> dict[str, list]:
@@ -285,7 +284,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     out = f"doc_id long, {_RESULT}"
     with_ends = f"kind int, task int, text string, {out}"
-    done = written(rows.mapInArrow(_in_order(_arrow(with_ends)), with_ends), "fingerprints")
+    done = written(rows.mapInArrow(_in_order(_arrow(with_ends)), with_ends), "fingerprints", "zstd")
     # one row a range: which range comes next, the first after the last
     heads = done.where("kind = 1").select("task", "text")
     tasks = heads.select("task").withColumn("after", F.coalesce(F.lead("task").over(Window.orderBy("task")), F.min("task").over(Window.partitionBy())))
