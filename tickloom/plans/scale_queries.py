@@ -18,6 +18,8 @@ from tickloom.plans.oracle import SQL as CORE_SQL
 from tickloom.plans.queries import STEPS, toy_model
 from tickloom.shared import cut, new_path
 from tickloom.sources import files
+from tickloom.sources.store import ingest, read_bars
+from tickloom.sources.web import follow_prices, price_source
 from tickloom.streaming.budget import run_gate
 from tickloom.streaming.documents import Intake
 
@@ -125,6 +127,34 @@ def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(F.col("call_id").alias("event_id"), "spent_before", "refused", "soft_warn")
 
 
+def web_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars from a stand-in price service: history through the adapter, then two runs that follow it, with restated bars from 1998 on."""
+    path, store, checkpoint = (new_path(spark, x) for x in ("service", "bars", "follow"))
+    bars = t.bars(spark, sf_dir).select("ticker", "ts", "open", "high", "low", "close", "volume", "adjusted")
+    doubled = F.when(F.col("ts") >= "1998-01-01", F.col("close") * 2).otherwise(F.col("close"))
+    for name, close in (("old", F.col("close")), ("new", doubled)):
+        bars.withColumn("close", close).repartition("ticker").write.partitionBy("ticker").parquet(f"{path}/{name}")
+    tickers = [r[0] for r in spark.read.parquet(f"{path}/old").select("ticker").distinct().orderBy("ticker").collect()]  # partition names
+
+    def fetch(edition):
+        from urllib.parse import quote
+
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def answer(ticker, start, end, freq):
+            at, root = fs.FileSystem.from_uri(path.replace("file:/", "/", 1) if path.startswith("file:/") else path)
+            return pq.read_table(f"{root}/{edition}/ticker={quote(ticker)}", filesystem=at, partitioning=None).to_pandas()
+
+        return answer
+
+    ingest(spark, {"kind": "web", "download": fetch("old")}, store, tickers, end="1998-12-31")
+    for now in ("1999-06-30", "2010-01-01"):
+        spark.dataSource.register(price_source(fetch("new"), lambda now=now: now, "tickloom_stand_in"))
+        follow_prices(spark, tickers, store, checkpoint, "1998-01-01", each=5, name="tickloom_stand_in").awaitTermination()
+    return read_bars(spark, store).select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.round("close", 6).alias("close"))
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
@@ -147,6 +177,7 @@ SQL = {
     "budget_stream": f"""WITH {LOG}, r AS (SELECT event_id, date, used, sum(used) OVER (PARTITION BY date ORDER BY ts, event_id)::BIGINT AS upto FROM log),
  g AS (SELECT *, upto - used >= 50000 AS refused, min(upto) FILTER (upto >= 50000) OVER (PARTITION BY date) AS full_ FROM r)
  SELECT event_id, CASE WHEN refused THEN full_ ELSE upto - used END::BIGINT AS spent_before, refused, CASE WHEN refused THEN full_ ELSE upto END >= 30000 AS soft_warn FROM g""",
+    "web_capture": IO_SQL["capture_stream"],
     "service_fold": CORE_SQL["pipeline_fold"],
     "incremental_fold": CORE_SQL["pipeline_fold"],
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
@@ -156,7 +187,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream".split()
+NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream web_capture".split()
 
 
 def queries() -> dict:
