@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import after_prefix
+from tickloom.operators.text_index import TextIndex, node_text
 
 TICKER, ASOF = "ticker:", "asof:"
 
@@ -22,20 +23,23 @@ def events_from_tags(tags: DataFrame) -> DataFrame:
     return nodes.select(F.explode("tickers").alias("ticker"), "dates").select("ticker", F.explode("dates").alias("as_of")).distinct()
 
 
-def matches(tags: DataFrame, vertices: DataFrame, words: list[str]) -> DataFrame:
+def matches(tags: DataFrame, vertices: DataFrame | TextIndex, words: list[str]) -> DataFrame:
     """Tickers (ticker) for which a tagged node's name or text contains any of ``words``, whatever the case.
 
-    Matching is by ticker, not by event. The texts of a ticker are searched where they are, never joined into one.
+    Matching is by ticker, not by event. The texts of a ticker are searched where they are, never joined into one; where
+    vertices are indexed, only texts that may hold a word are.
     """
-    text = F.lower(F.coalesce("name", "text", F.lit("")))
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word.lower())
-    hits = vertices.where(found).select(F.col("id").alias("node_id"))
+    if isinstance(vertices, TextIndex):
+        hits = vertices.search(vertices.spark.createDataFrame([(w,) for w in words], "word string")).select(F.col("id").alias("node_id")).distinct()
+    else:
+        found = F.lit(False)
+        for word in words:
+            found = found | node_text().contains(word.lower())
+        hits = vertices.where(found).select(F.col("id").alias("node_id"))
     return tags.where(F.col("tag").startswith(TICKER)).join(hits, "node_id", "left_semi").select(after_prefix(F.col("tag"), TICKER).alias("ticker")).distinct()
 
 
-def triggered(events: DataFrame, match: Mapping[str, list[str]], tags: DataFrame | None = None, vertices: DataFrame | None = None) -> DataFrame:
+def triggered(events: DataFrame, match: Mapping[str, list[str]], tags: DataFrame | None = None, vertices: DataFrame | TextIndex | None = None) -> DataFrame:
     """Events that pass a trigger: ``tickers``, and any of ``entityAny``, and any of ``keywordAny``; missing parts pass all."""
     if match.get("tickers"):
         events = events.where(F.col("ticker").isin(list(match["tickers"])))

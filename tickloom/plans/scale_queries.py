@@ -10,6 +10,7 @@ from tickloom.operators import aliases, selection, steps
 from tickloom.operators.fuzzy import nearest_names
 from tickloom.operators.model_calls import TextService
 from tickloom.operators.returns import featured
+from tickloom.operators.text_index import TextIndex
 from tickloom.operators.vector_index import VectorIndex
 from tickloom.plans import tables as t
 from tickloom.plans.io_queries import SQL as IO_SQL
@@ -155,6 +156,17 @@ def web_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bars(spark, store).select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.round("close", 6).alias("close"))
 
 
+def node_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders' names hold each of many words (300 at sf0.01), from an index of which a third was added wrongly and then replaced."""
+    orders = t.table(spark, sf_dir, "orders")
+    nodes = orders.select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string")).alias("name"), F.lit(None).cast("string").alias("text"))
+    index = TextIndex(spark, new_path(spark, "words"))
+    index.add(nodes.withColumn("name", F.when(F.col("id") % 3 == 0, F.lit("urgent f 5 and more")).otherwise(F.col("name"))))
+    index.add(nodes.where("id % 3 = 0"))
+    words = t.table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("URGENT F "), F.col("c_custkey").cast("string")).alias("word"))
+    return index.search(words.unionAll(spark.createDataFrame([("lo",), ("not there",)], "word string"))).groupBy("word").agg(F.count("*").alias("n"))
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
@@ -178,6 +190,8 @@ SQL = {
  g AS (SELECT *, upto - used >= 50000 AS refused, min(upto) FILTER (upto >= 50000) OVER (PARTITION BY date) AS full_ FROM r)
  SELECT event_id, CASE WHEN refused THEN full_ ELSE upto - used END::BIGINT AS spent_before, refused, CASE WHEN refused THEN full_ ELSE upto END >= 30000 AS soft_warn FROM g""",
     "web_capture": IO_SQL["capture_stream"],
+    "node_words": """WITH w AS (SELECT 'urgent f ' || c_custkey AS word FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT unnest(['lo', 'not there'])),
+ n AS (SELECT lower(concat_ws(' ', o_orderpriority, o_orderstatus, o_custkey)) AS text FROM orders) SELECT word, count(*) AS n FROM w JOIN n ON contains(text, word) GROUP BY word""",
     "service_fold": CORE_SQL["pipeline_fold"],
     "incremental_fold": CORE_SQL["pipeline_fold"],
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
@@ -187,7 +201,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream web_capture".split()
+NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream web_capture node_words".split()
 
 
 def queries() -> dict:
