@@ -92,8 +92,10 @@ class TokenRollup:
         new = changes.where("op IN ('insert', 'revise')").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), F.col("tokens").cast("long"))
         # a row without meaning keeps the partition there when the batch is empty
         none = self.spark.createDataFrame([(None, None, None, None, 0, 0)], "doc_id long, source string, lang string, version string, docs long, tokens long")
-        rows = back.unionByName(new).unionByName(none).withColumn("bucket", bucket)
-        rows = rows.repartition(F.col("bucket"), F.pmod(F.monotonically_increasing_id(), F.lit(WRITERS)))
+        # rows of an id add up, so that however many there are they become one; different ones are dealt by what they hold,
+        # so that a task that runs again deals them alike
+        rows = back.unionByName(new).unionByName(none).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("bucket", bucket)
+        rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id", *KEYS), F.lit(WRITERS)))
         self._write(rows, self.ledger_path, batch, "bucket")
         mine = self._read(self.ledger_path, _LEDGER).where(F.col("batch") == batch)
         self._write(mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), self.totals_path, batch)
