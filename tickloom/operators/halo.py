@@ -7,7 +7,7 @@ by one bucket: features are computed in all, and kept where the bar is owned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.ranks import running
@@ -32,16 +32,28 @@ def spread(bars: DataFrame, before: int, after: int, rows: int = ROWS) -> DataFr
         return bars
     names = F.broadcast(hot) if n <= NAMES else hot
     same = bars["ticker"] == names["__hot"]
-    placed = running(bars.join(names, same, "left_semi"), F.sum, F.lit(1).cast("long"), ["ts"], "__n", ["ticker"])
-    at = F.col("__n") - 1
-    bucket = lambda place: F.floor(place / F.lit(rows)).cast("long")
-    copies = placed.withColumn("__bucket", F.explode(F.sequence(F.greatest(bucket(at - after), F.lit(0).cast("long")), bucket(at + before))))
-    copies = copies.withColumn(_WHOLE, F.col("ticker")).withColumn(_OWN, F.col("__bucket") == bucket(at))
-    copies = copies.withColumn("ticker", F.concat("ticker", F.lit("\0"), F.col("__bucket").cast("string"))).drop("__n", "__bucket")
+    copies = in_buckets(numbered(bars.join(names, same, "left_semi")), before, after, rows).drop("__bucket")
     rest = bars.join(names, same, "left_anti").withColumn(_WHOLE, F.col("ticker")).withColumn(_OWN, F.lit(True))
     return rest.unionByName(copies)
 
 
+def numbered(bars: DataFrame) -> DataFrame:
+    """``bars`` with ``__n``, the place of each in its ticker, from 0."""
+    return running(bars, F.sum, F.lit(1).cast("long"), ["ts"], "__n", ["ticker"]).withColumn("__n", F.col("__n") - 1)
+
+
+def bucket_of(place: Column, rows: int) -> Column:
+    return F.floor(place / F.lit(rows)).cast("long")
+
+
+def in_buckets(placed: DataFrame, before: int, after: int, rows: int) -> DataFrame:
+    """Bars of numbered() in each ``__bucket`` of ``rows`` bars that they are of, or in the halo of, under a ticker of its own."""
+    at = F.col("__n")
+    copies = placed.withColumn("__bucket", F.explode(F.sequence(F.greatest(bucket_of(at - after, rows), F.lit(0).cast("long")), bucket_of(at + before, rows))))
+    copies = copies.withColumn(_WHOLE, F.col("ticker")).withColumn(_OWN, F.col("__bucket") == bucket_of(at, rows))
+    return copies.withColumn("ticker", F.concat("ticker", F.lit("\0"), F.col("__bucket").cast("string"))).drop("__n")
+
+
 def owned(frame: DataFrame) -> DataFrame:
     """The bars of spread() once each, under their ticker; other frames stay as they are."""
     if _WHOLE not in frame.columns:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import prices
 from tickloom.operators import aliases, selection, steps
+from tickloom.operators.feature_table import FeatureTable
 from tickloom.operators.fuzzy import nearest_names
 from tickloom.operators.model_calls import TextService
 from tickloom.operators.returns import featured
@@ -167,6 +168,19 @@ def node_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(words.unionAll(spark.createDataFrame([("lo",), ("not there",)], "word string"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def features_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of price_features in a table that is kept up: years with errors first, then the rest, then the corrections."""
+    bars = cut(t.market_bars(spark, sf_dir))
+    made = {"fwd": prices.forward_return(), "car": prices.cum_abnormal_return(), "ar_vol": prices.trailing_ar_vol(), "vol": prices.realized_vol(), "z": prices.car_zscore()}
+    table = FeatureTable(spark, new_path(spark, "features"), made)
+    wrong = (F.dayofmonth("ts") == 13) & (F.month("ts") % 4 == 0) & (F.year("ts") == 1996)
+    early = bars.where("ts < '1998-01-01'").withColumn("close", F.when(wrong, F.col("close") * 3).otherwise(F.col("close")))
+    table.update(early, early)
+    table.update(early.unionByName(bars.where("ts >= '1998-01-01'")), bars.where("ts >= '1998-01-01'"))
+    table.update(bars, bars.where(wrong))
+    return table.read().where("ticker NOT LIKE 'SECTOR#%'").select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("day"), *[F.round(c, 6).alias(c) for c in ("ret", "ar", *made)])
+
+
 _WORD = r"[\p{L}\p{N}_]+"
 _ALIASES = """w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
  at_ AS (SELECT doc_id * 10 + k AS ord, 'D' || doc_id || '_' || k AS ticker, w[k] AS a, w[k + 1] AS b FROM w, (VALUES (1), (3), (5), (7), (9)) v(k) WHERE len(w) > k),
@@ -192,6 +206,7 @@ SQL = {
     "web_capture": IO_SQL["capture_stream"],
     "node_words": """WITH w AS (SELECT 'urgent f ' || c_custkey AS word FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT unnest(['lo', 'not there'])),
  n AS (SELECT lower(concat_ws(' ', o_orderpriority, o_orderstatus, o_custkey)) AS text FROM orders) SELECT word, count(*) AS n FROM w JOIN n ON contains(text, word) GROUP BY word""",
+    "features_kept": CORE_SQL["price_features"],
     "service_fold": CORE_SQL["pipeline_fold"],
     "incremental_fold": CORE_SQL["pipeline_fold"],
     "link_market": f"""WITH {_ALIASES}, k AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}|[^\\p{{L}}\\p{{N}}_]+') AS k FROM documents WHERE text IS NOT NULL),
@@ -201,7 +216,7 @@ SQL = {
  SELECT d.doc_id, (coalesce(n, 0) + CASE WHEN d.doc_id % 10 = 0 THEN 2 ELSE 0 END)::BIGINT AS n, md5(concat_ws(',', CASE WHEN d.doc_id % 10 = 0 THEN 'D3_1,OTHER' END, tickers)) AS tickers_md5 FROM documents d LEFT JOIN lists USING (doc_id)""",
 }
 
-NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream web_capture node_words".split()
+NAMES = "link_market price_features_hot trade_quantiles recall_indexed service_fold incremental_fold nearest_customers budget_stream web_capture node_words features_kept".split()
 
 
 def queries() -> dict:
