@@ -7,10 +7,12 @@ import pandas as pd
 import pytest
 from conftest import SF, TABLES
 
-from tickloom.plans import io_queries, oracle, scale_queries
+from tickloom.plans import edge_queries, io_queries, oracle, scale_queries
 from tickloom.plans import queries as q
 
-QUERIES, SQL = {**q.queries(), **io_queries.queries(), **scale_queries.queries()}, {**oracle.SQL, **io_queries.SQL, **scale_queries.SQL}
+OTHERS = (io_queries, scale_queries, edge_queries)
+QUERIES = {**q.queries(), **{k: v for m in OTHERS for k, v in m.queries().items()}}
+SQL = {**oracle.SQL, **{k: v for m in OTHERS for k, v in m.SQL.items()}}
 
 
 @pytest.fixture(scope="module")
@@ -50,4 +52,4 @@ def test_json_extract(spark):
 
 def test_synthetic_bars_repeat(spark):
     a, b = (q.synthetic_bars(spark, SF).orderBy("ticker", "day").toPandas() for _ in range(2))
-    assert len(a) == 120 and a.equals(b) and a["adjusted"].all() and (pd.to_datetime(a["day"]).dt.weekday < 5).all()
+    assert len(a) == 25 * 60 and a.equals(b) and a["adjusted"].all() and (pd.to_datetime(a["day"]).dt.weekday < 5).all()

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def save_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """Both tables of a graph in the folder ``path``, in place of what was there."""
+    for name, df in (("vertices", vertices), ("edges", edges)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def _part(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # the reader has no narrower class for a missing path
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def graph_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row (exists, nodes, edges, labels): labels sorted. A graph without vertices has none, a missing table counts 0."""
+    vertices, edges = (_part(spark, f"{path}/{name}") for name in ("vertices", "edges"))
+    if vertices is None:
+        return spark.range(1).select(F.lit(False).alias("exists"), F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"), F.array().cast("array<string>").alias("labels"))
+    names = labels(vertices).agg(F.array_sort(F.collect_list("label")).alias("labels"))  # a graph has few labels
+    number = counts(vertices, edges if edges is not None else vertices.limit(0))
+    return number.crossJoin(names).select(F.lit(True).alias("exists"), "nodes", "edges", "labels")
+
+
 def counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (nodes, edges); tables without rows count 0."""
     return vertices.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each

@@ -75,6 +75,12 @@ def read_files(files: DataFrame, path: str) -> DataFrame:
     return files.select("path").repartition(tasks, "path").mapInPandas(read, "path string, sha256 string, rows long")
 
 
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rows) of every non-empty ``*.jsonl`` file under ``path``. Files are split, so a large one is counted by many tasks."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    return lines.select(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+
+
 def snapshot(spark: SparkSession, path: str, previous: DataFrame | None = None) -> DataFrame:
     """(path, size, mtime, sha256, rows) of every file under ``path``, by path; paths are relative to it, hidden files left out.
 

@@ -26,6 +26,12 @@ def output_mode(step: Mapping) -> str:
     return "signal" if str(step.get("kind") or "").strip().lower() == "classify" else "rewrite"
 
 
+def output_mode_of(output: Column, kind: Column) -> Column:
+    """output_mode() of steps that are rows."""
+    mode = F.lower(F.trim(F.coalesce(output, F.lit(""))))
+    return F.when(mode.isin("rewrite", "signal"), mode).when(F.lower(F.trim(F.coalesce(kind, F.lit("")))) == "classify", "signal").otherwise("rewrite")
+
+
 def applies(step: Mapping, doc_type: Column) -> Column:
     """Whether a step is enabled and meant for the document's current type."""
     if not step.get("enabled", True):

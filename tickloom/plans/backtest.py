@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.prices import FEATURES, cum_abnormal_return, forward_return
@@ -26,14 +26,24 @@ class Backtest:
     feature_versions: dict[str, str]
 
 
+UNKNOWN, AHEAD = "unknown score feature '{}'", "LOOK-AHEAD GUARD: score feature '{}' sees the outcome and can't predict it"
+
+
 def guard(score_feature: str | None) -> None:
     """Refuses a predictor that is unknown or that looks ahead, before any plan is built."""
     if not score_feature:
         return
     if score_feature not in FEATURES:
-        raise ValueError(f"unknown score feature {score_feature!r}")
+        raise ValueError(UNKNOWN.format(score_feature))
     if FEATURES[score_feature].forward_looking:
-        raise ValueError(f"LOOK-AHEAD GUARD: score feature {score_feature!r} sees the outcome and can't predict it")
+        raise ValueError(AHEAD.format(score_feature))
+
+
+def guard_problem(score_feature: Column) -> Column:
+    """What guard() would say to the predictor that a row names; null where it may be used, or none is named."""
+    said = lambda message: F.concat(*[x for k, part in enumerate(message.split("{}")) for x in ([score_feature] if k else []) + [F.lit(part)]])
+    ahead = [name for name, f in FEATURES.items() if f.forward_looking]
+    return F.when(F.coalesce(score_feature == "", F.lit(True)), None).when(~score_feature.isin(*FEATURES), said(UNKNOWN)).when(score_feature.isin(*ahead), said(AHEAD))
 
 
 def evaluate(bars: DataFrame, events: DataFrame, horizon: int = 5, beta: float = 1.0, use_benchmark: bool = True, bucket_days: int | None = 366) -> DataFrame:

@@ -165,9 +165,12 @@ def symbol_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the tables lack to be bars."""
-    frames = {"bars": t.bars(spark, sf_dir), "events": t.table(spark, sf_dir, "events"), "nation": t.table(spark, sf_dir, "nation")}
-    return spark.createDataFrame([(name, ",".join(schema.missing(df))) for name, df in frames.items()], "name string, lacking string")
+    """What tables lack to be bars: columns, and how many of their rows can't be one."""
+    bars = t.bars(spark, sf_dir)
+    holes = bars.withColumn("close", F.when(F.dayofmonth("ts") != 13, F.col("close"))).withColumn("ticker", F.when(F.month("ts") != 2, F.col("ticker")))
+    frames = {"bars": bars, "holes": holes, "events": t.table(spark, sf_dir, "events"), "nation": t.table(spark, sf_dir, "nation")}
+    out = [df.agg(F.count("*").alias("n"), F.count_if(schema.incomplete(df)).alias("incomplete")).select(F.lit(name).alias("name"), F.lit(",".join(schema.missing(df))).alias("lacking"), "n", "incomplete") for name, df in frames.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +198,7 @@ _RECORD = f"""WITH {MARKET}, {PAIRS}, {_TRIGGERED}, rows_ AS (SELECT e.ticker, e
  round(CASE WHEN stddev_samp(fwd) > 0 THEN avg(fwd) / (stddev_samp(fwd) / sqrt(count(fwd))) END, 3) AS t_stat, (SELECT CASE WHEN count(*) >= 3 THEN round(corr(s, f), 4) END FROM ranked) AS ic,
  count(fwd) AS n_curve, round(1 + arg_min(fwd, (as_of, ticker)) FILTER (fwd IS NOT NULL), 6) AS first_equity, 'cum_abnormal_return=1.0,forward_return=1.0,realized_vol=1.0' AS versions FROM rows_"""
 _WALK = """d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS n FROM (SELECT (DATE '2024-01-01' + range::INT)::DATE AS day FROM range(100)) WHERE isodow(day) <= 5 QUALIFY n < 60),
- g AS (SELECT ticker, d.day, n, x FROM (VALUES ('AAA'), ('BBB')) v(ticker), d, (VALUES ('close'), ('open'), ('high'), ('low')) k(x)),
+ g AS (SELECT ticker, d.day, n, x FROM (SELECT DISTINCT p_brand AS ticker FROM part) v, d, (VALUES ('close'), ('open'), ('high'), ('low')) k(x)),
  u AS (SELECT *, (CAST('0x' || substr(md5(ticker || ':0:' || n || ':' || x || ':1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS a, (CAST('0x' || substr(md5(ticker || ':0:' || n || ':' || x || ':2'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS b FROM g),
  z AS (SELECT ticker, day, n, x, sqrt(-2 * ln(a)) * cos(2 * pi() * b) AS z FROM u), p AS (SELECT * FROM (PIVOT z ON x IN ('close', 'open', 'high', 'low') USING first(z) GROUP BY ticker, day, n)),
  c AS (SELECT *, 100 * exp(sum(0.0003::DOUBLE + 0.015::DOUBLE * "close") OVER (PARTITION BY ticker ORDER BY n)) AS last FROM p)"""
@@ -215,7 +218,7 @@ SQL = {
     "model_names": "SELECT DISTINCT lower(p_type) AS id, CASE WHEN p_type < 'M' THEN 'The ' || p_type ELSE '' END AS name FROM part UNION ALL SELECT 'other', ''",
     "output_caps": f"SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN {routing.MAX_OUTPUT_TOKENS} ELSE least(event_id % 7 * 1000, {routing.MAX_OUTPUT_TOKENS}) END::BIGINT AS cap FROM events",
     "symbol_config": "SELECT DISTINCT p_brand AS ticker, unnest([p_brand, lower(p_brand)]) AS alias, 'SECTOR#' || (regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 5) AS benchmark, 'SECTOR#0' AS fallback FROM part WHERE p_brand <> 'Brand#25'",
-    "missing_columns": "SELECT * FROM (VALUES ('bars', ''), ('events', 'close,freq,ticker'), ('nation', 'close,freq,ticker,ts')) v(name, lacking)",
+    "missing_columns": f"WITH {BARS} SELECT 'bars' AS name, '' AS lacking, count(*) AS n, count(*) FILTER (close IS NULL) AS incomplete FROM bars UNION ALL SELECT 'holes', '', count(*), count(*) FILTER (close IS NULL OR day(ts) = 13 OR month(ts) = 2) FROM bars UNION ALL SELECT 'events', 'close,freq,ticker', count(*), count(*) FROM events UNION ALL SELECT 'nation', 'close,freq,ticker,ts', count(*), count(*) FROM nation",
     "recall_queries": "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) <= 10",
     "integrity_exit": "SELECT 'clean' AS run, 0 AS code UNION ALL SELECT 'drifted', CASE WHEN bool_or((p_partkey % 5) / (p_size * 100) * 100 > 1) THEN 1 ELSE 0 END FROM part UNION ALL SELECT 'empty', 2",
     "json_extract": "SELECT event_id, '{\"k\": ' || (props->>'$.k') || '}' AS found FROM events",

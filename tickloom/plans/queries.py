@@ -421,7 +421,9 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = Synthetic(periods=60).load_history(spark, ["AAA", "BBB"])
+    """A walk for each brand that has parts."""
+    brands = t.table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct()
+    bars = Synthetic(periods=60).load_history(spark, brands)
     return bars.select("ticker", _day("ts").alias("day"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "adjusted")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,21 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.select(columns)
 
 
+def incomplete(df: DataFrame) -> Column:
+    """Whether a row has no value in one of the required columns, or ``df`` lacks it."""
+    out = F.lit(bool(missing(df)))
+    for name in REQUIRED:
+        out = out | df[name].isNull() if name in df.columns else out
+    return out
+
+
+def freq_problem(freq: Column) -> Column:
+    """What is wrong with a freq that isn't one of FREQS; null for one that is."""
+    known = F.coalesce(freq.isin(*FREQS), F.lit(False))
+    return F.when(~known, F.concat(F.lit("invalid freq: "), F.coalesce(freq, F.lit("null")), F.lit(f"; expected one of {', '.join(FREQS)}")))
+
+
 def check_freq(df: DataFrame) -> DataFrame:
     """``df``, which fails when run if a row's freq isn't one of FREQS."""
-    known = F.coalesce(F.col("freq").isin(*FREQS), F.lit(False))
-    problem = F.concat(F.lit("invalid freq: "), F.coalesce("freq", F.lit("null")), F.lit(f"; expected one of {', '.join(FREQS)}"))
-    return df.withColumn("freq", F.when(known, F.col("freq")).otherwise(F.raise_error(problem).cast("string")))
+    problem = freq_problem(F.col("freq"))
+    return df.withColumn("freq", F.when(problem.isNull(), F.col("freq")).otherwise(F.raise_error(problem).cast("string")))
