@@ -2,7 +2,9 @@
 
 import pytest
 from conftest import SF
+from pyspark.sql.classic.dataframe import DataFrame
 
+from tickloom.plans import edge_queries, io_queries, scale_queries
 from tickloom.plans import queries as q
 
 
@@ -16,8 +18,23 @@ def test_no_python_in_the_plan(spark, name):
     assert not any(word in text for word in ("Python", "ArrowEval", "MapInPandas", "FlatMapGroups", "CartesianProduct")), text
 
 
+@pytest.mark.parametrize("name", "backtest_stats price_features sweep_rank equity_curve information_coefficient registry_compute feature_step budget_gate".split())
+def test_no_python_before_a_checkpoint(spark, monkeypatch, name):
+    """The same where plans aren't cut, so that what would be written is seen too."""
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, eager=True: self)
+    text = plan(q.queries()[name](spark, SF))
+    assert "ExistingRDD" not in text and "FileScan" in text
+    assert not any(word in text for word in ("Python", "ArrowEval", "MapInPandas", "FlatMapGroups", "CartesianProduct")), text
+
+
+@pytest.mark.parametrize("name", sorted({**io_queries.queries(), **scale_queries.queries(), **edge_queries.queries()}.keys() & set("backtest_record feature_marks message_texts model_names output_caps integrity_exit price_features_hot trade_quantiles nearest_customers features_kept freq_problems guard_verdicts output_modes empty_stats".split())))
+def test_no_python_in_other_queries(spark, name):
+    text = plan({**io_queries.queries(), **scale_queries.queries(), **edge_queries.queries()}[name](spark, SF))
+    assert not any(word in text for word in ("Python", "ArrowEval", "MapInPandas", "FlatMapGroups", "CartesianProduct")), text
+
+
 def test_filters_and_columns_reach_the_scan(spark):
-    text = plan(q.backtest_stats(spark, SF))
+    text = plan(q.evaluated(spark, SF))
     assert "EqualTo(o_orderpriority,1-URGENT)" in text
     orders = next(part for part in text.split("FileScan")[1:] if "orders.parquet" in part)
     assert "o_totalprice" not in orders.split("ReadSchema")[1].split("\n")[0]

@@ -26,6 +26,8 @@ def spread(bars: DataFrame, before: int, after: int, rows: int = ROWS) -> DataFr
     owned; owned() brings these back. Without such tickers ``bars`` stay as they are. They are counted first, so should be
     written before.
     """
+    if bars.count() <= rows:  # so few in all that none can be hot; a count needs no shuffle
+        return bars
     hot = bars.groupBy(F.col("ticker").alias("__hot")).count().where(F.col("count") > rows).select("__hot")
     n = hot.count()
     if not n:
