@@ -4,7 +4,8 @@ Documents are dealt to blocks. A block sends its distinct n-grams with their cou
 tables; a bucket sums them over the corpus and answers every block with the totals of what it sent; the block adds up the
 scores of its documents. n-grams travel as sorted, delta-packed hashes, so neither text nor one row an n-gram is moved;
 there are never more rows than n-grams, however many blocks and buckets there are.
-Longer n-grams are only sent if both shorter ones in them are frequent enough, as no others can be.
+A document is scored by the rest of the corpus: what it holds itself is taken off every count.
+Longer n-grams are only sent if both shorter ones in them occur in other documents, as no others can.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
-from tickloom.llm.common import WORD, parts_for, small_batches
+from tickloom.llm.common import WORD, parts_for, small_batches, written
 
-ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
+ORDER, BACKOFF = 3, 0.4
 #: Bits of an n-gram's hash (see score_documents for collisions); bytes of text in a block, some 16 times as much in memory.
 HASH_BITS, BLOCK_BYTES = 56, 12 << 20
+#: Copies of one row (id and text), in rows and bytes, that may share a block; beyond it the rows are numbered and spread.
+COPIES, COPY_BYTES = 1_000, 1 << 20
 
 _SENT = "block long, bucket long, n long, number long, hashes binary, counts binary"
 _ANSWER = "block long, bucket long, n long, number long, mask binary, totals binary"
@@ -53,8 +56,21 @@ def unsmall(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of hashes of HASH_BITS: ranges of equal width, so that sorted hashes have sorted buckets."""
+    return ((hashes >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
+
+
+def filled(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each bucket's entries begin and end in a sorted column of buckets; buckets without any aren't walked."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts, len(bucket))[1:]
+    return dict(zip(bucket[starts].tolist(), zip(starts.tolist(), ends.tolist(), strict=True), strict=True))
+
+
 class Block:
-    """The n-grams of a block of texts: for each n the distinct hashes, and the place of every occurrence among them."""
+    """The n-grams of a block of texts: for each n the distinct hashes, the place of every occurrence among them, and how
+    often the occurrence's own text has it."""
 
     def __init__(self, texts: pa.Array, order: int, buckets: int):
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -65,73 +81,86 @@ class Block:
         word, self.words = np.concatenate(hashes), np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.words)])
         left = np.repeat(self.first[1:], self.words) - np.arange(len(word))  # words from here to the text's end
-        self.buckets, self.distinct, self.place, self.count, self.at, long = buckets, {}, {}, {}, {}, word
+        text = np.repeat(np.arange(len(self.words), dtype=np.int64), self.words)
+        self.buckets, self.distinct, self.place, self.count, self.own, self.at, long = buckets, {}, {}, {}, {}, {}, word
         for n in range(1, order + 1):
             if n > 1:
                 long = tb.mixed(long * np.uint64(0xD1342543DE82EF95) + np.concatenate([word[n - 1 :], np.zeros(min(n - 1, len(word)), np.uint64)]) + np.uint64(n))
             self.at[n] = np.flatnonzero(left >= n).astype(np.int32)  # where n-grams begin
             self.distinct[n], place, count = np.unique(long[self.at[n]] >> np.uint64(64 - HASH_BITS), return_inverse=True, return_counts=True)
             self.place[n], self.count[n] = place.astype(np.int32), count.astype(np.int32)
+            place *= max(len(self.words), 1)
+            _, place, count = np.unique(place + text[self.at[n]], return_inverse=True, return_counts=True)
+            self.own[n] = count.astype(np.int32)[place]
             del place, count
-        del word, left, long
+        del word, left, long, text
         tb.release()
 
-    def _bounds(self, n: int) -> np.ndarray:
-        edges = [-(-(b << HASH_BITS) // self.buckets) for b in range(self.buckets)]
-        return np.append(np.searchsorted(self.distinct[n], np.array(edges, np.uint64)), len(self.distinct[n]))
-
     def send(self, n: int, block: int, wanted: np.ndarray | None) -> list[dict]:
-        bounds, rows = self._bounds(n), []
-        for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        rows = []
+        for b, (s, e) in filled(bucket_of(self.distinct[n], self.buckets)).items():
             pick = np.arange(s, e) if wanted is None else s + np.flatnonzero(wanted[s:e])
             if len(pick):
                 rows.append({"block": block, "bucket": b, "n": n, "number": len(pick), "hashes": pack(self.distinct[n][pick]), "counts": small(self.count[n][pick])})
         return rows
 
-    def totals(self, n: int, answers: list[dict], wanted: np.ndarray | None) -> np.ndarray:
-        """The corpus count of each distinct n-gram; 0 for those that are rarer than asked for."""
-        out, bounds = np.zeros(len(self.distinct[n]), np.int64), self._bounds(n)
+    def elsewhere(self, n: int, answers: list[dict], wanted: np.ndarray | None) -> np.ndarray:
+        """How often other texts have each occurrence's n-gram."""
+        total, bounds = np.zeros(len(self.distinct[n]), np.int64), filled(bucket_of(self.distinct[n], self.buckets))
         for r in answers:
             if r["n"] == n:
-                s, e = bounds[r["bucket"]], bounds[r["bucket"] + 1]
+                s, e = bounds[r["bucket"]]
                 pick = np.arange(s, e) if wanted is None else s + np.flatnonzero(wanted[s:e])
-                out[pick[np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["number"]).astype(bool)]] = unsmall(r["totals"])
-        return out
+                total[pick[np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["number"]).astype(bool)]] = unsmall(r["totals"])
+        return np.maximum(total[self.place[n]] - self.own[n], 0)
 
     def wanted(self, n: int, shorter: np.ndarray) -> np.ndarray:
-        """Which distinct n-grams have both their (n - 1)-grams in the tables; shorter: those grams' totals."""
+        """Which distinct n-grams have an occurrence both of whose (n - 1)-grams other texts have (shorter: how often).
+
+        An n-gram of two texts is wanted wherever it occurs, so its total is whole; one of a single text counts 0 either way.
+        """
         seen = np.zeros(len(self.words) and self.first[-1] + 1, bool)
-        seen[self.at[n - 1]] = shorter[self.place[n - 1]] > 0
+        seen[self.at[n - 1]] = shorter > 0
         out = np.zeros(len(self.distinct[n]), bool)
         out[self.place[n][seen[self.at[n]] & seen[self.at[n] + 1]]] = True
         return out
 
 
 def _known(block: Block, upto: int, answers: list[dict]) -> tuple[dict[int, np.ndarray], np.ndarray | None]:
-    """Totals for n <= upto, and which (upto + 1)-grams to send."""
-    totals, wanted = {}, None
+    """Counts in other texts for n <= upto, and which (upto + 1)-grams to send."""
+    counts, wanted = {}, None
     for n in range(1, upto + 1):
-        totals[n] = block.totals(n, answers, wanted)
+        counts[n] = block.elsewhere(n, answers, wanted)
         if n >= 2 and n + 1 in block.place:
-            wanted = block.wanted(n + 1, totals[n])
-    return totals, wanted
+            wanted = block.wanted(n + 1, counts[n])
+    return counts, wanted
 
 
 def dealt_to_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """``rows`` (doc_id, text) with their ``block``: by a hash of the row, so that equal ids or texts don't meet in one."""
-    numbered = F.xxhash64(F.col("doc_id").cast("string"), F.octet_length("text"), F.monotonically_increasing_id())
-    return rows.withColumn("block", F.pmod(numbered, F.lit(n_blocks))).repartition(n_blocks, "block")
+    """``rows`` (doc_id, text) with their ``block``: by a hash of what a row holds, so that a task that runs again deals alike.
+
+    Where many copies of one row would share a block, the rows are written with numbers first, and those play a part too.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    copies = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where("n > 1")
+    most = copies.agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).first()
+    if (most["n"] or 0) > COPIES or (most["bytes"] or 0) > COPY_BYTES:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        key = F.xxhash64(key, "row")
+    return rows.withColumn("block", F.pmod(key, F.lit(n_blocks))).select("doc_id", "text", "block").repartition(n_blocks, "block")
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_backed_off, log_score) for every document, with counts over all documents.
 
     A word scores log(c(n-gram) / c(context)) for the longest n-gram ending in it, within its text and of at most
-    ``order`` words, that occurs ``min_count`` times in the corpus; every shorter step adds log(backoff); a single word scores
-    log(c(word) / words of the corpus). n_backed_off counts the words whose longest n-gram was too rare. Words are runs
-    of anything but ASCII white space. Null and empty texts score 0; repeated rows count and score each, ties don't
-    arise, an empty table gives no rows and further columns play no part. n-grams are told apart by HASH_BITS of a hash:
-    among 10**12 distinct ones a single one shares its count with another with a chance of 1 in 70,000.
+    ``order`` words, that another document has; every shorter step adds log(backoff); a single word scores log(c(word) /
+    words), where a word of no other document counts once. All counts are those of the other documents: what a document
+    holds itself is taken off, so that it doesn't vouch for itself. n_backed_off counts the words whose longest n-gram no
+    other document has. Words are runs of anything but ASCII white space. Null and empty texts score 0; each row is a
+    document, so that repeated rows vouch for each other; ties don't arise, an empty table gives no rows and further columns
+    play no part. n-grams are told apart by HASH_BITS of a hash: among 10**12 distinct ones a single one shares its count
+    with another with a chance of 1 in 70,000.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -165,7 +194,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
             end = np.cumsum([len(h) for h in hashes])
             for r, s, e in zip(some, end - [len(h) for h in hashes], end, strict=True):
                 own = counts[place[s:e]]
-                kept = own >= (min_count if n > 1 else 1)
+                kept = own > 1  # of the others the asking text has the only one
                 out.append({k: r[k] for k in ("block", "bucket", "n", "number")} | {"mask": np.packbits(kept).tobytes(), "totals": small(own[kept])})
         return pa.Table.from_pylist(out, answer)
 
@@ -174,20 +203,20 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         if not table.num_rows:
             return out_schema.empty_table()
         block = Block(table["text"], order, n_blocks)
-        totals, _ = _known(block, order, answers.to_pylist())
+        counts, _ = _known(block, order, answers.to_pylist())
         size = int(block.first[-1])
         place = np.arange(size) - np.repeat(block.first[:-1], block.words)  # of a word in its text
         longest = np.minimum(place + 1, order)
         value, used = np.zeros(size), np.zeros(size, np.int64)
         for n in range(1, order + 1):
             count = np.zeros(size, np.int64)  # of the n-gram ending in each word
-            count[block.at[n] + n - 1] = totals[n][block.place[n]]
+            count[block.at[n] + n - 1] = counts[n]
             if n == 1:
-                single, value, used = count, np.log(np.maximum(count, 1) / corpus), np.ones(size, np.int64)
+                value, used = np.log(np.maximum(count, 1) / np.maximum(corpus - np.repeat(block.words, block.words), 1)), np.ones(size, np.int64)
             else:
                 some = count > 0
                 before = np.roll(shorter, 1)  # the context ends in the word before
-                value[some], used[some] = np.log(count[some] / before[some]), n
+                value[some], used[some] = np.log(count[some] / np.maximum(before[some], 1)), n
             shorter = count
         value += (longest - used) * penalty
         text_of = np.repeat(np.arange(len(block.words)), block.words)
@@ -207,13 +236,16 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 t AS (SELECT doc_id, unnest(w) AS c, unnest(range(len(w))) AS i FROM d),
 g AS (SELECT doc_id, i, c, lag(c) OVER o AS b, lag(c, 2) OVER o AS a FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 u AS (SELECT c, count(*) AS n1 FROM g GROUP BY c),
-k AS (SELECT b, c, count(*) AS n2 FROM g WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-r AS (SELECT a, b, c, count(*) AS n3 FROM g WHERE a IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-s AS (SELECT g.doc_id, g.i, least(g.i + 1, 3) AS longest,
-    CASE WHEN n3 IS NOT NULL THEN 3 WHEN k.n2 IS NOT NULL THEN 2 ELSE 1 END AS used,
-    CASE WHEN n3 IS NOT NULL THEN ln(n3 / m.n2) WHEN k.n2 IS NOT NULL THEN ln(k.n2 / v.n1) ELSE ln(u.n1 / (SELECT count(*) FROM t)) END AS value
-    FROM g JOIN u ON g.c = u.c LEFT JOIN u v ON g.b = v.c LEFT JOIN k ON g.b = k.b AND g.c = k.c
-    LEFT JOIN r ON g.a = r.a AND g.b = r.b AND g.c = r.c LEFT JOIN k m ON g.a = m.b AND g.b = m.c)
+k AS (SELECT b, c, count(*) AS n2 FROM g WHERE b IS NOT NULL GROUP BY ALL),
+r AS (SELECT a, b, c, count(*) AS n3 FROM g WHERE a IS NOT NULL GROUP BY ALL),
+own AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS words, count(*) OVER (PARTITION BY doc_id, c) AS o1,
+    count(*) OVER (PARTITION BY doc_id, b, c) AS o2, count(*) OVER (PARTITION BY doc_id, a, b, c) AS o3 FROM g),
+e AS (SELECT own.doc_id, own.i, words, n1 - o1 AS e1, coalesce(n2 - o2, 0) AS e2, coalesce(n3 - o3, 0) AS e3
+    FROM own JOIN u ON own.c = u.c LEFT JOIN k ON own.b = k.b AND own.c = k.c LEFT JOIN r ON own.a = r.a AND own.b = r.b AND own.c = r.c),
+f AS (SELECT *, lag(e1) OVER o AS before1, lag(e2) OVER o AS before2 FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, least(i + 1, 3) AS longest, CASE WHEN e3 > 0 THEN 3 WHEN e2 > 0 THEN 2 ELSE 1 END AS used,
+    CASE WHEN e3 > 0 THEN ln(e3 / before2) WHEN e2 > 0 THEN ln(e2 / before1)
+    ELSE ln(greatest(e1, 1) / greatest((SELECT count(*) FROM t) - words, 1)) END AS value FROM f)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE WHEN used < longest THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_backed_off,
     round(coalesce(sum(value + (longest - used) * ln(0.4)), 0), 4) + 0.0 AS log_score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id, len(d.w)

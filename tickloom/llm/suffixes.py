@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm import textblocks as tb
 from tickloom.llm.common import parts_for, small_batches
-from tickloom.llm.lm import HASH_BITS, dealt_to_blocks, pack, small, unpack, unsmall
+from tickloom.llm.lm import HASH_BITS, bucket_of, dealt_to_blocks, filled, pack, small, unpack, unsmall
 
 SPAN, KMER = 50, 20
 #: Text of a block; a task needs some 25 times as much while it sorts.
@@ -62,7 +62,7 @@ class Block:
             row = end
         self.at, self.first, self.last, self.doc, self.hash, self.span = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
         self.hash = self.hash.astype(np.uint64)
-        self.bucket = ((self.hash >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
+        self.bucket = bucket_of(self.hash, buckets)
 
     def _anchors(self, row: int, end: int) -> Iterator[np.ndarray]:
         base = int(self.offsets[row])
@@ -101,9 +101,7 @@ class Block:
         low, high = np.full(len(distinct), _NO_ID), np.full(len(distinct), -_NO_ID - 1)
         np.minimum.at(low, place, self.ids[self.doc])
         np.maximum.at(high, place, self.ids[self.doc])
-        bucket = ((distinct >> np.uint64(24)) * np.uint64(self.buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64)
-        edge = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        return [{"block": block, "bucket": b, "number": int(e - s), "hashes": pack(distinct[s:e]), "several": np.packbits(low[s:e] < high[s:e]).tobytes(), "counts": small(count[s:e])} for b, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > s]
+        return [{"block": block, "bucket": b, "number": e - s, "hashes": pack(distinct[s:e]), "several": np.packbits(low[s:e] < high[s:e]).tobytes(), "counts": small(count[s:e])} for b, (s, e) in filled(bucket_of(distinct, self.buckets)).items()]
 
     def suffixes(self, shared: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The shared suffixes and the parts of heavy ones, sorted by bucket, bytes from the anchor on, bytes before it, and document.
@@ -111,11 +109,11 @@ class Block:
         Returns (number of the anchor, is it the first of equals, number of its class, bytes and sizes (rows of 96), bucket).
         """
         distinct, place = np.unique(self.hash, return_inverse=True)
-        edge = np.searchsorted(((distinct >> np.uint64(24)) * np.uint64(self.buckets) >> np.uint64(HASH_BITS - 24)).astype(np.int64), np.arange(self.buckets + 1))
+        edge = filled(bucket_of(distinct, self.buckets))
         common, heavy = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         for r in shared:
             for flags, sent in ((common, r["mask"]), (heavy, r["heavy"])):
-                flags[edge[r["bucket"]] : edge[r["bucket"] + 1]] = np.unpackbits(np.frombuffer(sent, np.uint8), count=r["number"])
+                flags[slice(*edge[r["bucket"]])] = np.unpackbits(np.frombuffer(sent, np.uint8), count=r["number"])
         some = np.flatnonzero(common[place]) if len(place) else np.zeros(0, np.int64)
         split = heavy[place[some]] if len(some) else np.zeros(0, bool)
         whole, split = some[~split], some[split]
@@ -160,25 +158,24 @@ class Block:
             differ = rows[1:, :SPAN] != rows[:-1, :SPAN]
             prefix[1:] = np.where(differ.any(1), differ.argmax(1), SPAN)
             prefix[1:] = np.minimum(prefix[1:], np.minimum(right[1:], right[:-1]))
-        edge = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        prefix[edge[:-1][edge[:-1] < len(some)]] = 0
+        edge = filled(bucket)
+        prefix[[s for s, _ in edge.values()]] = 0
         place = np.arange(SPAN)
         out = []
-        for b, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if e > s:
-                rest = rows[s:e, :SPAN][(place >= prefix[s:e, None]) & (place < right[s:e, None])]
-                before = rows[s:e, 56 : 56 + _LEFT][np.arange(_LEFT) < left[s:e, None]]
-                out.append({"block": block, "bucket": b, "number": int(e - s), "prefix": prefix[s:e].astype(np.uint8).tobytes(), "size": right[s:e].astype(np.uint8).tobytes(), "rest": rest.tobytes(), "left_size": left[s:e].astype(np.uint8).tobytes(), "left": before.tobytes(), "docs": small(self.ids[self.doc[some[s:e]]])})
+        for b, (s, e) in edge.items():
+            rest = rows[s:e, :SPAN][(place >= prefix[s:e, None]) & (place < right[s:e, None])]
+            before = rows[s:e, 56 : 56 + _LEFT][np.arange(_LEFT) < left[s:e, None]]
+            out.append({"block": block, "bucket": b, "number": e - s, "prefix": prefix[s:e].astype(np.uint8).tobytes(), "size": right[s:e].astype(np.uint8).tobytes(), "rest": rest.tobytes(), "left_size": left[s:e].astype(np.uint8).tobytes(), "left": before.tobytes(), "docs": small(self.ids[self.doc[some[s:e]]])})
         return out
 
     def covered(self, shared: list[dict], removed: list[dict]) -> np.ndarray:
         """Which bytes lie in a window that also begins in a smaller document."""
         some, first, number, rows, bucket = self.suffixes(shared)
         heads = np.flatnonzero(first)
-        edge = np.searchsorted(bucket[heads], np.arange(self.buckets + 1))
+        edge = filled(bucket[heads])
         answer = np.zeros(len(heads), np.uint32)
         for r in removed:
-            answer[edge[r["bucket"]] : edge[r["bucket"] + 1]] = np.frombuffer(r["windows"], np.uint32)
+            answer[slice(*edge[r["bucket"]])] = np.frombuffer(r["windows"], np.uint32)
         # Equal suffixes of larger documents of the block go whole; those of the least document as answered.
         least = self.ids[self.doc[some[heads]]][number] if len(heads) else np.zeros(0, np.int64)
         mask = np.where(self.ids[self.doc[some]] > least, np.uint32(0xFFFFFFFF), answer[number] if len(heads) else np.zeros(0, np.uint32))
