@@ -78,6 +78,6 @@ def test_buckets_without_entries_are_not_walked(spark):
         assert [r["bucket"] for r in sent] == sorted({r["bucket"] for r in sent})
         hashes[buckets] = lm.np.concatenate([lm.unpack(r["hashes"]) for r in sent]).tolist()
         answers = [r | {"mask": lm.np.packbits(lm.np.ones(r["number"], bool)).tobytes(), "totals": r["counts"]} for r in sent]
-        own = lm.np.bincount(block.place[2], minlength=len(block.distinct[2]))[block.place[2]] - block.own[2]
+        own = lm.np.bincount(block.place[2], minlength=len(block.distinct[2]))[block.place[2]] - block.own(2)
         assert block.elsewhere(2, answers, None).tolist() == own.tolist()
     assert hashes[4] == hashes[10**9] == block.distinct[2].tolist()

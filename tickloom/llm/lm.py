@@ -69,8 +69,7 @@ def filled(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
 
 
 class Block:
-    """The n-grams of a block of texts: for each n the distinct hashes, the place of every occurrence among them, and how
-    often the occurrence's own text has it."""
+    """The n-grams of a block of texts: for each n the distinct hashes, and the place of every occurrence among them."""
 
     def __init__(self, texts: pa.Array, order: int, buckets: int):
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -81,19 +80,15 @@ class Block:
         word, self.words = np.concatenate(hashes), np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.words)])
         left = np.repeat(self.first[1:], self.words) - np.arange(len(word))  # words from here to the text's end
-        text = np.repeat(np.arange(len(self.words), dtype=np.int64), self.words)
-        self.buckets, self.distinct, self.place, self.count, self.own, self.at, long = buckets, {}, {}, {}, {}, {}, word
+        self.buckets, self.distinct, self.place, self.count, self.at, long = buckets, {}, {}, {}, {}, word
         for n in range(1, order + 1):
             if n > 1:
                 long = tb.mixed(long * np.uint64(0xD1342543DE82EF95) + np.concatenate([word[n - 1 :], np.zeros(min(n - 1, len(word)), np.uint64)]) + np.uint64(n))
             self.at[n] = np.flatnonzero(left >= n).astype(np.int32)  # where n-grams begin
             self.distinct[n], place, count = np.unique(long[self.at[n]] >> np.uint64(64 - HASH_BITS), return_inverse=True, return_counts=True)
             self.place[n], self.count[n] = place.astype(np.int32), count.astype(np.int32)
-            place *= max(len(self.words), 1)
-            _, place, count = np.unique(place + text[self.at[n]], return_inverse=True, return_counts=True)
-            self.own[n] = count.astype(np.int32)[place]
             del place, count
-        del word, left, long, text
+        del word, left, long
         tb.release()
 
     def send(self, n: int, block: int, wanted: np.ndarray | None) -> list[dict]:
@@ -104,6 +99,17 @@ class Block:
                 rows.append({"block": block, "bucket": b, "n": n, "number": len(pick), "hashes": pack(self.distinct[n][pick]), "counts": small(self.count[n][pick])})
         return rows
 
+    def own(self, n: int) -> np.ndarray:
+        """How often the text of each occurrence has its n-gram."""
+        if len(self.distinct[n]) == len(self.place[n]):
+            return np.ones(len(self.place[n]), np.int64)
+        text = np.repeat(np.arange(len(self.words), dtype=np.int32), self.words)[self.at[n]]
+        out = np.ones(len(text), np.int64)
+        some = np.flatnonzero(self.count[n][self.place[n]] > 1)  # the others occur once in the block
+        _, place, count = np.unique(text[some] * np.int64(len(self.distinct[n])) + self.place[n][some], return_inverse=True, return_counts=True)
+        out[some] = count[place]
+        return out
+
     def elsewhere(self, n: int, answers: list[dict], wanted: np.ndarray | None) -> np.ndarray:
         """How often other texts have each occurrence's n-gram."""
         total, bounds = np.zeros(len(self.distinct[n]), np.int64), filled(bucket_of(self.distinct[n], self.buckets))
@@ -112,7 +118,7 @@ class Block:
                 s, e = bounds[r["bucket"]]
                 pick = np.arange(s, e) if wanted is None else s + np.flatnonzero(wanted[s:e])
                 total[pick[np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["number"]).astype(bool)]] = unsmall(r["totals"])
-        return np.maximum(total[self.place[n]] - self.own[n], 0)
+        return np.maximum(total[self.place[n]] - self.own(n), 0)
 
     def wanted(self, n: int, shorter: np.ndarray) -> np.ndarray:
         """Which distinct n-grams have an occurrence both of whose (n - 1)-grams other texts have (shorter: how often).
