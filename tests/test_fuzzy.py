@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import nearest_name
+from tickloom.operators import fuzzy
 from tickloom.operators.fuzzy import near_pairs, nearest_names
 
 
@@ -39,3 +40,18 @@ def test_nearest_equals_the_list_in_the_plan(spark):
 def test_nothing(spark):
     assert nearest_names(names(spark, []), names(spark, ["a"])).count() == 0
     assert [tuple(r) for r in nearest_names(names(spark, ["a"]), names(spark, [])).collect()] == [("a", None, None)]
+
+
+def test_no_table_of_forms_is_broadcast(spark):
+    """Tables of a few MB of names have GB of forms; neither goes through the driver."""
+    found = near_pairs(names(spark, drawn(1, 150)), names(spark, drawn(2, 150)), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1
+    nearest = nearest_names(names(spark, drawn(1, 50)), names(spark, drawn(2, 50)))
+    assert "Broadcast" not in nearest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forms_are_made_in_many_tasks(spark):
+    reached = fuzzy._reached(names(spark, ["abc", "abcdefgh", "ab"] + drawn(3, 60)), names(spark, ["abcde"]), 2)
+    assert reached.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {len(r["name"]) for r in reached.collect()} <= set(range(3, 8))
