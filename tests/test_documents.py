@@ -211,3 +211,18 @@ def test_inventory(spark, tmp_path):
     assert inventory.exit_code(inventory.anomalies(inventory.compare(now.limit(0), before))).first()[0] == 2
 
 
+
+
+def test_a_delivery_is_many_files(spark, tmp_path, monkeypatch):
+    """Arrived documents aren't one file a delivery, which one task would write and read."""
+    from tickloom.plans import scale_queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scale_queries, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert scale_queries.incremental_fold(spark, str(tmp_path)).count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((tmp_path / "incoming").glob("*.parquet"))) > 2
