@@ -66,3 +66,23 @@ def test_nothing(spark, tmp_path, add):
     if add:
         index.add(spark.createDataFrame([], NODES))
     assert search(spark, index, ["abc", "a"]) == []
+
+
+@pytest.mark.parametrize("most", [0.0, 1e9])
+def test_both_ways_equal_a_search_of_all(spark, tmp_path, most):
+    """By lists, and by stretches of all texts; also after replacements, and for words that hold a piece twice."""
+    nodes, index = drawn(5, 300), TextIndex(spark, str(tmp_path / "i"), most)
+    index.add(spark.createDataFrame(nodes, NODES))
+    index.add(spark.createDataFrame(drawn(6, 60), NODES))
+    now = {**{n[0]: n for n in nodes}, **{n[0]: n for n in drawn(6, 60)}}
+    words = ["abc", "ABCA", "aa", "ä", "ca b", "zzz", "abcdabcd", "bä", "aaa", None, "", "aaaa", "a b c", "ababab", "cab", "b  "]
+    assert search(spark, index, words) == brute(now.values(), words)
+
+
+def test_many_words_with_common_pieces_are_no_product(spark, tmp_path, monkeypatch):
+    """Words that share all their pieces with most nodes would read each list for each word."""
+    index = TextIndex(spark, str(tmp_path / "i"))
+    index.add(spark.range(3000).selectExpr("id", "concat('common ', id % 10) AS name", "null AS text"))
+    monkeypatch.setattr(index, "_candidates", lambda rare: pytest.fail("candidates of all words"))
+    words = spark.range(500).selectExpr("concat('common ', id) AS word")
+    assert sorted(r["word"] for r in index.search(words).groupBy("word").count().collect()) == [f"common {i}" for i in range(10)]
