@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from conftest import SF
 
@@ -60,3 +61,25 @@ def test_a_market_of_tickers(spark):
     docs = spark.createDataFrame([(1, "a")], "n int, text string")
     sizes = [len(aliases.find_aliases(docs, spark.range(n).selectExpr("id AS ord", "'T' || id AS ticker", "'name ' || id AS alias"))._jdf.queryExecution().toString()) for n in (10, 5000)]
     assert abs(sizes[0] - sizes[1]) < 200
+
+
+def test_tickers_of_a_market_are_not_shuffled(spark):
+    """A document may hold names of a share of all tickers; these are put together where the document is, after the last exchange."""
+    docs = spark.createDataFrame([(1, "a b")], "n int, text string")
+    plan = aliases.find_aliases(docs, spark.createDataFrame([(1, "A", "b")], ROWS), letters=0)._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("MapInArrow") < plan.index("Exchange") and "collect_list" not in plan
+
+
+def test_documents_meet_the_names_of_their_group(monkeypatch):
+    """In batches of any size, also for groups without names, and documents without any."""
+    monkeypatch.setattr(aliases, "_TICKERS", 2)
+    rows = []
+    for group in (3, 4, 5):
+        rows += [{"__group": group, "__kind": 0, "ord": o, "ticker": f"T{o}", "name": n} for o in range(4) for n in ("x", "y") if group != 4 and (n == "x" or o == group - 3)]
+        rows += [{"__group": group, "__kind": 1, "__names": names, "__row": {"n": group * 10 + i}} for i, names in enumerate([["x"], None, ["y"], ["x", "y"]]) if group != 4 or names is None]
+    table = pa.Table.from_pylist(rows, pa.schema([("__group", pa.int32()), ("__kind", pa.int32()), ("ord", pa.int64()), ("ticker", pa.string()), ("name", pa.string()), ("__names", pa.list_(pa.string())), ("__row", pa.struct([("n", pa.int32())]))]))
+    every = ["T0", "T1", "T2", "T3"]
+    want = [(30, every), (31, []), (32, ["T0"]), (33, every), (41, []), (50, every), (51, []), (52, ["T2"]), (53, every)]
+    for size in (1, 3, 100):
+        got = [(r["n"], r["found"]) for b in aliases._with_tickers("found", iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert got == want
