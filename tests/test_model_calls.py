@@ -6,6 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from tickloom.operators import model_calls
 from tickloom.operators import steps
 from tickloom.operators.model_calls import TextService, answers
 from tickloom.plans import queries as q
@@ -113,3 +114,14 @@ def test_repeated_and_missing_ids_and_nothing(spark, tmp_path):
     intake.process(spark.createDataFrame([(1, "b", None), (1, "a", "s"), (None, "c", "s")], schema), 0)
     intake.process(spark.createDataFrame([], schema), 1)
     assert [(r["doc_id"], r["source"]) for r in intake.results().collect()] == [(1, None)]
+
+
+def test_texts_are_shuffled_once_a_step(spark, tmp_path):
+    """They are dealt by key, by which they are also made different and compared with the known ones."""
+    service = model_calls.TextService(None, str(tmp_path))
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    wanted = model_calls._wanted(texts, {"prompt": "p"}, service)
+    assert sorted(r["text"] for r in wanted.collect()) == ["a", "b"]
+    known = spark.createDataFrame([("x",)], "key string")
+    plan = wanted.join(known.hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 2 and plan.count("Exchange") == 2  # the texts, and the known keys

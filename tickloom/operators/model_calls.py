@@ -92,6 +92,11 @@ def _stored(service: TextService, spark) -> DataFrame:
     return spark.read.schema(f"{_ROW}, run string").parquet(service.store)
 
 
+def _wanted(texts: DataFrame, step: Mapping, service: TextService) -> DataFrame:
+    """(key, text) of each different text once, dealt by key; copies are left out before that one shuffle of texts."""
+    return texts.where("text IS NOT NULL").select(service.key(F.col("text"), step).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+
+
 def answers(texts: DataFrame, step: Mapping, service: TextService) -> DataFrame:
     """(key, output, error) for every different text of ``texts`` (text); the store has those that were answered.
 
@@ -99,12 +104,11 @@ def answers(texts: DataFrame, step: Mapping, service: TextService) -> DataFrame:
     only one attempt's answers are kept.
     """
     spark = texts.sparkSession
-    wanted = texts.where("text IS NOT NULL").select(service.key(F.col("text"), step).alias("key"), "text").distinct()
+    wanted = _wanted(texts, step, service)
     run = uuid.uuid4().hex
     spark.createDataFrame([], f"{_ROW}, run string").write.mode("append").parquet(service.store)
     known = _stored(service, spark).where("error IS NULL").select("key", "output", "error")
     new = wanted.join(known.select("key"), "key", "left_anti")
-    tasks = service.tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asker = None
@@ -115,7 +119,8 @@ def answers(texts: DataFrame, step: Mapping, service: TextService) -> DataFrame:
                 found = asker.ask(part["text"].tolist())
                 yield pd.DataFrame({"key": part["key"], "output": [a for a, _ in found], "error": [e for _, e in found]})
 
-    new.repartition(tasks, "key").mapInPandas(ask, _ROW).withColumn("run", F.lit(run)).write.mode("append").parquet(service.store)
+    new = new.repartition(service.tasks, "key") if service.tasks else new
+    new.mapInPandas(ask, _ROW).withColumn("run", F.lit(run)).write.mode("append").parquet(service.store)
     made = _stored(service, spark)
     # an answer of this run, else one that was there; the same text may have been answered by two runs at a time
     best = made.where(F.col("error").isNull() | (F.col("run") == run)).groupBy("key").agg(F.max("output").alias("output"), F.min(F.struct(F.col("error").isNotNull(), "error")).alias("e"))
