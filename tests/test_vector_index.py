@@ -76,3 +76,39 @@ def test_awkward_vectors(spark, tmp_path):
     empty = VectorIndex.build(spark.createDataFrame([], VECTORS), f"{tmp_path}/d")
     assert empty.search(asked, 3).count() == 0 and empty.read_share(asked) == 0
     assert index.search(asked.limit(0), 3).count() == 0
+
+
+def test_routes_are_few_and_handed_on_in_pieces(spark, tmp_path, monkeypatch):
+    """A query's vector goes once to many blocks, and no task makes all of its routes at once, where nothing can be skipped."""
+    monkeypatch.setattr(vector_index, "BLOCK", 4)
+    vectors = list(enumerate(np.random.default_rng(4).normal(size=(1500, 64)).astype(np.float32)))
+    index = VectorIndex.build(table(spark, vectors), f"{tmp_path}/e")
+    kind, routes, large = type(spark.range(0)), spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    mapped = kind.mapInPandas
+
+    def seen(self, func, schema):
+        def counted(frames):
+            for frame in func(frames):
+                routes.add(len(frame))
+                large.add(int(len(frame) > 64))
+                yield frame
+
+        return mapped(self, counted, schema)
+
+    monkeypatch.setattr(kind, "mapInPandas", seen)
+    monkeypatch.setattr(vector_index, "ROUTES", 64, raising=False)
+    same(as_dict(index.search(table(spark, vectors[:150], ASKED), 5)), brute(vectors, vectors[:150], 5))
+    blocks = index.rows().select("list", "block").distinct().count()
+    assert blocks > 300 and routes.value < 150 * 10 and large.value == 0
+
+
+def test_small_pieces_and_large_groups_of_copies(spark, tmp_path, monkeypatch):
+    """Groups of queries that are empty for some bundle, copies that fill many blocks, and more asked for than there is."""
+    for name, n in (("BLOCK", 16), ("BUNDLE", 50), ("QUERIES", 2), ("AT_ONCE", 3), ("BOUNDS", 100), ("ROUTES", 2)):
+        monkeypatch.setattr(vector_index, name, n)
+    drawn = np.random.default_rng(6).normal(size=(150, 6)).astype(np.float32)
+    vectors = list(enumerate(drawn)) + [(1000 - i, drawn[7] * (2.0 if i % 2 else 1.0)) for i in range(80)]
+    index = VectorIndex.build(table(spark, vectors), f"{tmp_path}/f")
+    asked = vectors[:10] + vectors[-1:]
+    for k in (3, 300):
+        same(as_dict(index.search(table(spark, asked, ASKED), k)), brute(vectors, asked, k))

@@ -14,18 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators.vectors import PAIRS, _dots
 from tickloom.shared import cut
 
 #: Centres at most, and numbers (vectors times their length) of the sample they are fitted on.
 CENTRES, SAMPLE = 1024, 4_000_000
-#: Vectors of a block of a list, and queries that meet a block at once.
-BLOCK, QUERIES = 4096, 1024
-#: Scores that agree to so many digits are ties; bounds are loosened by more than sums of products can be off.
-DIGITS, SLACK = 12, 1e-7
+#: Vectors of a block of a list, vectors of a bundle of blocks, and queries that meet a bundle in one task.
+BLOCK, BUNDLE, QUERIES = 4096, 8192, 8192
+#: Queries that are scored at once, pairs of vector and block or centre whose distances are made at once, and routes that are handed on at once.
+AT_ONCE, BOUNDS, ROUTES = 512, 500_000, 4096
+#: Scores that agree to so many digits are ties; bounds and scores are loosened by more than sums of products can be off.
+DIGITS, SLACK, OFF = 12, 1e-7, 1e-9
 
 
 def unit(vectors: pd.Series, size: int) -> np.ndarray:
@@ -58,6 +63,38 @@ def _distance(dot: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * dot, 0))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+def _near(q: np.ndarray, v: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of ``q`` and ``v`` that score ``least`` or more, and their scores: the best ``k`` for each of ``q`` and ties at least.
+
+    What a product of matrices shows to be near enough is scored again row by row, so that equal vectors have equal scores.
+    """
+    about = q @ v.T
+    wanted = about >= least[:, None] - OFF
+    crowded = np.flatnonzero(wanted.sum(axis=1) > k)
+    if len(crowded):
+        wanted[crowded] &= about[crowded] >= np.partition(about[crowded], len(v) - k, axis=1)[:, len(v) - k, None] - OFF
+    i, j = np.nonzero(wanted)
+    score = np.zeros(len(i))
+    for at in range(0, len(i), PAIRS):
+        some = slice(at, at + PAIRS)
+        score[some] = np.round(_dots(q[i[some]], v[j[some]]), DIGITS)
+    good = score >= least[i]
+    return i[good], j[good], score[good]
+
+
+def _first(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, id, score) the ``k`` of the highest score for each query, the smaller id first on a tie."""
+    i, ids, score = pairs
+    by = np.lexsort((ids, -score, i))
+    by = by[np.arange(len(i)) - np.searchsorted(i[by], i[by]) < k]
+    return i[by], ids[by], score[by]
+
+
 @dataclass
 class VectorIndex:
     """An index at ``path``: its centres, and a table of (list, block, vec_id, vector, r) that grows by extend()."""
@@ -92,15 +129,18 @@ class VectorIndex:
     def extend(self, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> None:
         """Adds further rows to their lists; blocks of each addition are its own, dealt by a hash of the id."""
         centres, size = self.centres, self.centres.shape[1] if self.centres.ndim == 2 else 0
+        step = max(1, BOUNDS // max(len(centres), 1))
 
         def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = unit(frame["vector"], size)
-                good = ~np.isnan(rows).any(axis=1)
-                dot = rows[good] @ centres.T
-                near = dot.argmax(axis=1) if len(centres) else np.zeros(0, int)
-                kept = frame[good]
-                yield pd.DataFrame({"vec_id": kept["vec_id"], "vector": pd.Series(list(rows[good]), kept.index, object), "list": near, "r": _distance(dot[np.arange(len(near)), near])})
+            for whole in frames:
+                for at in range(0, len(whole), step):
+                    frame = whole.iloc[at : at + step]
+                    rows = unit(frame["vector"], size)
+                    good = ~np.isnan(rows).any(axis=1)
+                    dot = rows[good] @ centres.T
+                    near = dot.argmax(axis=1)
+                    kept = frame[good]
+                    yield pd.DataFrame({"vec_id": kept["vec_id"], "vector": pd.Series(list(rows[good]), kept.index, object), "list": near, "r": _distance(dot[np.arange(len(near)), near])})
 
         rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where("vec_id IS NOT NULL AND vector IS NOT NULL")
         placed = cut(rows.mapInPandas(assign, "vec_id long, vector array<double>, list int, r double")) if len(centres) else rows.limit(0).selectExpr("vec_id", "vector", "0 AS list", "0D AS r")
@@ -141,82 +181,109 @@ class VectorIndex:
 
     def read_share(self, queries: DataFrame, k: int = 5) -> float:
         """The share of all pairs of query and member that a search compares."""
-        return self._search(queries, k)[1]
+        routes = self._search(queries, k)[1]
+        read = routes.agg(F.sum("pairs").alias("read"), F.count_distinct("query_id").alias("queries")).first()
+        every = read["queries"] * self.rows().count()
+        return read["read"] / every if every else 0.0
+
+    def _search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """What search() returns, and the routes it took: (query_id, query, bundle, wanted, pairs, least).
 
-    def _search(self, queries: DataFrame, k: int) -> tuple[DataFrame, float]:
+        A route sends a query to a bundle, some blocks that stand side by side: once for all blocks ``wanted`` there, which hold
+        ``pairs`` members. Scores below ``least`` are of no use to it.
+        """
         centres, blocks = self.centres, self._blocks().orderBy("list", "block").toPandas()  # a row for each 4,096 vectors and each list
         size = centres.shape[1] if centres.ndim == 2 else 0
-        names, of = blocks["block"].to_numpy(), blocks["list"].to_numpy()
-        n, near, far = (blocks[c].to_numpy() for c in ("n", "near", "far"))
-        shared = self.spark.sparkContext.broadcast((centres, names, of, n, near, far))
-        schema = "query_id long, query array<double>, at int, cosine_to double"
-
-        def bounds(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            centres, _, of, _, near, far = shared.value
-            rows = unit(frame["query"], size)
+        blocks["bundle"] = (blocks["n"].cumsum() - blocks["n"]) // BUNDLE
+        shared = self.spark.sparkContext.broadcast((centres, *(blocks[c].to_numpy() for c in ("list", "n", "near", "far", "bundle"))))
+        step = max(1, BOUNDS // max(len(blocks), len(centres), 1))
+        schema = "query_id long, query array<double>, bundle long, wanted array<int>, pairs long, least double"
+
+        def bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            centres, of, _, near, far, _ = shared.value
             d = _distance(rows @ centres.T)[:, of]
-            return rows, d, np.maximum(np.maximum(d - far, near - d), 0)
+            return d, np.maximum(np.maximum(d - far, near - d), 0)
 
-        def routed(frame: pd.DataFrame, rows: np.ndarray, d: np.ndarray, wanted: np.ndarray) -> pd.DataFrame:
+        def routed(frame: pd.DataFrame, rows: np.ndarray, wanted: np.ndarray, least: np.ndarray) -> Iterator[pd.DataFrame]:
+            _, _, n, _, _, bundle = shared.value
             q, b = np.nonzero(wanted)
-            return pd.DataFrame({"query_id": frame["query_id"].to_numpy()[q], "query": pd.Series(list(rows[q]), dtype=object), "at": b.astype(np.int32), "cosine_to": d[q, b]})
+            begins = np.flatnonzero(np.diff(q, prepend=-1) | np.diff(bundle[b], prepend=-1))
+            ends = np.append(begins[1:], len(q))
+            for first in range(0, len(begins), ROUTES):
+                of, till = begins[first : first + ROUTES], ends[first : first + ROUTES]
+                yield pd.DataFrame({
+                    "query_id": frame["query_id"].to_numpy()[q[of]], "query": pd.Series(list(rows[q[of]]), dtype=object), "bundle": bundle[b[of]],
+                    "wanted": pd.Series([b[x:y].astype(np.int32) for x, y in zip(of, till, strict=True)], dtype=object),
+                    "pairs": [int(n[b[x:y]].sum()) for x, y in zip(of, till, strict=True)], "least": least[q[of]],
+                })
 
         def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in frames:
-                for at in range(0, len(whole), QUERIES):
-                    frame = whole.iloc[at : at + QUERIES]
-                    rows, d, least = bounds(frame)
-                    good = ~np.isnan(rows).any(axis=1)
+                for at in range(0, len(whole), step):
+                    frame = whole.iloc[at : at + step]
+                    rows = unit(frame["query"], size)
+                    d, least = bounds(rows)
                     order = np.lexsort((d, least))
-                    before = np.cumsum(shared.value[3][order], axis=1) - shared.value[3][order]
+                    held = shared.value[2][order]
                     wanted = np.zeros(order.shape, bool)
-                    np.put_along_axis(wanted, order, before < k, axis=1)
-                    yield routed(frame, rows, d, wanted & good[:, None])
+                    np.put_along_axis(wanted, order, np.cumsum(held, axis=1) - held < k, axis=1)
+                    yield from routed(frame, rows, wanted & ~np.isnan(rows).any(axis=1)[:, None], np.full(len(frame), -2.0))
 
         def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in frames:
-                for at in range(0, len(whole), QUERIES):
-                    frame = whole.iloc[at : at + QUERIES]
-                    rows, d, least = bounds(frame)
-                    seen = np.zeros(least.shape, bool)
-                    for i, found in enumerate(frame["seen"]):
-                        seen[i, np.asarray(found, int)] = True
-                    yield routed(frame, rows, d, (least <= frame["reach"].to_numpy()[:, None] + SLACK) & ~seen)
+                for at in range(0, len(whole), step):
+                    frame = whole.iloc[at : at + step]
+                    rows = np.stack(frame["query"])
+                    wanted = bounds(rows)[1] <= frame["reach"].to_numpy()[:, None] + SLACK
+                    for i, lists in enumerate(frame["seen"]):
+                        for some in lists:
+                            wanted[i, np.asarray(some, int)] = False
+                    yield from routed(frame, rows, wanted, frame["least"].to_numpy())
 
-        if not len(blocks):
-            return self.spark.createDataFrame([], "query_id long, vec_id long, score double"), 0.0
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+        if not len(blocks):
+            asked = asked.limit(0)
         once = cut(asked.mapInPandas(first, schema))
         found = self._best(self._compared(once, blocks, k), k)
-        reach = found.groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("worst"), F.lit(0.0)))).otherwise(4.0).alias("reach"))
-        seen = once.groupBy("query_id").agg(F.first("query").alias("query"), F.collect_list("at").alias("seen"))
-        twice = cut(seen.join(reach, "query_id").mapInPandas(rest, schema))
-        sizes = self.spark.createDataFrame(list(enumerate(n.tolist())), "at int, n long")
-        read = once.select("at").unionAll(twice.select("at")).join(F.broadcast(sizes), "at").agg(F.sum("n")).first()[0] or 0
-        every = once.select("query_id").distinct().count() * int(n.sum())
-        return self._best(found.unionAll(self._compared(twice, blocks, k)), k), read / every if every else 0.0
+        # a score stands for all that are rounded to it
+        reach = F.sqrt(F.greatest(2 - 2 * (F.col("worst") - 10.0**-DIGITS), F.lit(0.0)))
+        known = found.groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
+        known = known.select("query_id", F.when(F.col("n") >= k, reach).otherwise(4.0).alias("reach"), F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("least"))
+        seen = once.groupBy("query_id").agg(F.first("query").alias("query"), F.collect_list("wanted").alias("seen"))
+        twice = cut(seen.join(known, "query_id").mapInPandas(rest, schema))
+        return self._best(found.unionAll(self._compared(twice, blocks, k)), k), once.unionAll(twice)
 
     def _compared(self, routes: DataFrame, blocks: pd.DataFrame, k: int) -> DataFrame:
-        """(query_id, vec_id, score): the best k of each block for each query sent to it.
+        """(query_id, vec_id, score): the best k of each bundle for each query sent to it, in the blocks it wants.
 
-        A block meets the queries sent to it QUERIES at a time in one product; only blocks that some query wants are read.
+        A bundle meets the queries sent to it QUERIES at a time; only blocks of bundles that some query wants are read.
         """
-        names = self.spark.createDataFrame([(i, int(a), b) for i, (a, b) in enumerate(zip(blocks["list"], blocks["block"], strict=True))], "at int, list int, block string")
-        wanted = cut(routes.groupBy("at").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")))
-        turn = F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")
-        left = routes.join(F.broadcast(wanted), "at").withColumn("turn", turn)
-        right = self.rows().join(F.broadcast(names.join(wanted, "at")), ["list", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        names = self.spark.createDataFrame([(i, int(r.list), r.block, int(r.bundle)) for i, r in enumerate(blocks.itertuples())], "at int, list int, block string, bundle long")
+        groups = cut(routes.groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")))
+        left = routes.join(F.broadcast(groups), "bundle").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
+        right = self.rows().join(F.broadcast(names.join(groups, "bundle")), ["list", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
-        def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        def compare(q: pa.Table, v: pa.Table) -> pa.Table:
             if not len(q) or not len(v):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            score = np.round(np.stack(q["query"]) @ np.stack(v["vector"]).T, DIGITS)
-            ids = v["vec_id"].to_numpy()
-            keep = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :keep]
-            return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), keep), "vec_id": ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
-
-        return left.select("at", "turn", "query_id", "query").groupBy("at", "turn").cogroup(right.select("at", "turn", "vec_id", "vector").groupBy("at", "turn")).applyInPandas(compare, "query_id long, vec_id long, score double")
+                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            v = v.sort_by("at")
+            ids, (at, begins) = v["vec_id"].to_numpy(), np.unique(v["at"].to_numpy(), return_index=True)
+            a, b, ends = _matrix(q["query"]), _matrix(v["vector"]), np.append(begins[1:], len(ids))
+            asked, least, made = q["wanted"].combine_chunks(), q["least"].to_numpy(), []
+            for first in range(0, len(a), AT_ONCE):
+                part, some = asked[first : first + AT_ONCE], []
+                of, wanted = first + np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy()), part.flatten().to_numpy()
+                for block, begin, end in zip(at, begins, ends, strict=True):
+                    i = of[wanted == block]
+                    if len(i):
+                        x, j, score = _near(a[i], b[begin:end], least[i], k)
+                        some.append(_first((i[x], ids[begin + j], score), k))
+                made.append(_first(tuple(np.concatenate(x) for x in zip(*some, strict=True)), k))
+            i, found, score = (np.concatenate(x) for x in zip(*made, strict=True))
+            return pa.table({"query_id": q["query_id"].take(pa.array(i)), "vec_id": found, "score": score})
+
+        left, right = left.select("bundle", "turn", "query_id", "query", "wanted", "least"), right.select("bundle", "turn", "at", "vec_id", "vector")
+        return left.groupBy("bundle", "turn").cogroup(right.groupBy("bundle", "turn")).applyInArrow(compare, "query_id long, vec_id long, score double")
 
     @staticmethod
     def _best(pairs: DataFrame, k: int) -> DataFrame:
