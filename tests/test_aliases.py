@@ -1,12 +1,15 @@
 """Aliases of a market: both ways against the regular expressions, one by one."""
 
+import hashlib
 import random
 import re
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tickloom.operators import aliases, linker
 from tickloom.plans import scale_queries
@@ -83,3 +86,64 @@ def test_documents_meet_the_names_of_their_group(monkeypatch):
     for size in (1, 3, 100):
         got = [(r["n"], r["found"]) for b in aliases._with_tickers("found", iter(table.to_batches(size))) for r in b.to_pylist()]
         assert got == want
+
+
+def test_digests_are_those_of_the_lists(spark):
+    """Both ways, with given tickers that are found too, unknown or blank, and documents without any."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("D3_1"), F.lit(" OTHER "), F.lit(""), F.lit("D5_3"), F.lit("D3_1")))
+    table = scale_queries._aliases(spark, SF)
+    lists = aliases.link_documents(docs, table, given, letters=0).collect()
+    want = sorted((r["doc_id"], len(r["tickers"]), hashlib.md5(",".join(r["tickers"]).encode()).hexdigest()) for r in lists)
+    assert max(n for _, n, _ in want) > 10 and (-1, 2, hashlib.md5(b"x").hexdigest()) not in want
+    for letters in (aliases.LETTERS, 0):
+        assert sorted(map(tuple, aliases.link_digests(docs, table, given, letters=letters).drop("text").collect())) == want
+
+
+def test_runs_of_words_are_neither_rows_nor_joined(spark):
+    """They meet the names in the task of their document, behind one exchange that holds each document once."""
+    docs = spark.createDataFrame([(1, "a b")], "n int, text string")
+    plan = aliases.find_aliases(docs, spark.createDataFrame([(1, "A", "b")], ROWS), letters=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("repartitionById") + plan.count("REPARTITION_BY_NUM") == 1
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_tokens_and_runs_of_any_characters(monkeypatch, most):
+    """As Python's patterns have them, whatever texts are handled together."""
+    monkeypatch.setattr(aliases, "_BYTES", most)
+    draw = random.Random(9)
+    parts = ["a", "bc", "é", "ß", "Ω", "中文", "٣", "_", " ", ".", "-", "\u0301", "😀", "𝔘", "\n", "\0", "½"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(200)] + ["", None]
+    tokens = [re.findall(r"\w+|\W+", x or "") for x in texts]
+    made = aliases._Tokens(pa.array(texts).fill_null(""))
+    assert made.strings(made.begin, made.end).to_pylist() == [t for of in tokens for t in of] and made.of.tolist() == [n for n, of in enumerate(tokens) for _ in of]
+
+    def runs(of, n):
+        fits = lambda i: (re.match(r"\w", of[i]) or i) and (re.match(r"\w", of[i + n - 1]) or i + n < len(of))
+        return {"".join(of[i : i + n]) for i in range(len(of) - n + 1) if fits(i)}
+
+    every = np.full(1 << 12, 255, np.uint8)
+    for sizes in ([1, 3], [2], []):
+        got = aliases._likely(pa.chunked_array([pa.array(["x"] + texts)]).combine_chunks().slice(1) if most == 1 else pa.array(texts), every, sizes).to_pylist()
+        assert [sorted(x) for x in got] == [sorted(set().union(*[runs(of, n) for n in sizes])) for of in tokens]
+
+
+def test_digests_over_ranges_of_tickers(monkeypatch):
+    """Whatever fits a range or a batch, with tickers of equal and of different lengths."""
+    monkeypatch.setattr(aliases, "_RANGE", 4)
+    monkeypatch.setattr(aliases, "_PLACES", 5)
+    draw = random.Random(2)
+    tickers = ["AA", "AB", "AC", "AD", "X", "LONGER", "é", "", "YY", "Z1", "Z2"]
+    rows = [{"__group": 0, "__kind": 0, "ord": o, "ticker": t, "name": n} for o, t in enumerate(tickers) for n in "uvw" if draw.random() < 0.6]
+    held = {n: {r["ord"] for r in rows if r["name"] == n} for n in "uvw"}
+    docs = [(["u"], None), (["v", "none"], ["X", "Q"]), ([], ["Q"]), (None, []), (["u", "v", "w"], ["AA", "Z2", "AA"]), (["w", "u"], [])]
+    schema = pa.schema([("__group", pa.int32()), ("__kind", pa.int32()), ("ord", pa.int64()), ("ticker", pa.string()), ("name", pa.string()), ("__names", pa.list_(pa.string())), ("__row", pa.struct([("n", pa.int32()), ("given", pa.list_(pa.string()))]))])
+    table = pa.Table.from_pylist(rows + [{"__group": 0, "__kind": 1, "__names": names, "__row": {"n": n, "given": given}} for n, (names, given) in enumerate(docs)], schema)
+    want = []
+    for names, given in docs:
+        first = list(dict.fromkeys(given or []))
+        all_ = first + [tickers[o] for o in sorted(set().union(*[held.get(n, set()) for n in names or []])) if tickers[o] not in first]
+        want.append((len(all_), hashlib.md5(",".join(all_).encode()).hexdigest()))
+    for size in (1, 3, 100):
+        got = [(r["n"], r["tickers_md5"]) for b in aliases._with_digests("given", iter(table.to_batches(size))) for r in b.select([1, 2, 3]).to_pylist()]
+        assert got == want
