@@ -1,6 +1,8 @@
 """Text-model steps by a service, and documents that arrive over time."""
 
+import random
 import time
+from pathlib import Path
 
 import pytest
 from conftest import SF
@@ -125,3 +127,67 @@ def test_texts_are_shuffled_once_a_step(spark, tmp_path):
     known = spark.createDataFrame([("x",)], "key string")
     plan = wanted.join(known.hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(key") == 2 and plan.count("Exchange") == 2  # the texts, and the known keys
+
+
+def shouting():
+    """Answers by prompt: half of a text, all of it in capitals, DROP for texts of one letter; no answer to a text with an x."""
+
+    class Shouting:
+        def ask(self, texts, step):
+            if any("x" in t for t in texts):
+                raise ValueError("bad text")
+            return [{"half": t[: len(t) // 2] or "DROP", "up": t.upper(), "size": "long" if len(t) > 3 else "short", "void": None}[step["prompt"]] for t in texts]
+
+    return Shouting
+
+
+@pytest.mark.parametrize("most", [model_calls.BROADCAST_BYTES, 0])
+def test_copies_known_and_rewritten_texts(spark, tmp_path, monkeypatch, most):
+    """Texts that are rewritten twice, fail, vanish, become equal or were known, in documents whose columns have any names; few rows or many."""
+    monkeypatch.setattr(model_calls, "BROADCAST_BYTES", most)
+    texts = ["abcdef", "abcdef", "abcDEF", "ABCzzz", "abczzz", "x long one", "x long one", "a", "a", "bc", "", " ", None, None]
+    docs = spark.createDataFrame([(i, t, i * 2, f"k{i}", None) for i, t in enumerate(texts)], "row long, text string, run long, key string, first string")
+    fold = [{"id": "half", "output": "rewrite", "prompt": "half"}, {"id": "size", "output": "signal", "prompt": "size", "labels": ["short", "long"]}, {"id": "none", "output": "rewrite"}, {"id": "up", "output": "rewrite", "prompt": "up"}]
+    service = TextService(shouting(), str(tmp_path / "answers"), batch=3, retries=0)
+    want = {}
+    for i, t in enumerate(texts):
+        blank, bad = not (t or "").strip(), "x" in (t or "")
+        half = t if blank or bad else (t[: len(t) // 2] or None)
+        want[i] = (half if half is None or blank or bad else half.upper(), not blank and not bad and half is None, None if blank or half is None or bad else "short", i * 2, f"k{i}")
+    for turn in (1, 2):  # the second knows all answers but those that failed
+        out = steps.run_steps(docs, fold, service)
+        assert out.columns == [*docs.columns, "cur_type", "meta", "dropped", "trace"]
+        rows = out.collect()
+        assert {r["row"]: (r["text"], r["dropped"], r["meta"].get("size"), r["run"], r["key"]) for r in rows} == want and len(rows) == len(texts)
+        errors = {r["row"]: [e["error"] is not None for e in r["trace"]] for r in rows}
+        assert errors[5] == [True, True, False, True] and errors[0] == [False] * 4 and errors[7] == [False] and errors[12] == [False] * 4
+        asked = stored(spark, service).where("error IS NULL").count()
+        assert asked == 6 + 3 + 3  # halves of six texts; sizes, then capitals, of abc, ABC and b, once each
+    void = steps.run_steps(docs, [{"id": "void", "output": "rewrite", "prompt": "void"}], service).collect()
+    assert {r["row"]: r["text"] for r in void} == {i: t if "x" in (t or "") or not (t or "").strip() else None for i, t in enumerate(texts)}
+
+
+def test_steps_that_mark_write_no_texts(spark, tmp_path):
+    """Texts stand once in the shared folder, however many steps ask for them."""
+    draw = random.Random(5)
+    docs = spark.createDataFrame([(i, draw.randbytes(40_000).hex()) for i in range(40)], "doc_id long, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    before, service = size(), TextService(shouting(), str(tmp_path / "answers"))
+    fold = [{"id": f"s{k}", "output": "signal", "prompt": "size", "labels": ["long"], "model": k} for k in range(4)]
+    rows = steps.run_steps(docs, fold, service).collect()
+    assert all(r["meta"] == {f"s{k}": "long" for k in range(4)} and len(r["text"]) == 80_000 for r in rows) and len(rows) == 40
+    assert stored(spark, service).count() == 160 and size() - before < 40 * 80_000
+
+
+@pytest.mark.parametrize("most", [model_calls.BROADCAST_BYTES, 0])
+def test_texts_of_many_rows_are_split_where_they_are(spark, monkeypatch, most):
+    """By a bit for each, as a join of numbers would."""
+    monkeypatch.setattr(model_calls, "BROADCAST_BYTES", most)
+    texts = spark.range(100_000).select(((F.col("id") % 3) * (1 << 33) + F.col("id")).alias("row"), F.col("id").cast("string").alias("text"))
+    rows = texts.where("text % 7 = 0 AND row < 15000000000").select("row")
+    among = model_calls.split(texts, rows, True)
+    assert sorted(map(tuple, among.collect())) == sorted(map(tuple, texts.join(rows, "row").collect()))
+    assert model_calls.split(texts, rows, False).count() == 100_000 - among.count() and model_calls.split(texts, rows.limit(0), True).count() == 0
+    plan = among._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or not most

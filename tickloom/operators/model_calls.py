@@ -16,13 +16,14 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.shared import new_path
+from tickloom.shared import written
 
-_ROW = "key string, output string, error string"
-#: Bytes of answers that are broadcast to the documents; more are joined.
+#: An answer; ``row`` is the document whose text was asked, where documents have numbers.
+_ROW = "key string, row long, output string, error string"
+#: Bytes of bitmaps and of copies that are broadcast to texts and answers; more are joined.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -88,7 +89,7 @@ class _Asker:
         return [self.ask([t])[0] for t in texts]
 
 
-def _stored(service: TextService, spark) -> DataFrame:
+def _stored(service: TextService, spark: SparkSession) -> DataFrame:
     return spark.read.schema(f"{_ROW}, run string").parquet(service.store)
 
 
@@ -103,12 +104,20 @@ def answers(texts: DataFrame, step: Mapping, service: TextService) -> DataFrame:
     New answers are written once, so that later plans don't ask again. A task that is run again asks its texts again;
     only one attempt's answers are kept.
     """
-    spark = texts.sparkSession
     wanted = _wanted(texts, step, service)
-    run = uuid.uuid4().hex
+    run = _ask(wanted.join(_known(texts.sparkSession, service), "key", "left_anti").withColumn("row", F.lit(None).cast("long")), step, service)
+    return wanted.select("key").join(_best(texts.sparkSession, service, run, F.col("output").alias("output")), "key").select("key", "output", "error")
+
+
+def _known(spark: SparkSession, service: TextService) -> DataFrame:
+    """Keys of texts that were answered."""
     spark.createDataFrame([], f"{_ROW}, run string").write.mode("append").parquet(service.store)
-    known = _stored(service, spark).where("error IS NULL").select("key", "output", "error")
-    new = wanted.join(known.select("key"), "key", "left_anti")
+    return _stored(service, spark).where("error IS NULL").select("key")
+
+
+def _ask(new: DataFrame, step: Mapping, service: TextService) -> str:
+    """Asks for ``new`` (key, row, text) and appends the answers to the store; the run under which they stand there."""
+    run = uuid.uuid4().hex
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asker = None
@@ -117,23 +126,55 @@ def answers(texts: DataFrame, step: Mapping, service: TextService) -> DataFrame:
                 part = frame.iloc[at : at + service.batch]
                 asker = asker or _Asker(service, step)
                 found = asker.ask(part["text"].tolist())
-                yield pd.DataFrame({"key": part["key"], "output": [a for a, _ in found], "error": [e for _, e in found]})
+                yield pd.DataFrame({"key": part["key"], "row": part["row"], "output": [a for a, _ in found], "error": [e for _, e in found]})
 
     new = new.repartition(service.tasks, "key") if service.tasks else new
-    new.mapInPandas(ask, _ROW).withColumn("run", F.lit(run)).write.mode("append").parquet(service.store)
-    made = _stored(service, spark)
-    # an answer of this run, else one that was there; the same text may have been answered by two runs at a time
-    best = made.where(F.col("error").isNull() | (F.col("run") == run)).groupBy("key").agg(F.max("output").alias("output"), F.min(F.struct(F.col("error").isNotNull(), "error")).alias("e"))
-    return wanted.select("key").join(best, "key").select("key", "output", F.col("e.error").alias("error"))
-
-
-def asked(docs: DataFrame, active: Column, step: Mapping, service: TextService) -> DataFrame:
-    """``docs`` (text) with ``__output`` and ``__error`` of the step where ``active``; null elsewhere. ``docs`` are read twice."""
-    found = answers(docs.where(active).select("text"), step, service)
-    path = new_path(docs.sparkSession, "answers")
-    found.write.parquet(path)
-    found = docs.sparkSession.read.schema(_ROW).parquet(path).select(F.col("key").alias("__key"), F.col("output").alias("__output"), F.col("error").alias("__error"))
-    size = found.agg(F.sum(F.length("__key") + F.coalesce(F.octet_length("__output"), F.lit(0)) + F.coalesce(F.octet_length("__error"), F.lit(0)))).first()[0] or 0
-    # documents that aren't asked have a key of their own, so that they don't meet in one task
-    key = F.when(F.coalesce(active, F.lit(False)), service.key(F.col("text"), step)).otherwise(F.concat(F.lit("none:"), F.xxhash64(*docs.columns[:1], "text").cast("string")))
-    return docs.withColumn("__own", key).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+    new.select("key", "row", "text").mapInPandas(ask, _ROW).withColumn("run", F.lit(run)).write.mode("append").option("compression", "zstd").parquet(service.store)
+    return run
+
+
+def _best(spark: SparkSession, service: TextService, run: str, *shown: Column) -> DataFrame:
+    """(key, run, row, error) of the answer of each key, with what is ``shown`` of it: one of this run, else one that was there.
+
+    The same text may have been answered by two runs at a time. Outputs that aren't shown aren't read.
+    """
+    rank = F.struct(F.col("error").isNull().alias("answered"), (F.col("run") == run).alias("own"), "run", "row", "error", *shown)
+    made = _stored(service, spark).where(F.col("error").isNull() | (F.col("run") == run)).select("key", rank.alias("a"))
+    return made.groupBy("key").agg(F.max("a").alias("a")).select("key", "a.*").drop("answered", "own")
+
+
+def near(rows: DataFrame, each: int) -> DataFrame:
+    """``rows`` to be broadcast, if they are few at ``each`` bytes a row."""
+    return F.broadcast(rows) if rows.count() * each <= BROADCAST_BYTES else rows
+
+
+def split(texts: DataFrame, rows: DataFrame, among: bool) -> DataFrame:
+    """Those of ``texts`` (row, text) that are ``among`` ``rows`` (row), or that aren't. Texts stay where they are: a bit a document is broadcast."""
+    number = F.col("row") + 1
+    bits = rows.groupBy(F.bitmap_bucket_number(number).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("__bits"))
+    held = texts.withColumn("__place", F.bitmap_bit_position(number)).join(near(bits, 4096), F.bitmap_bucket_number(number) == F.col("__bucket"), "left")
+    marked = F.expr("coalesce(shiftright(cast(conv(hex(substring(__bits, cast(__place div 8 as int) + 1, 1)), 16, 10) as int), cast(__place % 8 as int)) & 1, 0) = 1")
+    return held.where(marked if among else ~marked).select("row", "text")
+
+
+def ask_rows(wanted: DataFrame, texts: DataFrame, step: Mapping, service: TextService) -> str:
+    """Asks for each different key of ``wanted`` (key, row) that has no answer, once, with the text of its first row in ``texts`` (row, text).
+
+    Only keys and numbers of documents are shuffled; texts are asked where they are.
+    """
+    new = wanted.groupBy("key").agg(F.min("row").alias("row")).join(_known(texts.sparkSession, service), "key", "left_anti")
+    return _ask(split(texts, written(new.select("row"), "asked"), True).withColumn("key", service.key(F.col("text"), step)), step, service)
+
+
+def rewritten(changed: DataFrame, texts: DataFrame, service: TextService, run: str, kept: Column) -> DataFrame:
+    """``texts`` (row, text) with those of ``changed`` (row, key, run, first) replaced by their answers, or left out where those aren't ``kept``.
+
+    ``first`` is the row that was asked. Its answer has its number and is read from the store as it is; only other rows, copies or known
+    before, are joined with answers by key.
+    """
+    changed = written(changed, "changed")
+    stored = _stored(service, texts.sparkSession).where(F.col("error").isNull() & F.col("output").isNotNull() & kept)
+    own = stored.where((F.col("run") == run) & F.col("row").isNotNull()).select("row", F.col("output").alias("text"))
+    others = changed.where((F.col("run") != run) | ~F.col("row").eqNullSafe(F.col("first"))).select("row", "key", "run")
+    copied = stored.select("key", "run", F.col("output").alias("text")).join(near(others, 160), ["key", "run"]).select("row", "text")
+    return split(texts, changed.select("row"), False).unionByName(own).unionByName(copied)

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import is_drop, label_from_value, match_label
-from tickloom.operators.model_calls import TextService, asked
+from tickloom.operators import model_calls
+from tickloom.operators.model_calls import TextService
 from tickloom.operators.returns import compute
-from tickloom.shared import cut
+from tickloom.shared import written
 
 #: A step's model: given the documents in scope (with text) and the step, the column ``output`` of texts, and ``error``.
 Model = Callable[[Column, Mapping], tuple[Column, Column | None]]
@@ -67,7 +68,7 @@ def _advance(docs: DataFrame, step: Mapping, mode: str, ran: Column, dropped: Co
         new["meta"] = F.when(marks, _put(F.col("meta"), key, value)).otherwise(F.col("meta"))
     if key == "docType":
         new["cur_type"] = F.when(marks, value).otherwise(F.col("cur_type"))
-    if mode == "rewrite":
+    if mode == "rewrite" and "text" in docs.columns:
         new["text"] = F.when(ran & ~failed, F.when(dropped, F.lit(None)).otherwise(text)).otherwise(F.col("text"))
     return docs.withColumns(new)
 
@@ -77,24 +78,66 @@ def text_step(docs: DataFrame, step: Mapping, model: Model | TextService) -> Dat
 
     A model is a function of Columns, which stays in the plan, or a service, before which the documents are written.
     """
+    if isinstance(model, TextService):
+        return _served(docs, [step], model)
     mode = output_mode(step)
     ran = ~F.col("dropped") & applies(step, F.col("cur_type"))
-    active = ran & F.lit(bool(str(step.get("prompt") or "").strip())) & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    if isinstance(model, TextService):
-        docs = asked(cut(docs), active, step, model)
-        return _after_text(docs, step, mode, ran, active, F.col("__output"), F.col("__error")).drop("__output", "__error")
-    return _after_text(docs, step, mode, ran, active, *model(F.col("text"), step))
+    active = ran & F.lit(_prompted(step)) & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    output, error = model(F.col("text"), step)
+    return _after_text(docs, step, mode, ran, active, output, is_drop(output), error)
+
 
+def _prompted(step: Mapping) -> bool:
+    return bool(str(step.get("prompt") or "").strip())
 
-def _after_text(docs: DataFrame, step: Mapping, mode: str, ran: Column, active: Column, output: Column, error: Column | None) -> DataFrame:
+
+def _after_text(docs: DataFrame, step: Mapping, mode: str, ran: Column, active: Column, output: Column, drops: Column, error: Column | None) -> DataFrame:
     error = F.when(active, error) if error is not None else F.lit(None).cast("string")
     none = F.lit(None).cast("string")
     if mode == "signal":
         labels = step.get("labels") or []
         value = F.when(active, match_label(output, labels) if labels else F.nullif(F.trim(output), F.lit("")))
         return _advance(docs, step, mode, ran, F.lit(False), F.col("text"), value, error)
-    dropped = active & is_drop(output)
-    return _advance(docs, step, mode, ran, dropped, F.when(active, output).otherwise(F.col("text")), none, error)
+    return _advance(docs, step, mode, ran, active & drops, F.when(active, output).otherwise(F.col("text")), none, error)
+
+
+def _served(docs: DataFrame, steps: Sequence[Mapping], service: TextService, bars: DataFrame | None = None, doc_id: str = "doc_id", use_benchmark: bool = True) -> DataFrame:
+    """``docs`` after all steps with a service. They are written once, with numbers; from then on steps carry the state without texts."""
+    whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    state, texts = whole.drop("text"), whole.select(F.col("__row").alias("row"), "text").where("text IS NOT NULL")
+    for step in steps:
+        if _is_feature(step):
+            state = feature_step(state, step, bars, doc_id, use_benchmark) if step.get("feature") and bars is not None else state
+        else:
+            state, texts = _service_step(state, texts, step, service)
+    return state.join(texts.withColumnRenamed("row", "__at"), F.col("__row") == F.col("__at"), "left").select(*docs.columns)
+
+
+def _service_step(state: DataFrame, texts: DataFrame, step: Mapping, service: TextService) -> tuple[DataFrame, DataFrame]:
+    """State and texts (row, text) after a step; texts neither move nor are written for it, only answers are."""
+    mode, none = output_mode(step), F.lit(None).cast("string")
+    ran = ~F.col("dropped") & applies(step, F.col("cur_type"))
+    if not _prompted(step) or not step.get("enabled", True):
+        return _after_text(state, step, mode, ran, F.lit(False), none, F.lit(False), None), texts
+    asked = texts.where(F.trim("text") != "").select(F.col("row").alias("__at"), service.key(F.col("text"), step).alias("__asked"))
+    joined = state.join(asked, F.col("__row") == F.col("__at"), "left").withColumn("__active", ran & F.col("__asked").isNotNull())
+    # documents that aren't asked have a key of their own, so that they don't meet in one task
+    key = F.when(F.col("__active"), F.col("__asked")).otherwise(F.concat(F.lit("none:"), F.col("__row").cast("string")))
+    state = written(joined.withColumn("__key", key).drop("__at", "__asked"), "state")
+    run = model_calls.ask_rows(state.where("__active").select(F.col("__key").alias("key"), F.col("__row").alias("row")), texts, step, service)
+    shown = F.col("output").alias("__output") if mode == "signal" else is_drop(F.col("output")).alias("__drops")
+    best = model_calls._best(state.sparkSession, service, run, shown).withColumnsRenamed({"key": "__of", "run": "__run", "row": "__first", "error": "__error"})
+    state = state.join(best, F.col("__key") == F.col("__of"), "left")
+    if mode != "signal":
+        changed = state.where(F.col("__active") & F.col("__error").isNull()).select(F.col("__row").alias("row"), F.col("__key").alias("key"), F.col("__run").alias("run"), F.col("__first").alias("first"))
+        texts = model_calls.rewritten(changed, texts, service, run, ~is_drop(F.col("output")))
+    output, drops = (F.col("__output"), F.lit(False)) if mode == "signal" else (none, F.col("__drops"))
+    out = _after_text(state, step, mode, ran, F.col("__active"), output, drops, F.col("__error"))
+    return out.drop("__active", "__key", "__of", "__run", "__first", "__error", "__output", "__drops"), texts
+
+
+def _is_feature(step: Mapping) -> bool:
+    return str(step.get("engine") or "llm").strip().lower() == "feature"
 
 
 def feature_values(docs: DataFrame, bars: DataFrame, name: str, doc_id: str = "doc_id", params: Mapping | None = None, use_benchmark: bool = True) -> DataFrame:
@@ -125,8 +168,10 @@ def run_steps(docs: DataFrame, steps: Sequence[Mapping], model: Model | TextServ
     that marks ``docType`` changes the scope of those after it.
     """
     out = started(docs, doc_type)
+    if isinstance(model, TextService):
+        return _served(out, steps or [], model, bars, doc_id, use_benchmark)
     for step in steps or []:
-        if str(step.get("engine") or "llm").strip().lower() == "feature":
+        if _is_feature(step):
             out = feature_step(out, step, bars, doc_id, use_benchmark) if step.get("feature") and bars is not None else out
         else:
             out = text_step(out, step, model)
